@@ -107,10 +107,14 @@ def match_text(c) -> Column:
     return F.regexp_replace(F.lower(half), r"(?:" + WS + r"|[_\-/])+", "")
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def nfkc(c) -> Column:
     """Full compatibility fold, for texts `match_text` does not cover."""
-    return s.str.normalize("NFKC")
+
+    @F.pandas_udf("string")
+    def fold(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return fold(col(c))
 
 
 def fold_text(c) -> Column:
