@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.text import contains_any, let
+
 SHEET = ["source_id", "sheet_idx"]
 ROW = SHEET + ["row_idx"]
 COLUMN = SHEET + ["col_idx"]
@@ -18,27 +20,30 @@ ORDER = ["parent_source_id", "source_type", "source_file", "source_id", "sheet_i
 def rule_match(text: Column, groups) -> Column:
     """Every group has a word in the text. `=w` means the whole text is `w`,
     `!w` means `w` does not occur."""
-    out = F.lit(True)
+    out = None
     for group in groups:
-        hit = F.lit(False)
-        for word in group:
-            if word.startswith("="):
-                hit = hit | (text == word[1:])
-            elif word.startswith("!"):
-                hit = hit | ~F.contains(text, F.lit(word[1:]))
-            else:
-                hit = hit | F.contains(text, F.lit(word))
-        out = out & hit
+        exact = [w[1:] for w in group if w.startswith("=")]
+        absent = [w[1:] for w in group if w.startswith("!")]
+        inside = [w for w in group if w[0] not in "=!"]
+        tests = [contains_any(text, inside)] if inside else []
+        tests += [text.isin(*exact)] if exact else []
+        tests += [~contains_any(text, absent)] if absent else []
+        hit = reduce(lambda a, b: a | b, tests)
+        out = hit if out is None else out & hit
     return out
 
 
 def first_rule(text: Column, rules) -> Column:
-    """Key of the first matching rule, else ''. One CASE, no join."""
-    branches = [(rule_match(text, groups), key) for key, groups in rules]
-    out = F.when(branches[0][0], F.lit(branches[0][1]))
-    for cond, key in branches[1:]:
-        out = out.when(cond, F.lit(key))
-    return out.otherwise(F.lit(""))
+    """Key of the first matching rule, else ''. One CASE, no join; the text is
+    folded once however many rules look at it."""
+
+    def pick(t):
+        out = F.lit("")
+        for key, groups in reversed(rules):
+            out = F.when(rule_match(t, groups), F.lit(key)).otherwise(out)
+        return out
+
+    return let(text, pick)
 
 
 def attach(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
@@ -112,11 +117,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut lineage by writing the table to the shared folder and reading it
+    back. Unlike a plain checkpoint the result carries its size, so Spark can
+    still pick a broadcast join for what turns out small."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,7 @@ NFKC fold, which Spark has no built-in for.
 """
 from __future__ import annotations
 
+import re
 from html.entities import html5
 
 import pandas as pd
@@ -58,10 +59,7 @@ def contains_any(c, words) -> Column:
     words = list(words)
     if not words:
         return F.lit(False)
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(col(c), F.lit(w))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(col(c).rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
 def cell_text(raw, raw_type=None) -> Column:

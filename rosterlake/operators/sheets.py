@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import COLUMN, ROW, SHEET, attach
+from ..common import COLUMN, ROW, SHEET
 from ..functions import text as T
 from ..functions.checks import HAN, is_boolean_check
 from ..functions.dates import normalize_value
@@ -140,30 +140,32 @@ def sheet_layout(cells: DataFrame, opts: SheetOptions = SheetOptions()) -> DataF
     Only the first rows of a sheet take part, so what is gathered per sheet is
     bounded by the scan depth."""
     cells = with_text(cells)
-    shapes = sheet_shapes(cells)
     scan = opts.header_scan_rows
-    feats = row_features(cells, shapes, rows=scan + 2)
-    in_scan = F.col("row_idx") < scan
-    key = F.struct((-F.col("score")).alias("s"), F.col("row_idx").alias("r"))
-    facts = feats.groupBy(*SHEET).agg(
-        F.min(F.when(in_scan & F.col("header_like"), key)).alias("best"),
-        F.coalesce(F.min(F.when(in_scan, F.col("row_idx"))), F.lit(0)).alias("first_filled"),
-        F.array_sort(F.collect_list(F.when(F.col("header_like"), F.col("row_idx")))).alias("like_rows"),
-        F.map_from_entries(
-            F.collect_list(F.struct("row_idx", F.struct("text_ratio", "long_ratio", "date_ratio")))
-        ).alias("ratios"),
-    )
-    base = shapes.join(facts, SHEET, "left").select(
-        *SHEET, "sheet_name", "n_rows", "n_cols",
-        F.coalesce(F.col("best")["r"], F.lit(-1)).alias("picked"),
-        F.coalesce("first_filled", F.lit(0)).alias("first_filled"),
-        F.coalesce("like_rows", F.array().cast("array<int>")).alias("like_rows"), "ratios",
-    )
-    r = F.try_element_at("ratios", F.col("picked"))
-    veto = ((r["long_ratio"] > 0.03) | (r["date_ratio"] > 0.03)) & (r["text_ratio"] >= 0.6)
-    base = base.withColumn("vetoed", F.coalesce(veto, F.lit(False))).withColumn(
-        "h", F.when(F.col("vetoed"), F.lit(-1)).otherwise(F.col("picked"))
+    top = cells.filter(F.col("row_idx") < scan + 2).groupBy(*ROW).agg(*_kinds())
+    per = top.groupBy(*SHEET).agg(F.collect_list(F.struct("row_idx", "n", "n_date", "n_long", "n_num", "n_text")).alias("rows"))
+
+    def scored(x):
+        text, long, date, num = (x[c] / x["n"] for c in ("n_text", "n_long", "n_date", "n_num"))
+        score = 3.5 * text - 2.5 * long - 2.0 * date - 1.5 * num + 0.2 * (x["n"] / F.col("n_cols"))
+        like = (text >= 0.35) & (long <= 0.02) & (date <= 0.02) & (num <= 0.15)
+        data = ((long > 0.03) | (date > 0.03)) & (text >= 0.6)
+        return F.struct((-score).alias("s"), x["row_idx"].alias("r"), like.alias("like"), data.alias("data"))
+
+    def facts(rows):
+        first = F.array_min(F.filter(rows, lambda x: x["like"] & (x["r"] < scan)))
+        return F.struct(
+            first.alias("best"), F.array_min(F.transform(F.filter(rows, lambda x: x["r"] < scan), lambda x: x["r"])).alias("filled"),
+            F.transform(F.filter(rows, lambda x: x["like"]), lambda x: x["r"]).alias("likes"),
+        )
+
+    base = sheet_shapes(cells).join(per, SHEET, "left").withColumn(
+        "f", T.let(F.transform(F.coalesce("rows", F.array().cast("array<struct<row_idx:int,n:bigint,n_date:bigint,n_long:bigint,n_num:bigint,n_text:bigint>>")), scored), facts)
     )
+    base = base.select(
+        *SHEET, "sheet_name", "n_rows", "n_cols", F.coalesce(F.col("f")["best"]["r"], F.lit(-1)).alias("picked"),
+        F.coalesce(F.col("f")["filled"], F.lit(0)).alias("first_filled"), F.col("f")["likes"].alias("like_rows"),
+        F.coalesce(F.col("f")["best"]["data"], F.lit(False)).alias("vetoed"),
+    ).withColumn("h", F.when(F.col("vetoed"), F.lit(-1)).otherwise(F.col("picked")))
     like = lambda i: F.array_contains("like_rows", i)
     two = (F.col("h") >= 0) & (F.col("h") + 1 < F.col("n_rows")) & like(F.col("h") + 1)
     start = F.when(F.col("h") < 0, F.col("first_filled")).otherwise(F.col("h") + F.when(two, 2).otherwise(1))
@@ -338,7 +340,8 @@ def rank_sheets(cells: DataFrame, opts: SheetOptions = SheetOptions()) -> DataFr
     )
     out = out.withColumn("best_rank", F.row_number().over(best)).withColumn("use_rank", F.row_number().over(order))
     useful = F.col("best_score").isNotNull() | (F.col("filled") >= opts.min_useful_cells)
-    out = attach(out.withColumn("useful", useful), ["source_id"], F.max("useful").alias("_any"))
+    book = Window.partitionBy("source_id")  # the sheets of one workbook
+    out = out.withColumn("useful", useful).withColumn("_any", F.max("useful").over(book))
     return out.withColumn("useful", F.col("useful") | (~F.col("_any") & (F.col("best_rank") == 1))).drop("_any")
 
 
@@ -348,9 +351,9 @@ def choose_sheets(ranked: DataFrame, mode: str = "auto", preferred: str | None =
     if mode == "all":
         return ranked.select(*SHEET)
     hit = F.lit(False) if preferred is None else F.col("sheet_name") == preferred
-    facts = attach(
-        ranked.withColumn("_hit", hit), ["source_id"], F.max("_hit").alias("_has"),
-        F.sum(F.when(F.col("useful"), 1).otherwise(0)).alias("_n"),
+    book = Window.partitionBy("source_id")
+    facts = ranked.withColumn("_hit", hit).withColumn("_has", F.max("_hit").over(book)).withColumn(
+        "_n", F.sum(F.when(F.col("useful"), 1).otherwise(0)).over(book)
     )
     one = F.when(F.col("_has"), F.col("_hit")).otherwise(F.col("best_rank") == 1)
     if mode == "single":
@@ -408,9 +411,10 @@ def row_kept(rec, vals, n_cols, row_filter: dict) -> Column:
     required = row_filter.get("required_fields_any") or []
     if required:
         keep = keep & F.coalesce(*[F.nullif(F.try_element_at(T.col(rec), F.lit(f)), F.lit("")) for f in required]).isNotNull()
+    holds = lambda term: lambda v: F.contains(v, F.lit(term))
     for term in row_filter.get("exclude_if_contains_any") or []:
         if term:
-            keep = keep & ~F.exists(texts, lambda v, t=str(term).lower(): F.contains(v, F.lit(t)))
+            keep = keep & ~F.exists(texts, holds(str(term).lower()))
     return keep
 
 
@@ -450,7 +454,7 @@ def csv_sample(cells: DataFrame, layout: DataFrame, opts: SheetOptions = SheetOp
     """Header lines and evenly spaced rows of each sheet as one CSV text."""
     end = data_end(opts.limits.rows_per_sheet)
     plan = layout.select(
-        *SHEET, "n_cols",
+        *SHEET, "n_cols", (F.col("header_row_idx") < 0).alias("headless"),
         F.array_union(
             F.when(F.col("header_row_idx") < 0, F.array().cast("array<int>")).otherwise(
                 F.sequence("header_row_idx", F.col("header_row_idx") + F.col("header_rows") - 1)
@@ -458,7 +462,6 @@ def csv_sample(cells: DataFrame, layout: DataFrame, opts: SheetOptions = SheetOp
             spread_rows(F.col("data_start_idx"), end, opts.head_rows),
         ).alias("picks"),
     )
-    # Headless sheets list the stand-in names first.
     lines = with_text(cells).join(plan, SHEET).filter(F.array_contains("picks", F.col("row_idx"))).groupBy(*ROW).agg(
         F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("m")
     )
@@ -466,7 +469,11 @@ def csv_sample(cells: DataFrame, layout: DataFrame, opts: SheetOptions = SheetOp
     line = lambda r: F.array_join(
         F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.coalesce(F.try_element_at(F.try_element_at("rows", r), c), F.lit(""))), ","
     )
-    return plan.join(per_sheet, SHEET).select(*SHEET, F.array_join(F.transform("picks", line), "\n").alias("csv"))
+    # Headless sheets list the stand-in names first.
+    stand_in = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.concat(F.lit("col_"), c.cast("string"))), ",")
+    body = F.transform("picks", line)
+    text = F.array_join(F.when(F.col("headless"), F.array_prepend(body, stand_in)).otherwise(body), "\n")
+    return plan.join(per_sheet, SHEET).select(*SHEET, text.alias("csv"))
 
 
 def keep_first_records(records: DataFrame, cap: int) -> DataFrame:

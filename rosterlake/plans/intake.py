@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import SHEET
+from ..common import SHEET, checkpointed
 from ..operators import facts as A
 from ..operators import leave as L
 from ..operators import naming as N
@@ -32,8 +32,10 @@ def sheet_records(cells: DataFrame, sources: DataFrame | None = None, opts: Shee
     """cells → records: choose sheets, find headers, name columns, read rows. A
     workbook whose chosen sheets give no record is read from all its sheets."""
     cells = C.with_text(cells)
-    layout = C.sheet_layout(cells, opts)
-    named = N.name_columns(C.column_profiles(cells, layout, opts), proposed, opts).join(layout.select(*SHEET, "n_cols"), SHEET)
+    # Layout and column names are small next to the cells and used several
+    # times: each is computed once and kept in the shared folder.
+    layout = checkpointed(C.sheet_layout(cells, opts))
+    named = checkpointed(N.name_columns(C.column_profiles(cells, layout, opts), proposed, opts).join(layout.select(*SHEET, "n_cols"), SHEET))
     recs = C.records_from_cells(cells, layout, named, sources, opts)
     if mode == "all":
         return recs

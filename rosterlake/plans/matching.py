@@ -40,8 +40,9 @@ def _segments(c: Column, threshold: int) -> Column:
 def _grams(c: Column, threshold: int) -> Column:
     top = max(math.ceil(threshold / (100 - threshold)), 1)
     n = F.length(c)
+    cut = lambda k: lambda i: F.substring(c, i, F.lit(k))
     sizes = [
-        F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), cut(k))).otherwise(F.array().cast("array<string>"))
         for k in range(1, top + 1)
     ]
     return F.array_distinct(F.concat(*sizes))
