@@ -52,14 +52,18 @@ def parse_reply(c) -> Column:
     balanced slice, whichever is JSON first."""
     raw = F.coalesce(T.utrim(c), F.lit(""))
 
+    valid = lambda x: T.let(x, lambda v: F.when(is_json(v), v))
+
     def read(t):
-        fenced = F.regexp_extract(t, FENCE, 1)
-        sliced = balanced_slice(t)
-        good = F.coalesce(F.when(is_json(t), t), F.when((fenced != "") & is_json(fenced), fenced), F.when(is_json(sliced), sliced))
-        error = F.when(t == "", F.lit("empty_output")).when(good.isNull(), F.lit("unable_to_parse_json"))
-        return F.struct(F.when(t != "", good).alias("json"), error.alias("parse_error"))
+        # Later readings are tried only where the earlier ones fail.
+        good = F.coalesce(F.when(is_json(t), t), valid(F.nullif(F.regexp_extract(t, FENCE, 1), F.lit(""))), valid(balanced_slice(t)))
+        return F.struct(t.alias("t"), F.when(t != "", good).alias("json"))
+
+    def label(v):
+        error = F.when(v["t"] == "", F.lit("empty_output")).when(v["json"].isNull(), F.lit("unable_to_parse_json"))
+        return F.struct(v["json"].alias("json"), error.alias("parse_error"))
 
-    return T.let(raw, read)
+    return T.let(T.let(raw, read), label)
 
 
 def json_kind(c) -> Column:
@@ -80,45 +84,58 @@ def json_member(c, name: str) -> Column:
 def coerce_shape(c) -> Column:
     """struct(data ARRAY<STRING>, metadata, warnings): any reply to the standard
     envelope, with a warning for each repair."""
-    j = T.col(c)
-    kind = json_kind(j)
-    data, meta, warn = (json_member(j, k) for k in ("data", "metadata", "warnings"))
     as_list = lambda t: F.from_json(t, "array<string>")
     none = F.array().cast("array<string>")
-    has = lambda m: F.coalesce(m.isNotNull(), F.lit(False))
-    warnings = F.concat(
-        F.filter(
+
+    def split(j):
+        members = F.from_json(F.when(json_kind(j) == "object", j), "map<string,string>")
+        return F.struct(j.alias("j"), json_kind(j).alias("kind"), members.alias("m"))
+
+    def take(v):
+        get = lambda n: F.try_element_at(v["m"], F.lit(n))
+        return F.struct(v["j"].alias("j"), v["kind"].alias("kind"), *[get(n).alias(n) for n in ("data", "metadata", "warnings")])
+
+    def shape(v):
+        kind, scalar = v["kind"], v["kind"].isin("string", "number", "boolean")
+        wrong = lambda name, want, fix: F.when(v[name].isNotNull() & (json_kind(v[name]) != want), F.lit(f"'{name}' is not {fix}"))
+        repairs = F.filter(
             F.array(
                 F.when(kind == "null", F.lit("reply is empty")),
                 F.when(kind == "array", F.lit("reply is an array; wrapped into data")),
-                F.when(kind.isin("string", "number", "boolean"), F.concat(F.lit("reply is a "), kind, F.lit("; kept as raw_output"))),
-                F.when((kind == "object") & has(data) & (json_kind(data) != "array"), F.lit("'data' is not a list; replaced with []")),
-                F.when((kind == "object") & has(meta) & (json_kind(meta) != "object"), F.lit("'metadata' is not an object; replaced with {}")),
-                F.when((kind == "object") & has(warn) & (json_kind(warn) != "array"), F.lit("'warnings' is not a list; replaced with []")),
+                F.when(scalar, F.concat(F.lit("reply is a "), kind, F.lit("; kept as raw_output"))),
+                wrong("data", "array", "a list; replaced with []"), wrong("metadata", "object", "an object; replaced with {}"),
+                wrong("warnings", "array", "a list; replaced with []"),
             ),
             lambda w: w.isNotNull(),
-        ),
-        F.coalesce(F.when((kind == "object") & (json_kind(warn) == "array"), F.filter(as_list(warn), lambda w: w.isNotNull() & (w != ""))), none),
-    )
-    return F.struct(
-        F.coalesce(F.when(kind == "array", as_list(j)).when((kind == "object") & (json_kind(data) == "array"), as_list(data)), none).alias("data"),
-        F.when((kind == "object") & (json_kind(meta) == "object"), meta)
-        .when(kind.isin("string", "number", "boolean"), F.to_json(F.struct(F.left(j, F.lit(2000)).alias("raw_output")))).otherwise(F.lit("{}")).alias("metadata"),
-        F.array_distinct(warnings).alias("warnings"),
-    )
+        )
+        own = F.coalesce(F.filter(as_list(F.when(json_kind(v["warnings"]) == "array", v["warnings"])), lambda w: w.isNotNull() & (w != "")), none)
+        listed = F.when(kind == "array", v["j"]).when(json_kind(v["data"]) == "array", v["data"])
+        raw = F.when(scalar, F.to_json(F.struct(F.left(v["j"], F.lit(2000)).alias("raw_output"))))
+        return F.struct(
+            F.coalesce(as_list(listed), none).alias("data"),
+            F.coalesce(F.when(json_kind(v["metadata"]) == "object", v["metadata"]), raw, F.lit("{}")).alias("metadata"),
+            F.array_distinct(F.concat(repairs, own)).alias("warnings"),
+        )
+
+    return T.let(T.let(T.let(T.col(c), split), take), shape)
 
 
 def container_items(c) -> Column:
     """Record list of an extracted payload: the payload itself, else the first
     priority key holding objects, else the first member that does."""
-    j = T.col(c)
     as_list = lambda t: F.from_json(t, "array<string>")
     objects = lambda t: (json_kind(t) == "array") & F.coalesce(json_kind(F.try_element_at(as_list(t), F.lit(1))) == "object", F.lit(False))
-    members = F.from_json(F.when(json_kind(j) == "object", j), "map<string,string>")
-    ranked = F.coalesce(*[F.when(objects(F.try_element_at(members, F.lit(k))), F.try_element_at(members, F.lit(k))) for k in CONTAINER_KEYS])
-    other = F.try_element_at(F.filter(F.map_values(members), objects), F.lit(1))
-    picked = F.when(objects(j), j).otherwise(F.coalesce(ranked, other))
-    return F.filter(F.coalesce(as_list(picked), F.array().cast("array<string>")), lambda x: json_kind(x) == "object")
+    holding = lambda x: T.let(x, lambda v: F.when(objects(v), v))
+
+    def pick(j):
+        members = F.from_json(F.when(json_kind(j) == "object", j), "map<string,string>")
+        by_rank = lambda m: F.coalesce(
+            *[holding(F.try_element_at(m, F.lit(k))) for k in CONTAINER_KEYS], F.try_element_at(F.filter(F.map_values(m), objects), F.lit(1))
+        )
+        return F.coalesce(holding(j), T.let(members, by_rank))
+
+    listed = T.let(T.let(T.col(c), pick), as_list)
+    return F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x: json_kind(x) == "object")
 
 
 def item_record(item) -> Column:
