@@ -358,9 +358,39 @@ def rec_value_folded(rec, key) -> Column:
     )
 
 
-def first_of_keys(rec, keys, getter=rec_value_ci) -> Column:
-    """First non-blank value over an ordered list of keys."""
-    return F.coalesce(*[getter(rec, k) for k in keys])
+def _rekeyed(rec: Column, fold) -> Column:
+    """The record under folded keys; of keys folding alike the first stays."""
+
+    def build(ks):
+        first = F.filter(F.sequence(F.lit(0), F.size(ks) - 1), lambda i: F.array_position(ks, F.element_at(ks, i + 1)) == i + 1)
+        pick = lambda arr: F.transform(first, lambda i: F.element_at(arr, i + 1))
+        return F.when(F.size(ks) > 0, F.map_from_arrays(pick(ks), pick(F.map_values(rec))))
+
+    return let(F.transform(F.map_keys(rec), fold), build)
+
+
+def with_lookup(df):
+    """Add the record under lower-case and folded keys, so that looking up many
+    candidate keys per record costs one fold of its keys."""
+    rec = F.col("rec")
+    return df.withColumn("_lower", _rekeyed(rec, F.lower)).withColumn("_folded", _rekeyed(rec, fold_record_key))
+
+
+def get_ci(key) -> Column:
+    """`rec_value_ci` on a frame with `with_lookup`."""
+    k = F.lit(key) if isinstance(key, str) else key
+    return none_if_blank(F.coalesce(F.try_element_at("rec", k), F.try_element_at("_lower", F.lower(k))))
+
+
+def get_folded(key) -> Column:
+    """`rec_value_folded` on a frame with `with_lookup`."""
+    k = F.lit(key) if isinstance(key, str) else key
+    return F.coalesce(get_ci(k), none_if_blank(F.try_element_at("_folded", fold_record_key(k))))
+
+
+def first_passing(values, test) -> Column:
+    """First of several values passing a test, each value computed once."""
+    return F.try_element_at(F.filter(F.array(*values), lambda v: v.isNotNull() & test(v)), F.lit(1))
 
 
 def stringify_record(rec) -> Column:

@@ -89,10 +89,11 @@ def key_score(keys, intent) -> Column:
     return T.let(F.transform(T.col(keys), T.fold_profile), score)
 
 
-def coverage_flags(rec) -> list[Column]:
-    """has_name, has_id, has_national_id, has_start and has_leave of a record."""
-    named = lambda keys, ok: F.coalesce(*[F.when(ok(T.rec_value_ci(rec, k)), F.lit(True)) for k in keys], F.lit(False))
-    idn = T.first_of_keys(rec, R.ID_KEYS)
+def coverage_flags() -> list[Column]:
+    """has_name, has_id, has_national_id, has_start and has_leave of a record on
+    a frame with `with_lookup`."""
+    named = lambda keys, ok: F.exists(F.array(*[T.get_ci(k) for k in keys]), lambda v: F.coalesce(ok(v), F.lit(False)))
+    idn = F.coalesce(*[T.get_ci(k) for k in R.ID_KEYS])
     dated = lambda keys: named(keys, lambda v: record_date(v).isNotNull())
     return [
         named(R.NAME_KEYS, is_person_name).alias("has_name"), idn.isNotNull().alias("has_id"),
@@ -103,7 +104,7 @@ def coverage_flags(rec) -> list[Column]:
 
 def field_coverage(records: DataFrame) -> DataFrame:
     """Share of a source's records with a name, an id, a start or leave date."""
-    flags = records.select("source_id", *coverage_flags("rec"))
+    flags = T.with_lookup(records.select("source_id", "rec")).select("source_id", *coverage_flags())
     share = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0))
     return flags.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("record_count"), share("has_name").alias("name_coverage"), share("has_id").alias("id_coverage"),
@@ -178,9 +179,9 @@ def choose_date_key(records: DataFrame, intent: str) -> DataFrame:
     """Per source the date key of an intent: for removals any key starting with
     enddate, then terminationdate; else the first candidate with a value."""
     cands = R.DATE_CANDIDATES[intent]
-    have = records.select(
+    have = T.with_lookup(records.select("source_id", *RECORD_ORDER, "rec")).select(
         "source_id", *RECORD_ORDER, F.map_entries("rec").alias("es"),
-        F.array(*[F.when(T.rec_value_folded("rec", k).isNotNull(), F.lit(i)) for i, k in enumerate(cands)]).alias("hits"),
+        F.array(*[F.when(T.get_folded(k).isNotNull(), F.lit(i)) for i, k in enumerate(cands)]).alias("hits"),
     )
     starts = lambda w: F.try_element_at(
         F.filter(F.transform("es", lambda e: e["key"]), lambda k: F.startswith(T.fold_record_key(k), F.lit(w))), F.lit(1)
@@ -202,20 +203,17 @@ def choose_date_key(records: DataFrame, intent: str) -> DataFrame:
     return per.select("source_id", F.coalesce(forced, found).alias("date_key"), reason.alias("date_key_reason"))
 
 
-def _first_present(records: DataFrame, keys, name: str) -> DataFrame:
-    """First key of a list with a value in the source's first five records."""
-    part = leading_records(records, 5)
-    hits = F.array_min(F.array(*[F.when(T.rec_value_ci("rec", k).isNotNull(), F.lit(i)) for i, k in enumerate(keys)]))
-    idx = part.groupBy("source_id").agg(F.min(hits).alias("_i"))
-    return idx.select("source_id", F.coalesce(F.try_element_at(F.array(*[F.lit(k) for k in keys]), F.col("_i") + 1), F.lit(keys[0])).alias(name))
+def _first_present(keys, name: str) -> Column:
+    """Aggregate: first key of a list with a value in a group of records."""
+    hits = F.array_min(F.array(*[F.when(T.get_ci(k).isNotNull(), F.lit(i)) for i, k in enumerate(keys)]))
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(k) for k in keys]), F.min(hits) + 1), F.lit(keys[0])).alias(name)
 
 
 def proposed_keys(records: DataFrame, intent: str, hints: DataFrame | None = None) -> DataFrame:
     """name_key, id_key and date_key proposed per source; hints(source_id,
     name_key, id_key, date_key) are used where no usual key is present."""
-    out = _first_present(records, R.NAME_KEYS, "name_key").join(_first_present(records, R.ID_KEYS, "id_key"), "source_id").join(
-        choose_date_key(records, intent), "source_id", "left"
-    )
+    first = T.with_lookup(leading_records(records, 5)).groupBy("source_id").agg(_first_present(R.NAME_KEYS, "name_key"), _first_present(R.ID_KEYS, "id_key"))
+    out = first.join(choose_date_key(records, intent), "source_id", "left")
     if hints is not None:
         h = hints.select("source_id", F.nullif("name_key", F.lit("")).alias("hn"), F.nullif("id_key", F.lit("")).alias("hi"), F.nullif("date_key", F.lit("")).alias("hd"))
         present = records.join(h.filter("hd IS NOT NULL").select("source_id", "hd"), "source_id").groupBy("source_id").agg(

@@ -24,38 +24,44 @@ def has_value(cells: DataFrame) -> DataFrame:
     return cells.filter(T.is_non_empty("raw") & ~zero)
 
 
-def used_range(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(*FORM).agg(
-        F.max("sheet").alias("sheet"), F.max("filename").alias("filename"), F.max("row").alias("max_row"), F.max("col").alias("max_col")
-    )
-
+def sheet_frames(cells: DataFrame) -> DataFrame:
+    """Per sheet: extent, header row and number of header lines.
 
-def header_row(cells: DataFrame) -> DataFrame:
-    """Per sheet the row with most filled cells, stopping early once three are
-    filled and the next row holds data."""
-    used = used_range(cells)
-    rows = used.select(*FORM, "max_row", F.explode(F.sequence(F.lit(1), F.least("max_row", F.lit(SCAN_ROWS + 1)))).alias("row"))
-    counts = has_value(cells.filter(F.col("row") <= SCAN_ROWS + 1)).groupBy(*FORM, "row").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*FORM).orderBy("row")
-    run = rows.join(counts, [*FORM, "row"], "left").fillna(0, ["n"]).withColumn("below", F.coalesce(F.lead("n").over(w), F.lit(0)))
-    run = run.filter(F.col("row") <= SCAN_ROWS).withColumn("best", F.max(F.struct("n", (-F.col("row")).alias("r"))).over(w))
-    stop = (F.col("best")["n"] >= 3) & (F.col("below") > 0)
-    per = run.groupBy(*FORM).agg(
-        F.min_by(F.col("best"), F.when(stop, F.col("row"))).alias("early"), F.max(F.struct("n", (-F.col("row")).alias("r"))).alias("best"),
-        F.map_from_entries(F.collect_list(F.struct("row", "n"))).alias("by_row"), F.max("max_row").alias("max_row"),
-        F.max_by("below", "row").alias("last_below"), F.max("row").alias("last_row"),
+    The header row is the one with most filled cells, stopping early once three
+    are filled and the next row holds data. Only the counts of the first rows
+    are gathered, so a sheet of any size gives one small map."""
+    zero = F.coalesce((F.col("raw_type") == "number") & (F.col("raw").try_cast("double") == 0.0), F.lit(False))
+    filled = T.is_non_empty("raw") & ~zero
+    rows = cells.groupBy(*FORM, "row").agg(
+        F.sum(F.when(filled, 1).otherwise(0)).cast("int").alias("n"), F.max("col").alias("max_col"), F.max("sheet").alias("sheet"), F.max("filename").alias("filename")
+    )
+    early = F.when(F.col("row") <= SCAN_ROWS + 1, F.struct("row", "n"))
+    per = rows.groupBy(*FORM).agg(
+        F.max("sheet").alias("sheet"), F.max("filename").alias("filename"), F.max("row").alias("max_row"), F.max("max_col").alias("max_col"),
+        F.map_from_entries(F.collect_list(early)).alias("counts"),
+    )
+    count = lambda r: F.coalesce(F.try_element_at("counts", r), F.lit(0))
+
+    def look(acc, r):
+        n = count(r)
+        better = ~acc["done"] & (n > acc["n"])
+        best = F.when(better, n).otherwise(acc["n"])
+        return F.struct(
+            best.alias("n"), F.when(better, r).otherwise(acc["row"]).alias("row"), (acc["done"] | ((best >= 3) & (count(r + 1) > 0))).alias("done")
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("row"), F.lit(False).alias("done"))
+    per = per.withColumn("h", F.aggregate(F.sequence(F.lit(1), F.least("max_row", F.lit(SCAN_ROWS))), start, look))
+    row = F.col("h")["row"]
+    return per.filter(F.col("h")["n"] >= 2).select(
+        *FORM, "sheet", "filename", "max_row", "max_col", row.alias("header_row"), ((count(row + 1) >= 2) & (row + 1 <= F.col("max_row"))).alias("two_lines")
     )
-    h = F.when(F.col("early").isNotNull(), -F.col("early")["r"]).when(F.col("best")["n"] >= 2, -F.col("best")["r"])
-    per = per.withColumn("h", h).filter("h IS NOT NULL")
-    next_n = F.coalesce(F.try_element_at("by_row", F.col("h") + 1), F.when(F.col("h") == F.col("last_row"), F.col("last_below")), F.lit(0))
-    return per.select(*FORM, F.col("h").alias("header_row"), ((next_n >= 2) & (F.col("h") + 1 <= F.col("max_row"))).alias("two_lines"))
 
 
 def regions(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Regions of every sheet: its named tables, else one found in the used
     range. tables(template_id, sheet_idx, table_name, ref)."""
-    used = used_range(cells)
-    auto = used.join(header_row(cells), FORM).select(
+    auto = sheet_frames(cells).select(
         *FORM, "sheet", "filename", F.concat(F.lit("region_"), F.col("header_row").cast("string")).alias("region_id"),
         F.col("header_row").alias("first_row"), F.least("max_row", F.col("header_row") + PREVIEW_ROWS).alias("last_row"),
         F.lit(1).alias("first_col"), F.col("max_col").alias("last_col"), F.when(F.col("two_lines"), 2).otherwise(1).alias("header_lines"),
@@ -71,7 +77,8 @@ def regions(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     inside = has_value(cells).select(*FORM, "row", "col").join(named, FORM).filter(
         (F.col("row") == F.col("first_row") + 1) & (F.col("row") <= F.col("last_row")) & F.col("col").between(F.col("first_col"), F.col("last_col"))
     ).select(*FORM, "region_id").distinct().withColumn("second", F.lit(True))
-    named = named.join(inside, [*FORM, "region_id"], "left").join(used.select(*FORM, "sheet", "filename"), FORM)
+    titles = cells.groupBy(*FORM).agg(F.max("sheet").alias("sheet"), F.max("filename").alias("filename"))
+    named = named.join(inside, [*FORM, "region_id"], "left").join(titles, FORM)
     named = named.withColumn("header_lines", F.when(F.col("second"), 2).otherwise(1)).select(*auto.columns)
     return named.unionByName(auto.join(named.select(*FORM).distinct(), FORM, "left_anti"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..common import positions
+from ..common import checkpointed, positions
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions.checks import final_guard, is_digits, is_id_number, is_person_name, row_errors
@@ -38,16 +38,14 @@ def extract_people(records: DataFrame, intent: str, hints: DataFrame | None = No
         j = j.withColumn("reason_key", F.lit(None).cast("string"))
     j = j.withColumn("action", I.sheet_action(F.lit(intent), "sheet_name")).filter(I.own_intent_allows("rec", F.lit(intent)))
 
-    by_default = F.coalesce(*[F.when(is_person_name(T.rec_value_ci("rec", k)), T.rec_value_ci("rec", k)) for k in R.NAME_KEYS])
-    name = F.coalesce(T.rec_value_ci("rec", F.col("name_key")), by_default)
+    j = T.with_lookup(j)
+    name = F.coalesce(T.get_ci(F.col("name_key")), T.first_passing([T.get_ci(k) for k in R.NAME_KEYS], is_person_name))
     cands = R.DATE_CANDIDATES[intent]
-    when = F.coalesce(D.record_date(T.rec_value_folded("rec", F.col("date_key"))), *[D.record_date(T.rec_value_folded("rec", k)) for k in cands])
-
-    def good_id(v):
-        return F.when(v.isNotNull() & is_id_number(v) & ~is_person_name(v) & ~D.is_date_like(v), v)
-
-    idn = F.coalesce(good_id(T.rec_value_ci("rec", F.col("id_key"))), *[good_id(T.rec_value_ci("rec", k)) for k in R.ID_KEYS])
-    reason = F.coalesce(T.rec_value_folded("rec", F.col("reason_key")), *[T.rec_value_folded("rec", k) for k in R.REASON_CANDIDATES]) if intent == "remove" else F.lit(None).cast("string")
+    dates = F.transform(F.array(T.get_folded(F.col("date_key")), *[T.get_folded(k) for k in cands]), D.record_date)
+    when = F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
+    good_id = lambda v: is_id_number(v) & ~is_person_name(v) & ~D.is_date_like(v)
+    idn = T.first_passing([T.get_ci(F.col("id_key")), *[T.get_ci(k) for k in R.ID_KEYS]], good_id)
+    reason = F.coalesce(T.get_folded(F.col("reason_key")), *[T.get_folded(k) for k in R.REASON_CANDIDATES]) if intent == "remove" else F.lit(None).cast("string")
     out = j.select(
         *LINEAGE, "sheet_name", "action", "date_key", name.alias("name"),
         F.coalesce(F.when(F.col("id_available"), idn), F.lit("")).alias("id_number"), when.alias("event_date"), F.coalesce(reason, F.lit("")).alias("reason"),
@@ -64,9 +62,11 @@ def extract_people(records: DataFrame, intent: str, hints: DataFrame | None = No
 
 def roster_people(records: DataFrame, intent: str, opts: FillOptions = FillOptions(), hints: DataFrame | None = None) -> DataFrame:
     """Best sources for the intent, their people, one row each."""
-    top = S.top_sources(S.score_sources(records, (intent,)), opts.max_sources)
-    chosen = records.join(top.select("source_id"), "source_id", "left_semi")
-    people = extract_people(chosen, intent, hints).filter("skipped IS NULL")
+    # A handful of source ids: kept as a table, so everything after it reads
+    # only their records.
+    top = checkpointed(S.top_sources(S.score_sources(records, (intent,)), opts.max_sources).select("source_id"))
+    chosen = records.join(top, "source_id", "left_semi")
+    people = checkpointed(extract_people(chosen, intent, hints).filter("skipped IS NULL"))
     return S.dedupe_people(people.drop("skipped", "action", "date_key", "sheet_name"), ORDER, opts.name_only_dedupe)
 
 
@@ -112,7 +112,7 @@ def roster_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, sample
     parts = []
     for intent in ("add", "remove"):
         rows = check_rows(roster_people(records, intent, opts, hints), intent).filter(F.size("errors") == 0)
-        placed = positions(rows.withColumn("intent", F.lit(intent)), ["intent"], ORDER, ["row_idx"])
+        placed = checkpointed(positions(checkpointed(rows.withColumn("intent", F.lit(intent))), ["intent"], ORDER, ["row_idx"]))
         has_id = placed.agg(F.coalesce(F.max(F.col("id_number") != ""), F.lit(False))).scalar()
         roles = profile_columns(columns).filter((F.col("role_idx") == 0) | F.col("role").isin("declare", "fee_month", "reason"))
         if intent == "add":
@@ -157,7 +157,7 @@ def insurance_rows(records: DataFrame, intent: str, proposal: DataFrame | None =
     """People for an insurance form: removals from mails and the workbook,
     deduplicated; additions from one workbook. `skipped` tells who is left out."""
     books = records.filter("source_type = 'excel'")
-    choice = S.select_source(books, intent, proposal, opts.words).select("source_id", "name_key", "date_key")
+    choice = checkpointed(S.select_source(books, intent, proposal, opts.words).select("source_id", "name_key", "date_key"))
     if intent == "remove":
         both = mail_leave_rows(records).unionByName(sheet_leave_rows(books, choice))
         rows = S.dedupe_leave(both, ORDER).withColumn("event_date", D.record_date("leave_date"))
@@ -195,7 +195,7 @@ def insurance_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, pro
     )
     parts = []
     for intent in ("add", "remove"):
-        rows = insurance_rows(records, intent, proposal, opts).filter("skipped IS NULL").withColumn("intent", F.lit(intent))
+        rows = checkpointed(insurance_rows(records, intent, proposal, opts).filter("skipped IS NULL").withColumn("intent", F.lit(intent)))
         placed = positions(rows, ["intent"], ORDER, ["row_idx"])
         targets = ok.filter(F.col("intent") == intent).join(plan, "template_id").withColumn("fee_month_format", F.lit("YYYYMM")).drop("is_insurance")
         parts.append(_cells(placed, targets))

@@ -4,6 +4,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import checkpointed
 from ..functions import dates as D
 from ..operators import resolve as S
 from ..options import FillOptions, IntentWords
@@ -48,12 +49,13 @@ def _tables(t, recipe: str = PART_FORMS) -> DataFrame:
 
 
 def _columns(t, recipe: str = PART_FORMS) -> DataFrame:
-    return FO.parse_forms(_forms(t, recipe), _tables(t, recipe))
+    # Described once, used by every later step.
+    return checkpointed(FO.parse_forms(_forms(t, recipe), _tables(t, recipe)))
 
 
 COLUMNS = """
 SELECT * FROM (VALUES
-  (0, 'region_2', 1, 'A', '姓名', '', 'General', 2, 9, 3), (0, 'region_2', 2, 'B', '证件号码', '', 'General', 2, 9, 3), (0, 'region_2', 3, 'C', '申报类型', '增', 'General', 2, 9, 3), (0, 'region_2', 4, 'D', '费用年月', '202512', '@', 2, 9, 3), (0, 'region_2', 5, 'E', '申报类型', '', 'General', 2, 9, 3), (0, 'region_2', 6, 'F', '费用年月', '=D4', 'General', 2, 9, 3),
+  (0, 'region_1', 1, 'A', '参保人/姓名', '', 'General', 1, 9, 3), (0, 'region_1', 2, 'B', '证件号码', '', 'General', 1, 9, 3), (0, 'region_1', 3, 'C', '社保/申报类型', '增', 'General', 1, 9, 3), (0, 'region_1', 4, 'D', '费用年月', '202512', '@', 1, 9, 3), (0, 'region_1', 5, 'E', '公积金/申报类型', '', 'General', 1, 9, 3), (0, 'region_1', 6, 'F', '费用年月', '=D4', 'General', 1, 9, 3),
   (1, 'region_2', 1, 'A', '姓名', '样例', 'General', 2, 3, 3), (1, 'region_2', 2, 'B', '证件号', '', 'General', 2, 3, 3), (1, 'region_2', 3, 'C', '入职时间', '', 'yyyy-mm-dd', 2, 3, 3),
   (2, 'table_T1', 2, 'B', '姓名', '', 'General', 3, 9, 4), (2, 'table_T1', 3, 'C', '工号', '', 'General', 3, 9, 4), (2, 'table_T1', 4, 'D', '备注', '', 'General', 3, 9, 4),
   (3, 'region_1', 1, 'A', 'Name', '', 'General', 1, 1, 2), (3, 'region_1', 2, 'B', 'Age', '', 'General', 1, 1, 2), (3, 'region_1', 3, 'C', 'City', '', 'General', 1, 1, 2)
@@ -75,7 +77,7 @@ def form_two_lines(t):
     return FO.parse_forms(x).select("template_id", "col_letter", "header_path")
 
 
-@query("form_samples", f"SELECT template_id, v.row, v.sample FROM ({PART_FORMS}) f JOIN (VALUES (0, 3, '申报类型=增,费用年月=202512'), (1, 3, '姓名=样例')) v(variant, row, sample) USING (variant)")
+@query("form_samples", f"SELECT template_id, v.row, v.sample FROM ({PART_FORMS}) f JOIN (VALUES (0, 3, '社保/申报类型=增,费用年月=202512'), (1, 3, '姓名=样例')) v(variant, row, sample) USING (variant)")
 def form_samples(t):
     s = FO.sample_rows(_forms(t), _columns(t))
     return s.select("template_id", "row", F.array_join(F.transform(F.map_entries("sample"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("sample"))
@@ -153,7 +155,7 @@ def enrich_mapping(t):
     return X.enrich_mapping(cols, t.sql(_FKEYS), existing)
 
 
-@query("synonym_match", f"SELECT template_id, v.header_path, v.key FROM ({PART_FORMS}) f JOIN (VALUES (0, '姓名', '名字'), (0, '证件号码', '身份证号'), (1, '姓名', '名字'), (1, '证件号', '身份证号'), (1, '入职时间', '入职'), (2, '姓名', '名字')) v(variant, header_path, key) USING (variant)")
+@query("synonym_match", f"SELECT template_id, v.header_path, v.key FROM ({PART_FORMS}) f JOIN (VALUES (0, '参保人/姓名', '名字'), (0, '证件号码', '身份证号'), (1, '姓名', '名字'), (1, '证件号', '身份证号'), (1, '入职时间', '入职'), (2, '姓名', '名字')) v(variant, header_path, key) USING (variant)")
 def synonym_match(t):
     cols = _columns(t)
     keys = cols.select("template_id").distinct().select("template_id", F.posexplode(F.array(*[F.lit(k) for k in ("身份证号", "名字", "入职", "其他")])).alias("key_idx", "key"))
@@ -161,7 +163,7 @@ def synonym_match(t):
 
 
 # ------------------------------------------------------------------- months
-@query("month_field", RECS + f" SELECT o_orderkey, CASE WHEN variant IN (0, 2) THEN coalesce(strftime({GOOD_DATE}, '%Y%m'), '') WHEN variant = 3 THEN coalesce(strftime({GOOD_DATE}, '%Y%m'), '') ELSE '' END AS m1, CASE WHEN variant IN (0, 2, 3) AND {GOOD_DATE} IS NOT NULL THEN strftime({GOOD_DATE}, CASE WHEN o_orderkey % 2 = 0 THEN '%Y/%m' ELSE '%Y-%m' END) ELSE '' END AS m2 FROM r")
+@query("month_field", RECS + f" SELECT o_orderkey, CASE WHEN variant IN (0, 2) THEN coalesce(strftime({GOOD_DATE}, '%Y%m'), '') WHEN variant = 3 THEN coalesce(strftime({GOOD_DATE}, '%Y%m'), '') ELSE '' END AS m1, CASE WHEN variant IN (0, 2, 3) AND {GOOD_DATE} IS NOT NULL THEN CASE WHEN o_orderkey % 2 = 0 THEN strftime({GOOD_DATE}, '%Y/%m') ELSE strftime({GOOD_DATE}, '%Y-%m') END ELSE '' END AS m2 FROM r")
 def month_field(t):
     r = records(t).select("o_orderkey", "rec")
     style = F.when(F.col("o_orderkey") % 2 == 0, F.lit("YYYY/MM")).otherwise(F.lit("YYYY-MM"))
@@ -178,7 +180,7 @@ def fee_month(t):
 
 
 @query("auto_fields", RECS + f""", m AS (SELECT strftime({GOOD_DATE}, '%Y%m') AS m FROM r WHERE variant IN (1, 4) AND {GOOD_DATE} IS NOT NULL ORDER BY source_type, source_file, source_id, sheet_idx, row_idx LIMIT 1)
-SELECT template_id, v.header_path, v.col_index, v.key, CASE WHEN v.key IS NULL THEN m END AS constant FROM ({NATION_FORMS}) f JOIN (VALUES (0, '申报类型', 3, '申报类型'), (0, '申报类型', 5, '申报类型'), (0, '费用年月', 4, NULL), (0, '费用年月', 6, NULL)) v(variant, header_path, col_index, key) USING (variant), m""")
+SELECT template_id, v.header_path, v.col_index, v.key, CASE WHEN v.key IS NULL THEN m END AS constant FROM ({NATION_FORMS}) f JOIN (VALUES (0, '社保/申报类型', 3, '申报类型'), (0, '公积金/申报类型', 5, '申报类型'), (0, '费用年月', 4, NULL), (0, '费用年月', 6, NULL)) v(variant, header_path, col_index, key) USING (variant), m""")
 def auto_fields(t):
     cells, cols = _forms(t, NATION_FORMS), _columns(t, NATION_FORMS)
     r = records(t).select(*RECORD_COLS)
@@ -317,7 +319,7 @@ def row_checks(t):
 
 
 _INS = RECS + f""", bk AS (SELECT source_id FROM r WHERE source_type = 'excel' AND contains(source_file, '离职') ORDER BY source_file, source_id LIMIT 1), ak AS (SELECT source_id FROM r WHERE source_type = 'excel' AND contains(source_file, '入职') ORDER BY source_file, source_id LIMIT 1),
-m AS (SELECT source_type, source_file, source_id, sheet_idx, row_idx, nm AS name, idn AS employee_id, dt AS leave_date, dt AS leave_date_text FROM r WHERE variant = 3
+m AS (SELECT source_type, source_file, source_id, sheet_idx, row_idx, nm AS name, idn AS employee_id, dt AS leave_date, '' AS leave_date_text FROM r WHERE variant = 3
   UNION ALL SELECT source_type, source_file, source_id, sheet_idx, row_idx, nm, idn, coalesce(strftime({GOOD_DATE}, '%Y-%m-%d'), ''), dt FROM r SEMI JOIN bk USING (source_id) WHERE sheet_name IN ('减员', '离职_1')),
 x AS (SELECT *, 1 + CASE WHEN employee_id <> '' THEN 1 ELSE 0 END + CASE WHEN leave_date <> '' THEN 1 ELSE 0 END + CASE WHEN leave_date_text <> '' THEN 1 ELSE 0 END AS filled FROM m),
 a AS (SELECT * FROM x WHERE employee_id <> '' QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY filled DESC, source_type, source_file, source_id, sheet_idx, row_idx) = 1),

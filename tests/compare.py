@@ -74,7 +74,8 @@ def compare(spark, con, root, name, fn, sql):
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if a == b:
         return "ok", len(got), took, ""
-    extra, miss = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
+    sa, sb = set(a), set(b)
+    extra, miss = [r for r in a if r not in sb][:3], [r for r in b if r not in sa][:3]
     return "DIFF", len(got), took, f"{len(a)} vs {len(b)} rows {sorted(names)}\n   spark only {extra}\n   sql only   {miss}"
 
 
