@@ -93,7 +93,7 @@ def run_fill(records: DataFrame, form_cells: DataFrame, forms: DataFrame, regist
     """records and forms → typed cell writes for every form in one plan: routed
     strategies first, the synonym fallback for forms left empty."""
     columns = checkpointed(FO.parse_forms(form_cells, tables))
-    planned = checkpointed(RO.plan_fill(records, columns, checkpointed(RO.route_forms(forms, columns, registry))))
+    planned = checkpointed(RO.plan_fill(records, columns, RO.route_forms(forms, columns, registry)))
     backup = P.fallback_cells(records, columns, planned).withColumn("strategy", F.lit("fallback"))
     writes = planned.unionByName(backup)
     if opts.allowed_columns:

@@ -87,6 +87,20 @@ def skip_counts(people: DataFrame) -> DataFrame:
     return people.filter("skipped IS NOT NULL").groupBy("skipped").agg(F.count(F.lit(1)).alias("n"))
 
 
+CELL_WRITES = "template_id string, sheet string, row int, col int, col_letter string, key string, value string"
+
+
+def _wanted(forms: DataFrame) -> list[str]:
+    """The intents some form asks for. Forms are the caller's configuration: at
+    most two rows come back, and work for unused intents is not planned."""
+    found = forms.filter(F.col("intent").isin("add", "remove")).select("intent").distinct().collect()
+    return sorted(r.intent for r in found)
+
+
+def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else like.sparkSession.createDataFrame([], CELL_WRITES)
+
+
 def _cells(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """rows(intent, pos, name, id_number, declare_type, month, reason) joined to
     the forms of their intent. targets(template_id, intent, sheet, data_row, plan
@@ -108,9 +122,9 @@ def _cells(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def roster_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, samples: DataFrame | None = None, opts: FillOptions = FillOptions(), hints: DataFrame | None = None) -> DataFrame:
     """cell_writes of forms with a detected profile. forms(template_id, intent)."""
-    found = detect_profiles(columns, samples).filter("detected").join(forms.select("template_id", "intent"), "template_id")
+    found = checkpointed(detect_profiles(columns, samples).filter("detected").join(forms.select("template_id", "intent"), "template_id"))
     parts = []
-    for intent in ("add", "remove"):
+    for intent in _wanted(found):
         rows = check_rows(roster_people(records, intent, opts, hints), intent).filter(F.size("errors") == 0)
         placed = checkpointed(positions(checkpointed(rows.withColumn("intent", F.lit(intent))), ["intent"], ORDER, ["row_idx"]))
         has_id = placed.agg(F.coalesce(F.max(F.col("id_number") != ""), F.lit(False))).scalar()
@@ -128,7 +142,7 @@ def roster_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, sample
             F.array_sort(F.collect_list(F.struct("col_index", "col_letter", "role", "key"))).alias("plan"),
         )
         parts.append(_cells(placed, found.filter(F.col("intent") == intent).join(plan, "template_id").drop("detected")))
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts, columns)
 
 
 # ----------------------------------------------------------- insurance forms
@@ -179,7 +193,7 @@ def insurance_rows(records: DataFrame, intent: str, proposal: DataFrame | None =
 def insurance_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, proposal: DataFrame | None = None, opts: FillOptions = FillOptions()) -> DataFrame:
     """cell_writes of insurance forms: first name, declare-type and fee-month
     column each."""
-    ok = is_insurance_form(columns).filter("is_insurance").join(forms.select("template_id", "intent"), "template_id")
+    ok = checkpointed(is_insurance_form(columns).filter("is_insurance").join(forms.select("template_id", "intent"), "template_id"))
     main = main_region(columns)
     first = lambda suffix, role: suffix_columns(main, suffix).groupBy("template_id").agg(
         F.min(F.struct("col_index", "col_letter", "header_path")).alias("c"), F.max("sheet").alias("sheet"), F.max("data_row").alias("data_row")
@@ -194,12 +208,12 @@ def insurance_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, pro
         F.max("sheet").alias("sheet"), F.max("data_row").alias("data_row"), F.array_sort(F.collect_list(F.struct("col_index", "col_letter", "role", "key"))).alias("plan")
     )
     parts = []
-    for intent in ("add", "remove"):
+    for intent in _wanted(ok):
         rows = checkpointed(insurance_rows(records, intent, proposal, opts).filter("skipped IS NULL").withColumn("intent", F.lit(intent)))
         placed = positions(rows, ["intent"], ORDER, ["row_idx"])
         targets = ok.filter(F.col("intent") == intent).join(plan, "template_id").withColumn("fee_month_format", F.lit("YYYYMM")).drop("is_insurance")
         parts.append(_cells(placed, targets))
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts, columns)
 
 
 # ------------------------------------------------------------------- routing
@@ -237,10 +251,13 @@ def plan_fill(records: DataFrame, columns: DataFrame, routed: DataFrame, strateg
     """cell_writes of all forms by their strategy. A strategy maps (records,
     columns, forms) to cell_writes; own ones may be added or replace these."""
     table = {"roster": roster_plan, "insurance": insurance_plan, **(strategies or {})}
-    parts = []
-    for name, strategy in sorted(table.items()):
+    routed, parts = checkpointed(routed), []
+    used = {r.strategy for r in routed.select("strategy").distinct().collect()}
+    for name, strategy in sorted((n, s) for n, s in table.items() if n in used):
         forms = routed.filter(F.col("strategy") == name)
         own = columns.join(forms.select("template_id"), "template_id", "left_semi")
         parts.append(strategy(records, own, forms).withColumn("strategy", F.lit(name)))
+    if not parts:
+        parts = [_union([], columns).withColumn("strategy", F.lit(None).cast("string"))]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return out.transform(postprocess) if postprocess else out

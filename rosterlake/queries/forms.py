@@ -375,13 +375,13 @@ def plan_fill(t):
     w = RO.plan_fill(
         records(t).select(*RECORD_COLS), cols, RO.route_forms(_form_list(t, NATION_FORMS), cols, _registry(t)), {"custom": one_cell}, lambda d: d.withColumn("mark", F.lit("x")),
     )
-    w = w.filter("strategy <> 'insurance'")
+    w = checkpointed(w.filter("strategy <> 'insurance'"))
     return P.written_counts(w).join(w.select("template_id", "strategy", "mark").distinct(), "template_id")
 
 
-@query("run_fill", _ROSTER + f""", s AS (SELECT source_id FROM r ORDER BY source_type, source_file, source_id LIMIT 1), fb AS (SELECT count(*) AS n FROM r SEMI JOIN s USING (source_id)), c AS (SELECT intent, count(*) AS n FROM q GROUP BY 1),
+@query("run_fill", _ROSTER + f""", s1 AS (SELECT source_id FROM r ORDER BY source_type, source_file, source_id LIMIT 1), fb AS (SELECT count(*) AS n FROM r SEMI JOIN s1 USING (source_id)), cn AS (SELECT intent, count(*) AS n FROM q GROUP BY 1),
 f AS (SELECT *, cast(substr(template_id, 2) AS bigint) AS k FROM ({NATION_FORMS}) z)
-SELECT template_id, 'roster' AS strategy, n * 6 - CASE WHEN n >= 7 THEN 1 ELSE 0 END - CASE WHEN n >= 2 THEN 1 ELSE 0 END AS n_cells FROM f JOIN c ON c.intent = CASE k % 3 WHEN 1 THEN 'remove' ELSE 'add' END WHERE variant = 0
+SELECT template_id, 'roster' AS strategy, n * 6 - CASE WHEN n >= 7 THEN 1 ELSE 0 END - CASE WHEN n >= 2 THEN 1 ELSE 0 END AS n_cells FROM f JOIN cn ON cn.intent = CASE k % 3 WHEN 1 THEN 'remove' ELSE 'add' END WHERE variant = 0
 UNION ALL SELECT template_id, 'fallback', n * 3 FROM f, fb WHERE variant > 0""")
 def run_fill(t):
     cells = _forms(t, NATION_FORMS)
@@ -392,7 +392,8 @@ def run_fill(t):
 
 # ------------------------------------------------------------------ extract
 def _inbox(t) -> DataFrame:
-    """A mail per order with its leave notice, and a workbook per hundred orders."""
+    """A mail per order with its leave notice, and a workbook per hundred orders
+    whose columns cannot be named, so that it gives no records."""
     mails = t.sql(R.LEAVE_MAILS)
     head = F.concat(F.lit("From: a@x.cn\r\nDate: "), F.date_format("mail_date", "dd MMM yyyy"), F.lit(" 10:00:00 +0000\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"))
     eml = mails.select("source_id", F.concat("source_id", F.lit(".eml")).alias("source_file"), F.encode(F.concat(head, F.base64(F.encode("body", "UTF-8"))), "UTF-8").alias("content"))
@@ -404,7 +405,7 @@ def _inbox(t) -> DataFrame:
 from .mails import _NOTICE  # noqa: E402
 
 
-@query("run_extract", _NOTICE + "SELECT 'leave_lines' AS extraction_type, count(*) AS n, count(DISTINCT source_id) AS n_sources, sum(CASE WHEN leave_date = '' THEN 1 ELSE 0 END) AS undated FROM recs UNION ALL SELECT 'sheet', count(*), count(DISTINCT floor(o_orderkey / 100)), count(*) FROM {orders}")
+@query("run_extract", _NOTICE + "SELECT 'leave_lines' AS extraction_type, count(*) AS n, count(DISTINCT source_id) AS n_sources, sum(CASE WHEN leave_date = '' THEN 1 ELSE 0 END) AS undated FROM recs")
 def run_extract(t):
     out = N.run_extract(_inbox(t))
     dated = F.coalesce(F.try_element_at("rec", F.lit("leave_date")), F.lit(""))

@@ -21,15 +21,20 @@ def file_feed(spark: SparkSession, path: str, routes: RouteOptions = RouteOption
     return route(with_source_ids(raw.withColumnRenamed("path", "file_path")), routes)
 
 
+def _timed(feed: DataFrame, time: str) -> DataFrame:
+    """Watermarks need an instant; plain date-times are read in session time."""
+    return feed.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def dedupe_feed(feed: DataFrame, key: str, time: str, delay: str = "1 day") -> DataFrame:
     """One row per content key within the delay; state is dropped behind the
     watermark, so it stays bounded."""
-    return feed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return _timed(feed, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def counts_feed(feed: DataFrame, kind: str, time: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Counts per type and time window; rows behind the watermark are dropped."""
-    return feed.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), T.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(
+    return _timed(feed, time).withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), T.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w")["start"].alias("window_start"), "kind", "n"
     )
 
