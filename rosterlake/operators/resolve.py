@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..common import attach, best_per_group, first_k
+from ..common import attach, best_per_group, checkpointed, first_k
 from ..functions import text as T
 from ..functions.checks import SCORES, is_national_id, is_person_name
 from ..functions.dates import record_date
@@ -19,6 +19,8 @@ def dedupe_leave(rows: DataFrame, order: list[str]) -> DataFrame:
     """One record per employee id, else per (name, leave date), keeping the one
     with most filled fields; a name and date already covered by an id winner is
     dropped; rows without id and name stay."""
+    # Read by several branches below, so computed and kept once.
+    rows = checkpointed(rows)
     fields = [c for c in rows.columns if c not in order]
     filled = sum((F.when(T.is_non_empty(F.col(c).cast("string")), 1).otherwise(0) for c in fields), F.lit(0))
     clean = rows.withColumn("_id", F.coalesce(T.utrim("employee_id"), F.lit(""))).withColumn(
@@ -37,6 +39,8 @@ def dedupe_people(rows: DataFrame, order: list[str], name_only: bool = False) ->
     """One record per id of four characters or more, else per (name, event
     date); rows without id are dropped when an id winner has the name. With
     `name_only`, at most one row per name is kept overall."""
+    # Read by several branches below, so computed and kept once.
+    rows = checkpointed(rows)
     clean = rows.withColumn("_id", F.coalesce(T.utrim("id_number"), F.lit(""))).withColumn("_name", F.coalesce("name", F.lit("")))
     size = F.length(F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns if c not in order]))
     best = [-size, *[F.col(o) for o in order]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import spread
 from . import recipes as R
 from .registry import Tables
 
@@ -27,7 +28,7 @@ def _map(*pairs):
 
 def records(t: Tables) -> DataFrame:
     """The record rows with their maps; six shapes of keys."""
-    rows = t.sql(R.RECORD_ROWS)
+    rows = spread(t.sql(R.RECORD_ROWS))
     rec = (
         F.when(F.col("variant") == 0, _map(("name", "nm"), ("id_number", "idn"), ("start_date", "dt"), ("部门", "prio")))
         .when(F.col("variant") == 1, _map(("姓名", "nm"), ("工号", "idn"), ("离职日期", "dt"), ("离职原因", "reason")))
