@@ -243,8 +243,8 @@ def cleaned(docs: DataFrame, items: DataFrame, max_span: int = 0, max_coverage:
     """`docs`, all columns, with hit spans of more than `max_span` words cut out of
     `text`; rows of which more than `max_coverage` of the words is hit are left out.
     A null text stays null."""
-    whole = F.struct(*docs.columns)
-    keyed = docs.select(whole.alias("_row"), F.col(text).cast("string").alias("_text"))
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{c}") for c in docs.columns if c != text])
+    keyed = docs.select(rest.alias("_row"), F.col(text).cast("string").alias("_text"))
     out = matched(keyed, items, window, "_row", "_text", item_id, item_text)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     kept = out.filter(n_hit <= F.lit(max_coverage) * F.col("n_words")).select("doc_id", "text", "hit_spans")
@@ -259,4 +259,4 @@ def cleaned(docs: DataFrame, items: DataFrame, max_span: int = 0, max_coverage:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     done = kept.mapInArrow(run, shape)
-    return done.select(*[F.col("text").alias(c) if c == text else F.col("doc_id")[c].alias(c) for c in docs.columns])
+    return done.select(*[F.col("text").alias(c) if c == text else F.col("doc_id")[f"_{c}"].alias(c) for c in docs.columns])
