@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.common import checkpointed
-from rosterlake.llm import decontaminate, packing, secrets, toxicity
+from rosterlake.llm import decontaminate, jaccard, packing, secrets, toxicity
 from rosterlake.llm.queries import SEQUENCE, table, tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,6 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), model).filter("predicted = 0").select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id."""
+    return jaccard.representatives(docs.select(*COLUMNS))
+
+
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of test items; mostly copied ones go."""
     return decontaminate.cleaned(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -37,6 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
     ("benchmark decontamination", cut_benchmark),
     ("secret scans", redact_secrets),
     ("best-fit packing", pack_sequences),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, decontaminate, licenses, packing, quality, secrets, substrings, toxicity
+from . import chat, counting, decontaminate, jaccard, licenses, packing, quality, secrets, substrings, toxicity
 
 SEQUENCE = 2048
 TOKEN_LIMIT = 512
@@ -54,6 +54,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -67,7 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_toxicity, op8_suffix_dedup, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_toxicity, op7_ngram_jaccard_join, op8_suffix_dedup, op9_decontamination, op10_license_scan)}
 
 
 def all_oracles() -> dict[str, str]:
