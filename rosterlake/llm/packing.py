@@ -136,14 +136,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, slack: int = 4,
     emitted, open_ = [bins.filter(F.col("used") >= capacity - slack)], bins.filter(F.col("used") < capacity - slack)
     before = open_.count()
     while before > 1 and parts > 1:
-        parts = max(-(-parts // FAN_IN), -(-before // GROUP))
+        least = -(-before // GROUP)
+        parts = max(-(-parts // FAN_IN), least)
         bins = checkpointed(open_.repartition(parts).mapInArrow(_next_round(capacity), BIN))
         open_ = bins.filter(F.col("used") < capacity - slack)
         after = open_.count()
         emitted.append(bins.filter(F.col("used") >= capacity - slack))
-        full = before - after
+        stuck = parts == least and 50 * (before - after) < after
         before = after
-        if full * 50 < after:  # nothing much fits together any more
+        if stuck:  # more than a task takes, and nothing much fits together any more
             break
     out = open_
     for part in emitted:

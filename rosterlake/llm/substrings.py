@@ -151,7 +151,9 @@ def _sorted_runs(length: int, buckets: int):
         rows, bucket, key, h, pos = rows[order], bucket[order], key[order], h[order], pos[order]
         differ = rows[1:] != rows[:-1]
         fresh = np.append(True, differ.any(axis=1))
-        gone = ~fresh
+        place = np.arange(len(rows))
+        first = np.maximum.accumulate(np.where(fresh, place, 0))
+        gone = ~fresh & ((key != key[first]) | (h != h[first]) | (pos != pos[first]))  # a repeated row is no repeat
         out = [(-1, {"lcp": b"", "tail": b"", "ids": key[gone].tobytes(), "hashes": h[gone].tobytes(), "places": np.stack([pos[gone] - rows[gone, -1], pos[gone] + rows[gone, length]], 1).astype(np.int64).tobytes()})] if gone.any() else []
         rows, bucket, key, h, pos = rows[fresh], bucket[fresh], key[fresh], h[fresh], pos[fresh]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -286,8 +288,10 @@ def _earlier(length: int):
         if not len(keep):
             return None
         key, h, pos, after, before, at, lcp = key[keep], h[keep], pos[keep], after[keep], before[keep], at[keep], lcp[keep]
-        rank = np.empty(len(keep), np.int64)
-        rank[np.lexsort((pos, h, key))] = np.arange(len(keep))
+        order = np.lexsort((pos, h, key))
+        moved = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1]) | (pos[order][1:] != pos[order][:-1])
+        rank = np.empty(len(keep), np.int64)  # places in the corpus; a repeated row has the same
+        rank[order] = np.concatenate([[0], np.cumsum(moved)])
         most, least = np.full(len(keep), -1), np.full(len(keep), length)
         back = np.zeros(len(keep), np.uint64)
         for x in range(left + 1):
@@ -299,8 +303,9 @@ def _earlier(length: int):
             group = np.cumsum(lcp < length - x).astype(np.uint64)[fit]
             same = mix(back[fit] ^ mix(group))
             order = np.lexsort((rank[fit], same))
-            sorted_same = same[order]
-            later = np.append(False, sorted_same[1:] == sorted_same[:-1])
+            again = np.append(False, same[order][1:] == same[order][:-1])
+            ranks = rank[fit[order]]
+            later = ranks > ranks[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
             hit = fit[order[later]]
             most[hit] = x
             least[hit] = np.minimum(least[hit], x)

@@ -33,6 +33,8 @@ SWAP = {w: group[(k + 1) % len(group)] for group in IDENTITY for k, w in enumera
 _WORD = re.compile(rb"[a-z\x80-\xff]+(?:'[a-z]+)?")
 #: Labelled rows that a model is fitted on, at most; the rows with the smallest hashes.
 TRAINING_ROWS = 20_000
+#: Length of a gradient step.
+RATE = 0.3
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -53,7 +55,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = 4, min_z: float = 4.0, l1: float = 2e-4, swap_penalty: float = 1.0, steps: int = 300) -> Model:
+def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = 4, min_z: float = 4.0, l1: float = 5e-5, swap_penalty: float = 1.0, steps: int = 300) -> Model:
     """Model of (words, label) rows by proximal gradient steps over all rows.
 
     Words in fewer than `min_rows` rows, or as frequent in both classes (a difference
@@ -91,10 +93,9 @@ def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = 4, min_z: floa
     d_row, d_col, d_sign = np.array(d_row, np.int64), np.array(d_col, np.int64), np.array(d_sign)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     n, size = len(y), len(names)
-    # columns on one scale: a step suits frequent and rare words alike
-    share = np.maximum(np.bincount(col, weight[row], size), 1e-6)
-    w, b, rate = np.zeros(size), 0.0, 0.5
-    speed_w, speed_b = np.zeros(size), 0.0
+    # each column at its own pace (sums of squared gradients), so rare words move as far
+    w, b = np.zeros(size), 0.0
+    sum_w, sum_b = np.full(size, 1e-10), 1e-10
     for _ in range(steps):
         z = b + np.bincount(row, w[col], n)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
@@ -102,11 +103,12 @@ def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = 4, min_z: floa
         if k:
             change = np.bincount(d_row, d_sign * w[d_col], k)
             gradient += swap_penalty / k * np.bincount(d_col, d_sign * change[d_row], size)
-        speed_w = 0.9 * speed_w + gradient / np.sqrt(share)
-        speed_b = 0.9 * speed_b + error.sum()
-        w = w - rate * speed_w
-        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * l1 / np.sqrt(share) * 10)
-        b -= rate * speed_b
+        sum_w += gradient**2
+        sum_b += error.sum() ** 2
+        pace = RATE / np.sqrt(sum_w)
+        w = w - pace * gradient
+        w = np.sign(w) * np.maximum(0, np.abs(w) - pace * l1)
+        b -= RATE / math.sqrt(sum_b) * error.sum()
     return Model(float(b), {names[i]: float(w[i]) for i in np.flatnonzero(w)})
 
 
