@@ -1,7 +1,6 @@
 """Helpers every operator shares: rules, group facts, positions, checkpoints."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from functools import reduce
@@ -76,44 +75,35 @@ def first_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "ra
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def positions(df: DataFrame, group: list[str], levels: list[str], order: list, name: str = "pos", block: int = 65536) -> DataFrame:
-    """Exact 1-based position of each row in its group, without putting a whole
-    group into one task.
-
-    `levels` are columns that refine the order from coarse to fine; the last one
-    must be an integer and is cut into blocks. Rows are ranked inside a block
-    and shifted by the number of rows in earlier blocks, level by level."""
-    last = levels[-1]
-    tagged = df.withColumn("_blk", F.floor(F.col(last) / F.lit(block)))
-    path = list(levels[:-1]) + ["_blk"]
-    counts = tagged.groupBy(*group, *path).agg(F.count(F.lit(1)).alias("_n"))
-    offsets, below = None, counts
-    for depth in range(len(path), 0, -1):
-        keys = group + path[:depth]
-        level = below.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-        w = Window.partitionBy(*group, *path[: depth - 1]).orderBy(path[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        if not group and depth == 1:
-            w = Window.partitionBy(F.lit(0)).orderBy(path[0]).rowsBetween(Window.unboundedPreceding, -1)
-        shift = level.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_s{depth}"))
-        offsets = shift if offsets is None else offsets.join(shift, keys)
-        below = level
-    total = reduce(lambda a, b: a + b, [F.col(f"_s{d}") for d in range(1, len(path) + 1)])
-    offsets = offsets.select(*group, *path, total.alias("_shift"))
-    inside = Window.partitionBy(*group, *path).orderBy(*order)
-    ranked = tagged.withColumn("_in", F.row_number().over(inside))
-    return (
-        ranked.join(offsets, group + path)
-        .withColumn(name, F.col("_in") + F.col("_shift"))
-        .drop("_blk", "_in", "_shift")
-    )
+def positions(df: DataFrame, group: list[str], levels: list[str], order: list, name: str = "pos") -> DataFrame:
+    """Exact 1-based position of each row in its group, without putting a group
+    into one task and without a window over its rows.
+
+    Rows are dealt out by range of (group, levels, order) and sorted once; the
+    written table then knows each row's place in its range. What is added to it is
+    the number of the group's rows in earlier ranges: a row a group and range."""
+    keys = list(dict.fromkeys([*group, *levels, *order]))
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    dealt = checkpointed(dealt).withColumn("_range", F.shiftright("_place", 33))
+    starts = dealt.groupBy(*group, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = starts.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).drop("_first", "_n")
+    return dealt.join(shift, [*group, "_range"]).withColumn(name, F.col("_place") + F.col("_shift")).drop("_place", "_range", "_shift")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where unset."""
+    """The shared folder named by `spark.checkpoint.dir`. Where that is unset, a
+    session in one process (as in tests) gets a folder of its own; a cluster, whose
+    executors would not see it, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
-    return os.environ.setdefault("ROSTERLAKE_SCRATCH", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -125,12 +115,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer splits than there are cores. A large input has
-    more splits than that and is left as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

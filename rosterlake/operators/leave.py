@@ -103,15 +103,16 @@ def body_text(messages: DataFrame, max_chars: int | None = None) -> DataFrame:
 
 # --------------------------------------------------------------- leave lines
 def _line_flags(line: Column) -> Column:
-    t = T.utrim(line)
-    who = t.rlike(NAME_ID)
-    word = t.rlike(LEAVE_WORD)
-    when = t.rlike(ANY_DATE)
-    return F.struct(
-        t.alias("line"),
-        (who & word & when).alias("high"),
-        ((who & (word | when)) | (word & when & (F.length(t) < 100))).alias("hit"),
-    )
+    def flags(v):
+        t, who, word, when = v["t"], v["who"], v["word"], v["when"]
+        return F.struct(
+            t.alias("line"),
+            (who & word & when).alias("high"),
+            ((who & (word | when)) | (word & when & (F.length(t) < 100))).alias("hit"),
+        )
+
+    tests = lambda t: F.struct(t.alias("t"), t.rlike(NAME_ID).alias("who"), t.rlike(LEAVE_WORD).alias("word"), t.rlike(ANY_DATE).alias("when"))
+    return T.let(T.let(T.utrim(line), tests), flags)
 
 
 def leave_flags(line) -> Column:
@@ -128,10 +129,10 @@ def leave_lines(bodies: DataFrame, body: str = "body", cap: int | None = None) -
         F.transform(F.split(F.when(maybe, text).otherwise(F.lit("")), "\r\n|\n|\r", -1), lambda l, i: F.struct(i.alias("i"), _line_flags(l).alias("f"))),
         lambda x: x["f"]["hit"],
     )
-    out = bodies.withColumn("matched", flags)
-    sure = F.size(F.filter("matched", lambda x: x["f"]["high"]))
-    out = out.withColumn("matched_count", F.size("matched")).withColumn("high_count", sure)
-    out = out.filter((F.col("matched_count") >= 2) | (F.col("high_count") >= 1))
+    counted = T.let(flags, lambda m: F.struct(m.alias("matched"), F.size(m).alias("matched_count"), F.size(F.filter(m, lambda x: x["f"]["high"])).alias("high_count")))
+    # A generator is never copied: the lines are looked at once, and the filter
+    # stays above them.
+    out = bodies.select("*", F.explode(F.filter(F.array(counted), lambda c: (c["matched_count"] >= 2) | (c["high_count"] >= 1))).alias("_c")).select("*", "_c.*").drop("_c")
     if cap is not None:
         out = out.withColumn("matched", F.slice("matched", 1, cap))
     return out

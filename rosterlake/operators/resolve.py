@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..common import attach, best_per_group, checkpointed, first_k
+from ..common import attach, best_per_group, first_k
 from ..functions import text as T
 from ..functions.checks import SCORES, is_national_id, is_person_name
 from ..functions.dates import record_date
@@ -15,42 +15,48 @@ RECORD_ORDER = ["sheet_idx", "row_idx"]
 
 
 # ------------------------------------------------------------------ dedupe
+def _winners(rows: DataFrame, kind, keys: dict, order: list) -> DataFrame:
+    """The first row of each (kind, keys): one aggregate over one scan, combined
+    before its shuffle. Kind 2 rows have nothing to be matched by and all stay."""
+    columns = rows.columns
+    keyed = rows.select(F.struct(*columns).alias("_row"), kind.alias("_kind"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order"), *[v.alias(k) for k, v in keys.items()])
+    own = F.when(F.col("_kind") == 2, F.xxhash64(F.col("_order"), F.col("_row").cast("string"))).otherwise(F.lit(0))
+    return keyed.withColumn("_own", own).groupBy("_kind", *keys, "_own").agg(F.min_by("_row", "_order").alias("_row"))
+
+
 def dedupe_leave(rows: DataFrame, order: list[str]) -> DataFrame:
     """One record per employee id, else per (name, leave date), keeping the one
     with most filled fields; a name and date already covered by an id winner is
     dropped; rows without id and name stay."""
-    # Read by several branches below, so computed and kept once.
-    rows = checkpointed(rows)
     fields = [c for c in rows.columns if c not in order]
     filled = sum((F.when(T.is_non_empty(F.col(c).cast("string")), 1).otherwise(0) for c in fields), F.lit(0))
-    clean = rows.withColumn("_id", F.coalesce(T.utrim("employee_id"), F.lit(""))).withColumn(
-        "_name", F.coalesce(T.utrim("name"), F.lit(""))
-    ).withColumn("_date", F.coalesce(T.utrim("leave_date"), F.lit(""))).withColumn("_filled", filled)
-    best = [(-F.col("_filled")), *[F.col(o) for o in order]]
-    by_id = best_per_group(clean.filter("_id != ''"), ["_id"], best)
-    by_name = best_per_group(clean.filter("_id = '' AND _name != ''"), ["_name", "_date"], best)
-    covered = by_id.filter("_name != ''").select("_name", "_date").distinct()
-    by_name = by_name.join(covered, ["_name", "_date"], "left_anti")
-    loose = clean.filter("_id = '' AND _name = ''")
-    return by_id.unionByName(by_name).unionByName(loose).select(*rows.columns)
+    trimmed = lambda c: F.coalesce(T.utrim(c), F.lit(""))
+    who, name, when = trimmed("employee_id"), trimmed("name"), trimmed("leave_date")
+    kind = F.when(who != "", 0).when(name != "", 1).otherwise(2)
+    by_id, by_name = kind == 0, kind == 1
+    keys = {"_id": F.when(by_id, who).otherwise(""), "_name": F.when(by_name, name).otherwise(""), "_date": F.when(by_name, when).otherwise("")}
+    best = _winners(rows, kind, keys, [-filled, *[F.col(o) for o in order]])
+    covered = best.filter("_kind = 0").select(trimmed(F.col("_row.name")).alias("_name"), trimmed(F.col("_row.leave_date")).alias("_date")).filter("_name <> ''").distinct()
+    left = best.join(covered.withColumn("_hit", F.lit(True)), ["_name", "_date"], "left")
+    return left.filter("_kind <> 1 OR _hit IS NULL").select("_row.*")
 
 
 def dedupe_people(rows: DataFrame, order: list[str], name_only: bool = False) -> DataFrame:
     """One record per id of four characters or more, else per (name, event
     date); rows without id are dropped when an id winner has the name. With
     `name_only`, at most one row per name is kept overall."""
-    # Read by several branches below, so computed and kept once.
-    rows = checkpointed(rows)
-    clean = rows.withColumn("_id", F.coalesce(T.utrim("id_number"), F.lit(""))).withColumn("_name", F.coalesce("name", F.lit("")))
+    who, name = F.coalesce(T.utrim("id_number"), F.lit("")), F.coalesce("name", F.lit(""))
     size = F.length(F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns if c not in order]))
-    best = [-size, *[F.col(o) for o in order]]
-    has_id = F.length("_id") >= 4
-    by_id = best_per_group(clean.filter(has_id), ["_id"], best)
-    keyed = clean.filter(~has_id).withColumn("_date", F.coalesce(F.col("event_date").cast("string"), F.lit("")))
-    by_name = best_per_group(keyed, ["_name", "_date"], best).join(by_id.select("_name").distinct(), "_name", "left_anti")
-    if name_only:
-        by_name = best_per_group(by_name, ["_name"], [F.col(o) for o in order])
-    return by_id.unionByName(by_name.drop("_date")).select(*rows.columns)
+    by_id = F.length(who) >= 4
+    day = F.coalesce(F.col("event_date").cast("string"), F.lit(""))
+    keys = {"_id": F.when(by_id, who).otherwise(""), "_name": F.when(by_id, F.lit("")).otherwise(name), "_date": F.when(by_id, F.lit("")).otherwise(day)}
+    best = _winners(rows, F.when(by_id, 0).otherwise(1), keys, [-size, *[F.col(o) for o in order]])
+    covered = best.filter("_kind = 0").select(F.coalesce("_row.name", F.lit("")).alias("_name")).distinct()
+    left = best.join(covered.withColumn("_hit", F.lit(True)), "_name", "left").filter("_kind = 0 OR _hit IS NULL")
+    if not name_only:
+        return left.select("_row.*")
+    once = best_per_group(left.filter("_kind = 1").select("_row.*"), ["name"], [F.col(o) for o in order])
+    return left.filter("_kind = 0").select("_row.*").unionByName(once)
 
 
 def dedupe_simple(rows: DataFrame, order: list[str]) -> DataFrame:

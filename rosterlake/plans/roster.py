@@ -160,10 +160,12 @@ def sheet_leave_rows(records: DataFrame, choice: DataFrame) -> DataFrame:
     keys = ["leave_date", "end_date", "ss_end_month", "hf_end_month", "termination_date", "减员月份", "停保月份"]
     j = I.filter_by_sheet(ordered(records), "remove").join(choice.filter("name_key IS NOT NULL"), "source_id")
     values = [F.when(F.col("date_key").isNotNull(), F.nullif(get(F.coalesce("date_key", F.lit(""))), F.lit("")))] + [F.nullif(get(k), F.lit("")) for k in keys]
-    parsed = F.coalesce(*[D.record_date(v) for v in values])
-    return j.select(
+    # The date rule stands once in the plan, over the array of candidate texts.
+    texts = F.filter(F.array(*values), lambda v: v.isNotNull())
+    dates = F.filter(F.transform("_texts", D.record_date), lambda d: d.isNotNull())
+    return j.withColumn("_texts", texts).select(
         *ORDER, get(F.col("name_key")).alias("name"), F.coalesce(F.nullif(get("employee_id"), F.lit("")), get("工号")).alias("employee_id"),
-        F.coalesce(D.iso(parsed), F.lit("")).alias("leave_date"), F.coalesce(*values, F.lit("")).alias("leave_date_text"),
+        F.coalesce(D.iso(F.try_element_at(dates, F.lit(1))), F.lit("")).alias("leave_date"), F.coalesce(F.try_element_at("_texts", F.lit(1)), F.lit("")).alias("leave_date_text"),
     ).filter("name != ''")
 
 

@@ -82,12 +82,18 @@ def test_title_row_and_names(spark):
 def test_positions_are_exact_under_any_partitioning(spark):
     rows = [(g, s, r) for g in "ab" for s in range(3) for r in random.sample(range(500), 50)]
     df = spark.createDataFrame(rows, "g string, s int, r int").repartition(7)
-    got = {(x.g, x.s, x.r): x.pos for x in positions(df, ["g"], ["s", "r"], ["r"], block=64).collect()}
+    got = {(x.g, x.s, x.r): x.pos for x in positions(df, ["g"], ["s", "r"], ["r"]).collect()}
     for g in "ab":
         want = sorted((s, r) for gg, s, r in rows if gg == g)
         assert [got[(g, s, r)] for s, r in want] == list(range(1, len(want) + 1))
 
 
+def test_positions_of_many_small_sources(spark):
+    df = spark.range(10_000).selectExpr("'all' AS g", "'' AS parent", "lpad(id * 7919 % 10000, 5, '0') AS file", "0 AS r").repartition(9)
+    got = {x.file: x.pos for x in positions(df, ["g"], ["parent", "file", "r"], ["r"]).collect()}
+    assert got == {f"{k:05d}": k + 1 for k in range(10_000)}
+
+
 def test_first_wins_does_not_depend_on_order(spark):
     rows = [("a", f"s{i}", 0, i, f"E{i % 5}", f"d{i % 3}") for i in range(60)]
     schema = "name string, source_id string, sheet_idx int, row_idx int, employee_id string, leave_date string"
