@@ -207,14 +207,16 @@ def filter_conflicts(values: list[str], exclude, intent, words: IntentWords = WO
     )
 
 
-def gate_records(records: DataFrame, keys, ratio: float = 0.4, top: int = 5, scope: list[str] | None = None) -> DataFrame:
+def gate_records(records: DataFrame, keys, ratio: float = 0.4, top: int | None = None, scope: list[str] | None = None) -> DataFrame:
     """Records filling enough of the matched keys; a scope where none does keeps
-    its best `top`. `keys` is a list, or an array column of the records."""
+    all of its own, or its best `top`. `keys` is a list, or an array column of the records."""
     scope = ["source_id"] if scope is None else scope
     keys = F.array(*[F.lit(k) for k in keys]) if isinstance(keys, (list, tuple)) else T.col(keys)
     filled = F.size(F.filter(keys, lambda k: T.is_non_empty(F.try_element_at(F.col("rec"), k))))
     share = F.when(F.size(keys) == 0, F.lit(1.0)).otherwise(filled / F.size(keys))
     scored = attach(records.withColumn("filled_ratio", share), scope, F.max("filled_ratio").alias("_best"))
+    if top is None:
+        return scored.filter((F.col("filled_ratio") >= ratio) | (F.col("_best") < ratio)).drop("_best")
     good = scored.filter(F.col("filled_ratio") >= ratio)
     rest = first_k(
         scored.filter(F.col("_best") < ratio), scope, [F.col("filled_ratio").desc(), F.col("sheet_idx"), F.col("row_idx")], top, "_rank"

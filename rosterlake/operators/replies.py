@@ -110,7 +110,7 @@ def coerce_shape(c) -> Column:
         )
         own = F.coalesce(F.filter(as_list(F.when(json_kind(v["warnings"]) == "array", v["warnings"])), lambda w: w.isNotNull() & (w != "")), none)
         listed = F.when(kind == "array", v["j"]).when(json_kind(v["data"]) == "array", v["data"])
-        raw = F.when(scalar, F.to_json(F.struct(F.left(v["j"], F.lit(2000)).alias("raw_output"))))
+        raw = F.when(scalar, F.to_json(F.struct(v["j"].alias("raw_output"))))
         return F.struct(
             F.coalesce(as_list(listed), none).alias("data"),
             F.coalesce(F.when(json_kind(v["metadata"]) == "object", v["metadata"]), raw, F.lit("{}")).alias("metadata"),

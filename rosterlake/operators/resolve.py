@@ -123,14 +123,9 @@ def field_coverage(records: DataFrame) -> DataFrame:
     )
 
 
-def leading_records(records: DataFrame, k: int) -> DataFrame:
-    return first_k(records, ["source_id"], [F.col(c) for c in RECORD_ORDER], k)
-
-
-def source_keys(records: DataFrame, first: int | None = 10) -> DataFrame:
-    """Distinct keys per source in first-seen order over its first records."""
-    part = records if first is None else leading_records(records, first)
-    spread = part.select("source_id", *RECORD_ORDER, F.posexplode(F.map_keys("rec")).alias("key_idx", "key"))
+def source_keys(records: DataFrame) -> DataFrame:
+    """Distinct keys per source in first-seen order, over all its records."""
+    spread = records.select("source_id", *RECORD_ORDER, F.posexplode(F.map_keys("rec")).alias("key_idx", "key"))
     return spread.groupBy("source_id", "key").agg(F.min(F.struct(*RECORD_ORDER, "key_idx")).alias("seen"))
 
 
@@ -160,27 +155,29 @@ def score_sources(records: DataFrame, intents=("add", "remove")) -> DataFrame:
     )
 
 
-def top_sources(scores: DataFrame, k: int = 2) -> DataFrame:
-    """Best k sources per intent; excluded ones only when all are."""
+def top_sources(scores: DataFrame, k: int | None = None) -> DataFrame:
+    """Sources per intent, the best k if a number is given; excluded ones only when
+    all are."""
     seen = attach(scores, ["intent"], F.min("excluded").alias("all_excluded"))
     pool = seen.filter(~F.col("excluded") | F.col("all_excluded"))
+    if k is None:
+        return pool
     order = [F.col("total_score").desc(), F.col("parent_source_id"), F.col("source_type"), F.col("source_file"), F.col("source_id")]
     return first_k(pool, ["intent"], order, k)
 
 
 # -------------------------------------------------------------- field types
-def field_type_scores(records: DataFrame, first: int = 20) -> DataFrame:
-    """Per source, key and type: share of non-blank values that look right,
-    over the source's first records."""
-    part = leading_records(records, first)
-    spread = part.select("source_id", "rank", *RECORD_ORDER, F.posexplode(F.map_entries("rec")).alias("key_idx", "e"))
+def field_type_scores(records: DataFrame) -> DataFrame:
+    """Per source, key and type: share of non-blank values that look right, over
+    all records: one hash aggregate, no window."""
+    spread = records.select("source_id", *RECORD_ORDER, F.posexplode(F.map_entries("rec")).alias("key_idx", "e"))
     value = F.coalesce(T.utrim(F.col("e")["value"]), F.lit(""))
     scored = spread.filter(value != "").select(
-        "source_id", F.col("e")["key"].alias("key"), "rank", "key_idx",
+        "source_id", F.col("e")["key"].alias("key"),
         *[score(value).alias(kind) for kind, score in SCORES.items()],
     )
     good = lambda k: F.avg(F.when(F.col(k) >= 0.5, 1.0).otherwise(0.0))
-    seen = spread.groupBy("source_id", F.col("e")["key"].alias("key")).agg(F.min(F.struct("rank", "key_idx")).alias("seen"))
+    seen = spread.groupBy("source_id", F.col("e")["key"].alias("key")).agg(F.min(F.struct(*RECORD_ORDER, "key_idx")).alias("seen"))
     stats = scored.groupBy("source_id", "key").agg(*[good(k).alias(k) for k in SCORES])
     return seen.join(stats, ["source_id", "key"], "left").fillna(0.0, list(SCORES))
 
@@ -222,7 +219,7 @@ def _first_present(keys, name: str) -> Column:
 def proposed_keys(records: DataFrame, intent: str, hints: DataFrame | None = None) -> DataFrame:
     """name_key, id_key and date_key proposed per source; hints(source_id,
     name_key, id_key, date_key) are used where no usual key is present."""
-    first = T.with_lookup(leading_records(records, 5)).groupBy("source_id").agg(_first_present(R.NAME_KEYS, "name_key"), _first_present(R.ID_KEYS, "id_key"))
+    first = T.with_lookup(records).groupBy("source_id").agg(_first_present(R.NAME_KEYS, "name_key"), _first_present(R.ID_KEYS, "id_key"))
     out = first.join(choose_date_key(records, intent), "source_id", "left")
     if hints is not None:
         h = hints.select("source_id", F.nullif("name_key", F.lit("")).alias("hn"), F.nullif("id_key", F.lit("")).alias("hi"), F.nullif("date_key", F.lit("")).alias("hd"))
@@ -239,13 +236,13 @@ def proposed_keys(records: DataFrame, intent: str, hints: DataFrame | None = Non
 
 def fix_keys(records: DataFrame, proposed: DataFrame, intent: str) -> DataFrame:
     """Check the proposed keys against the values and repair them: name first,
-    then id (not the name key), then date (neither). Scores exist only for the
-    first records' keys, so each step gathers a bounded list per source."""
+    then id (not the name key), then date (neither). What is gathered per source is
+    its keys, a row each."""
     scores = field_type_scores(records)
     per = scores.groupBy("source_id").agg(
         F.array_sort(F.collect_list(F.struct("seen", "key", *SCORES))).alias("ks")
     )
-    base = proposed.join(per, "source_id", "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<seen:struct<rank:int,key_idx:int>,key:string,name:double,id:double,date:double>>")))
+    base = proposed.join(per, "source_id", "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<seen:struct<sheet_idx:int,row_idx:int,key_idx:int>,key:string,name:double,id:double,date:double>>")))
 
     def own(kind, key):
         # The proposed key is looked up exactly, else in lower case.
@@ -286,27 +283,24 @@ def fix_keys(records: DataFrame, proposed: DataFrame, intent: str) -> DataFrame:
 
 # ------------------------------------------------- single-source choice (adds)
 def source_pick(records: DataFrame, intent: str, words: IntentWords = IntentWords()) -> DataFrame:
-    """The one source an addition form reads: file name first, then the share of
-    date-like keys; sources in (parent, type, file) order."""
+    """The sources a form reads: those whose file name says the intent; where none
+    does, those with date-like keys."""
     kw = (words.add if intent == "add" else words.remove)[:2]
     dk = words.add_date_keys if intent == "add" else words.remove_date_keys
-    keys = source_keys(records, None)
+    keys = source_keys(records)
     folded = T.match_text("key")
     dated = F.avg(F.when(T.contains_any(folded, [d.lower().replace("_", "") for d in dk]), 1.0).otherwise(0.0))
     per = records.groupBy("source_id").agg(*[F.max(c).alias(c) for c in ("parent_source_id", "source_type", "source_file")])
     scored = per.join(keys.groupBy("source_id").agg(dated.alias("date_share")), "source_id").withColumn(
         "by_name", T.contains_any(T.match_text("source_file"), kw)
     )
-    order = F.struct(
-        F.when(F.col("by_name"), 0).otherwise(1).alias("a"), F.when(F.col("by_name"), 0.0).otherwise(-F.col("date_share")).alias("b"),
-        "parent_source_id", "source_type", "source_file", "source_id",
-    )
-    return scored.agg(F.min_by(F.struct("source_id", "source_file", "date_share", "by_name"), order).alias("s")).select("s.*").filter("source_id IS NOT NULL")
+    named = scored.filter("by_name").select("source_id").limit(1).withColumn("_any", F.lit(True)).agg(F.coalesce(F.max("_any"), F.lit(False))).scalar()
+    return scored.filter(F.when(named, F.col("by_name")).otherwise(F.col("date_share") > 0)).select("source_id", "source_file", "date_share", "by_name")
 
 
 def heuristic_keys(records: DataFrame, intent: str) -> DataFrame:
     """name_key and date_key per source by key names, else by values."""
-    keys = source_keys(records, None)
+    keys = source_keys(records)
     counts = records.select("source_id", F.explode(F.map_entries("rec")).alias("e")).groupBy("source_id", F.col("e")["key"].alias("key")).agg(
         F.sum(F.when(is_person_name(F.col("e")["value"]), 1).otherwise(0)).alias("people")
     )
@@ -328,18 +322,21 @@ def heuristic_keys(records: DataFrame, intent: str) -> DataFrame:
 
 
 def select_source(records: DataFrame, intent: str, proposal: DataFrame | None = None, words: IntentWords = IntentWords()) -> DataFrame:
-    """Source, name key and date key: a valid proposal(source_id, name_key,
-    date_key) wins over the heuristics, field by field."""
-    keys = source_keys(records, None).select("source_id", "key")
+    """Sources, name keys and date keys: a valid proposal(source_id, name_key,
+    date_key) wins over the heuristics, field by field, and is then the only
+    source. Of several valid proposals the first in source order is taken."""
+    keys = source_keys(records).select("source_id", "key")
     guess = source_pick(records, intent, words).select("source_id")
+    usual = heuristic_keys(records, intent)
     if proposal is None:
-        return guess.join(heuristic_keys(records, intent), "source_id", "left").withColumn("origin", F.lit("heuristic"))
-    known = proposal.join(keys.select("source_id").distinct(), "source_id", "left_semi").limit(1)
-    name_ok = known.join(keys.withColumnRenamed("key", "name_key"), ["source_id", "name_key"], "left_semi").select("source_id", F.col("name_key").alias("pn"))
-    date_ok = known.join(keys.withColumnRenamed("key", "date_key"), ["source_id", "date_key"], "left_semi").select("source_id", F.col("date_key").alias("pd"))
-    picked = known.select("source_id", F.lit(0).alias("o")).unionByName(guess.withColumn("o", F.lit(1))).orderBy("o").limit(1)
-    out = picked.join(name_ok, "source_id", "left").join(date_ok, "source_id", "left").join(heuristic_keys(records, intent), "source_id", "left")
+        return guess.join(usual, "source_id", "left").withColumn("origin", F.lit("heuristic"))
+    order = records.groupBy("source_id").agg(F.min(F.struct("parent_source_id", "source_type", "source_file", "source_id")).alias("_o"))
+    known = proposal.join(order, "source_id").agg(F.min_by(F.struct("source_id", F.col("name_key").alias("n"), F.col("date_key").alias("d")), F.struct("_o", "name_key", "date_key")).alias("p")).select("p.*").filter("source_id IS NOT NULL")
+    has = lambda c, as_: known.join(keys.withColumnRenamed("key", c), ["source_id", c], "left_semi").select("source_id", F.col(c).alias(as_))
+    said = known.select("source_id").join(has("n", "pn"), "source_id", "left").join(has("d", "pd"), "source_id", "left").withColumn("_said", F.lit(True))
+    any_said = known.agg(F.count(F.lit(1)) > 0).scalar()
+    out = guess.filter(~any_said).join(said, "source_id", "left").unionByName(said).join(usual, "source_id", "left")
     return out.select(
         "source_id", F.coalesce("pn", "name_key").alias("name_key"), F.coalesce("pd", "date_key").alias("date_key"),
-        F.when(F.col("o") == 0, F.lit("proposal")).otherwise(F.lit("heuristic")).alias("origin"),
+        F.when(F.col("_said"), F.lit("proposal")).otherwise(F.lit("heuristic")).alias("origin"),
     )

@@ -366,8 +366,9 @@ def choose_sheets(ranked: DataFrame, mode: str = "auto", preferred: str | None =
 def sheet_rows(cells: DataFrame, layout: DataFrame, cap: int | None = None) -> DataFrame:
     """Data rows as one map column index → text. Rows are gathered before the
     join with the layout, so cells are shuffled once."""
-    rows = with_text(cells).groupBy(*ROW).agg(
-        F.map_from_entries(F.collect_list(F.struct("col_idx", F.struct("text", "raw_type")))).alias("vals")
+    # A damaged sheet may hold a cell twice: one of them, by its text, is taken.
+    rows = with_text(cells).groupBy(*ROW, "col_idx").agg(F.min(F.struct("text", "raw_type")).alias("_c")).groupBy(*ROW).agg(
+        F.map_from_entries(F.collect_list(F.struct("col_idx", "_c"))).alias("vals")
     )
     plan = layout.select(*SHEET, "data_start_idx", data_end(cap).alias("end_idx"))
     return rows.join(plan, SHEET).filter(
@@ -462,7 +463,7 @@ def csv_sample(cells: DataFrame, layout: DataFrame, opts: SheetOptions = SheetOp
             spread_rows(F.col("data_start_idx"), end, opts.head_rows),
         ).alias("picks"),
     )
-    lines = with_text(cells).join(plan, SHEET).filter(F.array_contains("picks", F.col("row_idx"))).groupBy(*ROW).agg(
+    lines = with_text(cells).join(plan, SHEET).filter(F.array_contains("picks", F.col("row_idx"))).groupBy(*ROW, "col_idx").agg(F.min("text").alias("text")).groupBy(*ROW).agg(
         F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("m")
     )
     per_sheet = lines.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("row_idx", "m"))).alias("rows"))

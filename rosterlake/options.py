@@ -70,10 +70,10 @@ class RouteOptions:
 @dataclass(frozen=True)
 class FillOptions:
     words: IntentWords = IntentWords()
-    max_sources: int = 2
+    max_sources: int | None = None  # every source that is not excluded
     match_score: int = 80
     gate_ratio: float = 0.4
-    gate_top: int = 5
+    gate_top: int | None = None
     name_only_dedupe: bool = False
     allowed_columns: tuple[str, ...] = ()
     forced_columns: dict = field(default_factory=dict)

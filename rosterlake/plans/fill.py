@@ -148,7 +148,7 @@ def row_value(rec, key) -> Column:
     parts = F.split(F.translate(key, "/", "."), r"\.")
     inner = F.call_function(
         "get_json_object", F.try_element_at(rec, F.try_element_at(parts, F.lit(1))),
-        F.concat(F.lit("$."), F.array_join(F.slice(parts, 2, 100), ".")),
+        F.concat(F.lit("$."), F.array_join(F.slice(parts, 2, F.size(parts)), ".")),
     )
     nested = F.when(F.size(parts) > 1, inner)
     return F.when(F.map_contains_key(rec, key), F.try_element_at(rec, key)).otherwise(nested)

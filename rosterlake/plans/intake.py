@@ -52,7 +52,7 @@ def leave_as_records(leave: DataFrame, sources: DataFrame) -> DataFrame:
     rec = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names]))
     return leave.join(sources.select("source_id", "source_file", "source_type", "parent_source_id"), "source_id").select(
         "source_id", "source_file", "source_type", "parent_source_id", F.lit(None).cast("string").alias("sheet_name"), F.lit(0).alias("sheet_idx"),
-        (F.coalesce("line_idx", F.lit(0)) * 1000 + F.coalesce("pair_idx", F.lit(0))).cast("int").alias("row_idx"), rec.alias("rec"), F.lit("leave_lines").alias("extraction_type"),
+        (F.coalesce("line_idx", F.lit(0)).cast("long") * (1 << 31) + F.coalesce("pair_idx", F.lit(0))).alias("row_idx"), rec.alias("rec"), F.lit("leave_lines").alias("extraction_type"),
     )
 
 
@@ -60,14 +60,14 @@ def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_r
     """files(source_id, source_file, file_path, content) → sources, records and
     warnings. Attached workbooks are read like top-level ones."""
     top = route(files, routes).withColumn("parent_source_id", F.lit("").cast("string"))
-    decoded = M.decode_mail(top.filter("ext = '.eml'")).persist()
+    decoded = checkpointed(M.decode_mail(top.filter("ext = '.eml'")))
     exported = M.export_parts(M.parts(decoded)).filter("NOT is_duplicate")
     kids = route(
         exported.select(F.col("child_id").alias("source_id"), F.col("export_name").alias("source_file"), F.col("source_id").alias("parent_source_id"), "content"), routes
     )
     cols = ["source_id", "source_file", "source_type", "ext", "parent_source_id"]
     books = top.select(*cols, "content").unionByName(kids.select(*cols, "content")).filter("ext = '.xlsx'")
-    raw = W.decode_workbooks(books).persist()
+    raw = checkpointed(W.decode_workbooks(books))
     sources = top.select(*cols).unionByName(kids.select(*cols))
     sheets = sheet_records(W.record_cells(raw), sources, opts).withColumn("extraction_type", F.lit("sheet"))
     bodies = L.body_text(M.messages(decoded), opts.limits.body_chars)

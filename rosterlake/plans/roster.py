@@ -61,12 +61,13 @@ def extract_people(records: DataFrame, intent: str, hints: DataFrame | None = No
 
 
 def roster_people(records: DataFrame, intent: str, opts: FillOptions = FillOptions(), hints: DataFrame | None = None) -> DataFrame:
-    """Best sources for the intent, their people, one row each."""
+    """People of the intent's sources (all that are not excluded, or the best few if
+    the options say so), one row each."""
     # A handful of source ids: kept as a table, so everything after it reads
     # only their records.
     top = checkpointed(S.top_sources(S.score_sources(records, (intent,)), opts.max_sources).select("source_id"))
     chosen = records.join(top, "source_id", "left_semi")
-    people = checkpointed(extract_people(chosen, intent, hints).filter("skipped IS NULL"))
+    people = extract_people(chosen, intent, hints).filter("skipped IS NULL")
     return S.dedupe_people(people.drop("skipped", "action", "date_key", "sheet_name"), ORDER, opts.name_only_dedupe)
 
 

@@ -71,7 +71,7 @@ SELECT concat('m', cast(floor(doc_id / 8) AS bigint)) AS source_id, cast(doc_id
   CASE doc_id % 7 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'image/png' WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'text/html' WHEN 5 THEN 'application/x-thing' ELSE 'image/x-webp' END AS content_type,
   CASE doc_id % 5 WHEN 0 THEN 'r/a.xlsx' WHEN 1 THEN NULL WHEN 2 THEN 'note' WHEN 3 THEN '..' ELSE 'b.TXT' END AS filename,
   CASE doc_id % 3 WHEN 0 THEN 'Attachment; x' WHEN 1 THEN '' ELSE 'inline' END AS disposition_header,
-  CASE doc_id % 4 WHEN 0 THEN concat('CID', cast(doc_id AS string)) ELSE '' END AS content_id, left(text, cast(doc_id % 6 AS int)) AS body FROM {documents}"""
+  CASE doc_id % 4 WHEN 0 THEN concat('CID', cast(doc_id AS string)) ELSE '' END AS content_id, text AS body FROM {documents}"""
 _DESC = f"""
 WITH p AS (SELECT *, sha256(body) AS sha, CASE doc_id % 3 WHEN 0 THEN 'attachment' WHEN 1 THEN '' ELSE 'inline' END AS disposition, CASE doc_id % 5 WHEN 0 THEN 'a.xlsx' WHEN 2 THEN 'note' WHEN 4 THEN 'b.TXT' ELSE '' END AS base,
   CASE doc_id % 5 WHEN 0 THEN '.xlsx' WHEN 4 THEN '.txt' ELSE CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.csv' WHEN 2 THEN '.png' WHEN 3 THEN '.pdf' WHEN 4 THEN '.html' WHEN 5 THEN '' ELSE '.webp' END END AS ext FROM ({_PARTS}) z),
@@ -260,7 +260,7 @@ def dead_letters(t):
 
 
 @query("derived_closure", """
-WITH RECURSIVE n AS (SELECT part.p_partkey AS k, 0 AS depth FROM {part} WHERE p_partkey % 64 = 0 UNION SELECT p.p_partkey, n.depth + 1 FROM n JOIN {part} p ON p.p_partkey IN (2 * n.k + 1, 2 * n.k + 2) WHERE n.depth < 4)
+WITH RECURSIVE n AS (SELECT part.p_partkey AS k, 0 AS depth FROM {part} WHERE p_partkey % 64 = 0 UNION SELECT p.p_partkey, n.depth + 1 FROM n JOIN {part} p ON p.p_partkey IN (2 * n.k + 1, 2 * n.k + 2))
 SELECT concat('p', k) AS source_id, min(depth) AS depth FROM n GROUP BY 1""")
 def derived_closure(t):
     ids = t.part.select("p_partkey").withColumn("source_id", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
@@ -270,7 +270,7 @@ def derived_closure(t):
         up = level.select(F.col("source_id").alias("parent_source_id"), F.explode(F.array(F.col("p_partkey") * 2 + 1, F.col("p_partkey") * 2 + 2)).alias("p_partkey"))
         return up.join(ids, "p_partkey").select("source_id", "parent_source_id", "p_partkey")
 
-    return V.closure(roots, children, max_depth=4).select("source_id", "depth")
+    return V.closure(roots, children).select("source_id", "depth")
 
 
 @query("file_scan")

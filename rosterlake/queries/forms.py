@@ -16,7 +16,7 @@ from ..plans import roster as RO
 from . import recipes as R
 from .derive import RECORD_COLS, records
 from .files import _pack_books
-from .people import GOOD_DATE, RECS, _SCORE
+from .people import GOOD_DATE, RECS, _SCORE, _TYPES
 from .registry import query
 
 # Cells of four form layouts: (variant, row, column, text, type, format, formula).
@@ -179,7 +179,7 @@ def fee_month(t):
     return r.select("o_orderkey", m("remove").alias("by_remove"), m("add").alias("by_add"))
 
 
-@query("auto_fields", RECS + f""", m AS (SELECT strftime({GOOD_DATE}, '%Y%m') AS m FROM r WHERE variant IN (1, 4) AND {GOOD_DATE} IS NOT NULL ORDER BY source_type, source_file, source_id, sheet_idx, row_idx LIMIT 1)
+@query("auto_fields", RECS + f""", m AS (SELECT strftime({GOOD_DATE}, '%Y%m') AS m FROM r WHERE variant IN (1, 4) AND {GOOD_DATE} IS NOT NULL AND regexp_matches(dt, '20[0-9]{{2}}[年./-]?[0-9]{{1,2}}') ORDER BY source_type, source_file, source_id, sheet_idx, row_idx LIMIT 1)
 SELECT template_id, v.header_path, v.col_index, v.key, CASE WHEN v.key IS NULL THEN m END AS constant FROM ({NATION_FORMS}) f JOIN (VALUES (0, '社保/申报类型', 3, '申报类型'), (0, '公积金/申报类型', 5, '申报类型'), (0, '费用年月', 4, NULL), (0, '费用年月', 6, NULL)) v(variant, header_path, col_index, key) USING (variant), m""")
 def auto_fields(t):
     cells, cols = _forms(t, NATION_FORMS), _columns(t, NATION_FORMS)
@@ -256,15 +256,15 @@ def fallback_cells(t):
 
 
 # ------------------------------------------------------------------- roster
-@query("extract_people", RECS + f""", x AS (SELECT *, CASE WHEN sheet_name IN ('增员', '人员') THEN 'sheet_blocked' WHEN variant IN (0, 2, 4) THEN 'required_field_missing:end_date' WHEN {GOOD_DATE} IS NULL THEN 'no_date' END AS skipped FROM r)
-SELECT o_orderkey, skipped, CASE WHEN skipped IS NULL THEN nm END AS name, CASE WHEN skipped IS NULL AND variant <> 5 THEN idn END AS id_number, CASE WHEN skipped IS NULL THEN strftime({GOOD_DATE}, '%Y-%m-%d') END AS event_date, CASE WHEN skipped IS NULL THEN CASE WHEN variant = 1 THEN reason ELSE '' END END AS reason FROM x""")
+@query("extract_people", _TYPES + f""", bid AS (SELECT source_id, key FROM kt WHERE key <> '备用' AND id > 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC, seen) = 1), x AS (SELECT *, CASE WHEN sheet_name IN ('增员', '人员') THEN 'sheet_blocked' WHEN variant IN (0, 2, 4) THEN 'required_field_missing:end_date' WHEN {GOOD_DATE} IS NULL THEN 'no_date' END AS skipped FROM r)
+SELECT o_orderkey, skipped, CASE WHEN skipped IS NULL THEN nm END AS name, CASE WHEN skipped IS NULL THEN CASE WHEN variant < 5 THEN idn WHEN bid.key = 'name' AND length(concat('9', o_custkey)) >= 4 THEN concat('9', o_custkey) ELSE '' END END AS id_number, CASE WHEN skipped IS NULL THEN strftime({GOOD_DATE}, '%Y-%m-%d') END AS event_date, CASE WHEN skipped IS NULL THEN CASE WHEN variant = 1 THEN reason ELSE '' END END AS reason FROM x LEFT JOIN bid USING (source_id)""")
 def extract_people(t):
     r = records(t)
     e = RO.extract_people(r.select(*RECORD_COLS), "remove")
     ok = F.col("skipped").isNull()
     keys = r.select("o_orderkey", "source_id", "sheet_idx", "row_idx", "variant")
     return e.join(keys, ["source_id", "sheet_idx", "row_idx"]).select(
-        "o_orderkey", "skipped", F.when(ok, F.col("name")).alias("name"), F.when(ok & (F.col("variant") != 5), F.col("id_number")).alias("id_number"),
+        "o_orderkey", "skipped", F.when(ok, F.col("name")).alias("name"), F.when(ok, F.col("id_number")).alias("id_number"),
         F.when(ok, D.iso("event_date")).alias("event_date"), F.when(ok, F.col("reason")).alias("reason"),
     )
 
@@ -274,9 +274,12 @@ def skip_counts(t):
     return RO.skip_counts(RO.extract_people(records(t).select(*RECORD_COLS), "add"))
 
 
-_ROSTER = _SCORE + f""", top AS (SELECT intent, source_id FROM z WHERE NOT excluded QUALIFY row_number() OVER (PARTITION BY intent ORDER BY total_score DESC, source_type, source_file, source_id) <= 2),
-e AS (SELECT t.intent, r.source_type, r.source_file, r.source_id, r.sheet_idx, r.row_idx, nm AS name, idn AS id_number, {GOOD_DATE} AS event_date, CASE WHEN t.intent = 'remove' AND r.variant = 1 THEN reason ELSE '' END AS reason FROM top t JOIN r USING (source_id)
-  WHERE {GOOD_DATE} IS NOT NULL AND CASE t.intent WHEN 'remove' THEN sheet_name IN ('', '减员', '离职_1') ELSE sheet_name NOT IN ('减员', '离职_1') END),
+# Every source that is not excluded; the date key decides which of them count.
+_ROSTER = _SCORE + _TYPES[len(RECS):] + f""", bid AS (SELECT source_id, key FROM kt WHERE key <> '备用' AND id > 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC, seen) = 1),
+top AS (SELECT DISTINCT intent, source_id FROM z WHERE NOT excluded),
+e AS (SELECT t.intent, r.source_type, r.source_file, r.source_id, r.sheet_idx, r.row_idx, nm AS name,
+  CASE WHEN r.variant < 5 THEN idn WHEN bid.key = 'name' AND length(concat('9', o_custkey)) >= 4 THEN concat('9', o_custkey) ELSE '' END AS id_number, {GOOD_DATE} AS event_date, CASE WHEN t.intent = 'remove' AND r.variant = 1 THEN reason ELSE '' END AS reason FROM top t JOIN r USING (source_id) LEFT JOIN bid USING (source_id)
+  WHERE {GOOD_DATE} IS NOT NULL AND (t.intent = 'add' AND r.variant = 0 OR t.intent = 'remove' AND r.variant IN (1, 3, 5)) AND CASE t.intent WHEN 'remove' THEN sheet_name IN ('', '减员', '离职_1') ELSE sheet_name NOT IN ('减员', '离职_1') END),
 k AS (SELECT *, length(concat_ws('|', name, id_number, cast(event_date AS string), reason)) AS size FROM e),
 a AS (SELECT * FROM k WHERE length(id_number) >= 4 QUALIFY row_number() OVER (PARTITION BY intent, id_number ORDER BY size DESC, source_type, source_file, source_id, sheet_idx, row_idx) = 1),
 b AS (SELECT * FROM k WHERE length(id_number) < 4 QUALIFY row_number() OVER (PARTITION BY intent, name, event_date ORDER BY size DESC, source_type, source_file, source_id, sheet_idx, row_idx) = 1),
@@ -318,7 +321,7 @@ def row_checks(t):
     return one("add").unionByName(one("remove"))
 
 
-_INS = RECS + f""", bk AS (SELECT source_id FROM r WHERE source_type = 'excel' AND contains(source_file, '离职') ORDER BY source_file, source_id LIMIT 1), ak AS (SELECT source_id FROM r WHERE source_type = 'excel' AND contains(source_file, '入职') ORDER BY source_file, source_id LIMIT 1),
+_INS = RECS + f""", bk AS (SELECT DISTINCT source_id FROM r WHERE source_type = 'excel' AND contains(source_file, '离职')), ak AS (SELECT DISTINCT source_id FROM r WHERE source_type = 'excel' AND contains(source_file, '入职')),
 m AS (SELECT source_type, source_file, source_id, sheet_idx, row_idx, nm AS name, idn AS employee_id, dt AS leave_date, '' AS leave_date_text FROM r WHERE variant = 3
   UNION ALL SELECT source_type, source_file, source_id, sheet_idx, row_idx, nm, idn, coalesce(strftime({GOOD_DATE}, '%Y-%m-%d'), ''), dt FROM r SEMI JOIN bk USING (source_id) WHERE sheet_name IN ('减员', '离职_1')),
 x AS (SELECT *, 1 + CASE WHEN employee_id <> '' THEN 1 ELSE 0 END + CASE WHEN leave_date <> '' THEN 1 ELSE 0 END + CASE WHEN leave_date_text <> '' THEN 1 ELSE 0 END AS filled FROM m),

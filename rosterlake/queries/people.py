@@ -94,8 +94,8 @@ def field_filter(t):
 
 
 @query("record_gate", RECS + """, f AS (SELECT *, CASE WHEN variant IN (0, 2) THEN (1 + CASE WHEN idn <> '' THEN 1 ELSE 0 END + CASE WHEN dt <> '' THEN 1 ELSE 0 END) / 3 WHEN variant = 3 THEN 1 / 3 WHEN variant = 5 THEN 2 / 3 ELSE 0 END AS ratio FROM r),
-g AS (SELECT *, max(ratio) OVER (PARTITION BY source_id) AS best, row_number() OVER (PARTITION BY source_id ORDER BY ratio DESC, sheet_idx, row_idx) AS rn FROM f)
-SELECT o_orderkey, round(ratio, 4) AS ratio FROM g WHERE ratio >= 0.4 OR (best < 0.4 AND rn <= 5)""")
+g AS (SELECT *, max(ratio) OVER (PARTITION BY source_id) AS best FROM f)
+SELECT o_orderkey, round(ratio, 4) AS ratio FROM g WHERE ratio >= 0.4 OR best < 0.4""")
 def record_gate(t):
     return I.gate_records(_recs(t), ["name", "id_number", "start_date"]).select("o_orderkey", F.round("filled_ratio", 4).alias("ratio"))
 
@@ -195,19 +195,19 @@ def top_sources_excluded(t):
 
 
 _TYPES = KV + """, n AS (SELECT *, dense_rank() OVER (PARTITION BY source_id ORDER BY sheet_idx, row_idx) AS rk FROM kv),
-q AS (SELECT source_id, key, min(rk * 100 + k) AS seen, avg(CASE WHEN value = '' THEN NULL WHEN regexp_matches(value, '^[一-鿿]{1,6}$') AND value NOT IN ('男', '女') THEN 1.0 WHEN regexp_matches(value, '^[A-Za-z ]{2,}$') THEN 1.0 ELSE 0 END) AS name,
+kt AS (SELECT source_id, key, min(rk * 100 + k) AS seen, avg(CASE WHEN value = '' THEN NULL WHEN regexp_matches(value, '^[一-鿿]{1,6}$') AND value NOT IN ('男', '女') THEN 1.0 WHEN regexp_matches(value, '^[A-Za-z ]{2,}$') THEN 1.0 ELSE 0 END) AS name,
   avg(CASE WHEN value = '' THEN NULL WHEN regexp_matches(value, '^([0-9]{4,}|[0-9]{17}[Xx])$') THEN 1.0 ELSE 0 END) AS id,
-  avg(CASE WHEN value = '' THEN NULL WHEN try_cast(replace(value, '/', '-') AS date) IS NOT NULL AND regexp_matches(value, '^[0-9]{4}[-/]') THEN 1.0 WHEN regexp_matches(value, '^[0-9]{8}$') THEN 1.0 ELSE 0 END) AS date FROM n WHERE rk <= 20 GROUP BY 1, 2)
+  avg(CASE WHEN value = '' THEN NULL WHEN try_cast(replace(value, '/', '-') AS date) IS NOT NULL AND regexp_matches(value, '^[0-9]{4}[-/]') THEN 1.0 WHEN regexp_matches(value, '^[0-9]{8}$') THEN 1.0 ELSE 0 END) AS date FROM n GROUP BY 1, 2)
 """
 
 
-@query("field_types", _TYPES + "SELECT source_id, key, round(coalesce(name, 0), 6) AS name, round(coalesce(id, 0), 6) AS id, round(coalesce(date, 0), 6) AS date FROM q")
+@query("field_types", _TYPES + "SELECT source_id, key, round(coalesce(name, 0), 6) AS name, round(coalesce(id, 0), 6) AS id, round(coalesce(date, 0), 6) AS date FROM kt")
 def field_types(t):
     s = S.field_type_scores(_recs(t))
     return s.select("source_id", "key", *[F.round(k, 6).alias(k) for k in ("name", "id", "date")])
 
 
-@query("fixed_keys", _TYPES + """, v AS (SELECT DISTINCT source_id, variant FROM r), b AS (SELECT source_id, key FROM q WHERE key <> '备用' AND id > 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC, seen) = 1)
+@query("fixed_keys", _TYPES + """, v AS (SELECT DISTINCT source_id, variant FROM r), b AS (SELECT source_id, key FROM kt WHERE key <> '备用' AND id > 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC, seen) = 1)
 SELECT v.source_id, CASE variant WHEN 1 THEN '姓名' WHEN 4 THEN '员工姓名' WHEN 5 THEN '备用' ELSE 'name' END AS name_key, CASE variant WHEN 1 THEN '工号' WHEN 3 THEN 'employee_id' WHEN 4 THEN '身份证号' WHEN 5 THEN b.key ELSE 'id_number' END AS id_key,
   CASE variant WHEN 1 THEN '离职日期' WHEN 3 THEN 'leave_date' WHEN 5 THEN 'termination_date' END AS date_key, variant = 5 AS name_repaired, variant IN (1, 3, 5) AS date_valid FROM v LEFT JOIN b USING (source_id)""")
 def fixed_keys(t):
@@ -229,10 +229,10 @@ def source_keys(t):
     return k.select("source_id", F.array_join(F.transform("ks", lambda x: x["key"]), ",").alias("keys"))
 
 
-_ONE = lambda word: f"(SELECT source_id, source_file FROM r WHERE source_type = 'excel' AND contains(source_file, '{word}') ORDER BY source_file, source_id LIMIT 1)"
+_ONE = lambda word: f"(SELECT DISTINCT source_id, source_file FROM r WHERE source_type = 'excel' AND contains(source_file, '{word}') )"
 
 
-@query("source_pick", RECS + f" SELECT 'add' AS intent, * FROM {_ONE('入职')} a UNION ALL SELECT 'remove', * FROM {_ONE('离职')} b UNION ALL SELECT 'by_keys', * FROM (SELECT source_id, source_file FROM r WHERE variant = 2 ORDER BY source_file, source_id LIMIT 1) c")
+@query("source_pick", RECS + f" SELECT 'add' AS intent, * FROM {_ONE('入职')} a UNION ALL SELECT 'remove', * FROM {_ONE('离职')} b UNION ALL SELECT 'by_keys', * FROM (SELECT DISTINCT source_id, source_file FROM r WHERE variant = 2) c")
 def source_pick(t):
     books = _recs(t).filter("source_type = 'excel'")
     pick = lambda df, i, label: S.source_pick(df, i).select(F.lit(label).alias("intent"), "source_id", "source_file")

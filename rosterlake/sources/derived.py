@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..common import checkpointed
 
 
-def closure(roots: DataFrame, children_of: Callable[[DataFrame], DataFrame], max_depth: int = 8) -> DataFrame:
+def closure(roots: DataFrame, children_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All sources reachable from the roots, each once, with depth and parent.
 
     `children_of(level)` gives (source_id, parent_source_id, ...) for one level;
@@ -17,7 +17,9 @@ def closure(roots: DataFrame, children_of: Callable[[DataFrame], DataFrame], max
     nor work grows with depth; the loop ends when a level brings nothing new."""
     level = checkpointed(roots.withColumn("depth", F.lit(0)))
     seen = level
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         found = children_of(level)
         fresh = found.join(seen.select("source_id"), "source_id", "left_anti")
         # One parent per child: the smallest, whatever order tasks finish in.
