@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +57,27 @@ def anchors(data: np.ndarray, offset: np.ndarray, sizes: np.ndarray, length: int
 
 
 def _packed(**arrays: np.ndarray) -> dict[str, bytes]:
-    return {k: v.tobytes() for k, v in arrays.items()}
+    """Arrays as compressed bytes (the general codec of the shuffle is faster, but
+    leaves these half as large again)."""
+    codec = zstandard.ZstdCompressor(level=3)
+    return {k: codec.compress(np.ascontiguousarray(v).tobytes()) for k, v in arrays.items()}
+
+
+def _unpacked(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _rows(tag: str, names: tuple[str, ...], rows: list[tuple[int, dict[str, bytes]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([x[n] for _, x in rows], pa.binary()) for n in names]], [tag, *names])
+
+
+_ANCHORS = ("ids", "hashes", "doc", "pos", "seed")
+_PLACES = ("ids", "hashes", "count", "pos")
 
 
 def _anchor_blobs(length: int, buckets: int):
-    """(bucket, anchors of a chunk of texts that fall in it), packed."""
-    names = ("ids", "hashes", "doc", "pos", "seed")
+    """(bucket, anchors of a chunk of texts that fall in it), packed. Six bytes of a
+    seed's hash travel; the bucket holds the rest of what tells seeds apart."""
 
     def run(batches):
         for batch in batches:
@@ -78,43 +94,75 @@ def _anchor_blobs(length: int, buckets: int):
                 rows = []
                 for own in np.split(order, cut) if len(order) else ():
                     docs, local = np.unique(doc[own], return_inverse=True)
-                    rows.append((int(bucket[own[0]]), _packed(ids=key[at + docs], hashes=h[at + docs], doc=local.astype(np.uint32), pos=pos[own].astype(np.uint32), seed=seeds[own])))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *[pa.array([x[n] for _, x in rows], pa.binary()) for n in names]], ["bucket", *names])
+                    short = seeds[own].view(np.uint8).reshape(-1, 8)[:, 2:]
+                    rows.append((int(bucket[own[0]]), _packed(ids=key[at + docs], hashes=h[at + docs], doc=np.diff(local, prepend=0).astype(np.uint32), pos=np.diff(pos[own], prepend=0).astype(np.int32), seed=short)))
+                yield _rows("bucket", _ANCHORS, rows)
+
+    return run
+
+
+def _repeated(buckets: int):
+    """Anchors whose seed occurs at two places, packed by the slot their document is in."""
+
+    def run(batches):
+        held = {n: [] for n in ("key", "h", "pos", "seed")}
+        for batch in batches:
+            tags = batch.column(0).to_numpy()
+            for tag, ids, hashes, doc, pos, seed in zip(tags, *(batch.column(k).to_pylist() for k in range(1, 6))):
+                doc = np.cumsum(_unpacked(doc, np.uint32))
+                held["key"].append(_unpacked(ids, np.int64)[doc])
+                held["h"].append(_unpacked(hashes, np.int64)[doc])
+                held["pos"].append(np.cumsum(_unpacked(pos, np.int32)).astype(np.uint32))
+                six = np.zeros((len(doc), 8), np.uint8)
+                six[:, 2:] = _unpacked(seed, np.uint8).reshape(-1, 6)
+                held["seed"].append(six.view(np.uint64).ravel() ^ np.uint64(int(tag) & 0xFFFF))
+        if not held["key"]:
+            return
+        key, h, pos, seed = (np.concatenate(held.pop(n)) for n in ("key", "h", "pos", "seed"))
+        order = np.argsort(seed, kind="stable")
+        same = np.diff(seed[order]) == 0
+        order = order[np.append(same, False) | np.append(False, same)]
+        key, h, pos, seed = key[order], h[order], pos[order], seed[order]
+        order = np.lexsort((pos, h, key, seed))
+        key, h, pos, seed = key[order], h[order], pos[order], seed[order]
+        # repeated rows of the table are one document and repeat nothing
+        new = np.append(True, (np.diff(seed) != 0) | (np.diff(key) != 0) | (np.diff(h) != 0) | (np.diff(pos) != 0))[: len(key)]
+        key, h, pos, seed = key[new], h[new], pos[new], seed[new]
+        same = np.diff(seed) == 0
+        twice = (np.append(same, False) | np.append(False, same))[: len(key)]
+        key, h, pos = key[twice], h[twice], pos[twice]
+        slot = (mix(key.view(np.uint64) ^ h.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((pos, h, key, slot))
+        cut = np.flatnonzero(np.diff(slot[order])) + 1
+        rows = []
+        for own in np.split(order, cut) if len(order) else ():
+            first = np.flatnonzero(np.append(True, (np.diff(key[own]) != 0) | (np.diff(h[own]) != 0)))
+            rows.append((int(slot[own[0]]), _packed(ids=key[own[first]], hashes=h[own[first]], count=np.diff(np.append(first, len(own))), pos=pos[own])))
+        yield _rows("slot", _PLACES, rows)
 
     return run
 
 
-def _repeated(batches):
-    """Anchors of a bucket whose seed occurs at two places, by document."""
-    held = {n: [] for n in ("key", "h", "pos", "seed")}
+def _gathered(batches):
+    """(key, h, places) of a slot's documents."""
+    held = {n: [] for n in ("key", "h", "pos")}
     for batch in batches:
-        for ids, hashes, doc, pos, seed in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
-            doc = np.frombuffer(doc, np.uint32)
-            held["key"].append(np.frombuffer(ids, np.int64)[doc])
-            held["h"].append(np.frombuffer(hashes, np.int64)[doc])
-            held["pos"].append(np.frombuffer(pos, np.uint32))
-            held["seed"].append(np.frombuffer(seed, np.uint64))
+        for ids, hashes, count, pos in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            count = _unpacked(count, np.int64)
+            held["key"].append(np.repeat(_unpacked(ids, np.int64), count))
+            held["h"].append(np.repeat(_unpacked(hashes, np.int64), count))
+            held["pos"].append(_unpacked(pos, np.uint32))
     if not held["key"]:
         return
-    key, h, pos, seed = (np.concatenate(held[n]) for n in ("key", "h", "pos", "seed"))
-    order = np.lexsort((pos, h, key, seed))
-    key, h, pos, seed = key[order], h[order], pos[order], seed[order]
-    same = seed[1:] == seed[:-1]
-    # repeated rows of the table are one document and repeat nothing
-    new = np.append(True, ~(same & (key[1:] == key[:-1]) & (h[1:] == h[:-1]) & (pos[1:] == pos[:-1])))
-    key, h, pos, seed = key[new], h[new], pos[new], seed[new]
-    same = seed[1:] == seed[:-1]
-    twice = np.append(same, False) | np.append(False, same)
-    key, h, pos = key[twice], h[twice], pos[twice]
+    key, h, pos = (np.concatenate(held.pop(n)) for n in ("key", "h", "pos"))
     order = np.lexsort((pos, h, key))
     key, h, pos = key[order], h[order], pos[order]
-    cut = np.flatnonzero((key[1:] != key[:-1]) | (h[1:] != h[:-1])) + 1
-    first = np.concatenate([[0], cut]) if len(key) else np.zeros(0, np.int64)
-    for a in range(0, len(first), 10_000):
-        part = first[a : a + 10_000]
-        ends = [*first[a + 1 : a + 10_001].tolist(), len(key)][: len(part)]
-        blobs = [pos[x:y].tobytes() for x, y in zip(part.tolist(), ends)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(h[part]), pa.array(blobs, pa.binary())], ["key", "h", "pos"])
+    first = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(h) != 0))[: len(key)])
+    ends = np.append(first[1:], len(key))
+    for a in range(0, len(first), 5_000):
+        part = slice(a, a + 5_000)
+        blobs = [pos[x:y].tobytes() for x, y in zip(first[part].tolist(), ends[part].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(key[first[part]]), pa.array(h[first[part]]), pa.array(blobs, pa.binary())], ["key", "h", "pos"])
 
 
 def surroundings(data: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
@@ -154,7 +202,8 @@ def _sorted_runs(length: int, buckets: int):
         place = np.arange(len(rows))
         first = np.maximum.accumulate(np.where(fresh, place, 0))
         gone = ~fresh & ((key != key[first]) | (h != h[first]) | (pos != pos[first]))  # a repeated row is no repeat
-        out = [(-1, {"lcp": b"", "tail": b"", "ids": key[gone].tobytes(), "hashes": h[gone].tobytes(), "places": np.stack([pos[gone] - rows[gone, -1], pos[gone] + rows[gone, length]], 1).astype(np.int64).tobytes()})] if gone.any() else []
+        none = np.zeros(0, np.uint8)
+        out = [(-1, _packed(lcp=none, tail=none, ids=key[gone], hashes=h[gone], places=np.stack([pos[gone] - rows[gone, -1], pos[gone] + rows[gone, length]], 1).astype(np.int64)))] if gone.any() else []
         rows, bucket, key, h, pos = rows[fresh], bucket[fresh], key[fresh], h[fresh], pos[fresh]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -163,13 +212,13 @@ def _sorted_runs(length: int, buckets: int):
             lcp = np.append(0, differ.argmax(axis=1)).astype(np.uint8)
             tail = own[np.arange(width) >= lcp[:, None]]
             out.append((int(bucket[a]), _packed(lcp=lcp, tail=tail, ids=key[a:b], hashes=h[a:b], places=pos[a:b].astype(np.int64))))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), *[pa.array([x[n] for _, x in out], pa.binary()) for n in names]], ["bucket", *names])
+        return _rows("bucket", names, out)
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
             key, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = [np.concatenate([np.frombuffer(x, np.uint32) for x in p]).astype(np.int64) for p in batch.column(3).to_pylist()]
+            found = [np.frombuffer(p, np.uint32).astype(np.int64) for p in batch.column(3).to_pylist()]
             for at, part in chunks(as_bytes(batch.column(2))):
                 data, offset = joined(part)
                 sizes = np.fromiter(map(len, part), np.int64, len(part))
@@ -273,11 +322,14 @@ def _earlier(length: int):
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["key", "h", "start", "end"])
 
     def of(runs):
-        order, lcp = merge([(x["lcp"], _decoded(x["lcp"], x["tail"], width)) for x in runs])
+        kinds = {"lcp": np.uint8, "tail": np.uint8, "ids": np.int64, "hashes": np.int64, "places": np.int64}
+        runs = [{n: _unpacked(x[n], kind) for n, kind in kinds.items()} for x in runs]
+        runs = [x | {"strings": _decoded(x["lcp"].tobytes(), x["tail"].tobytes(), width)} for x in runs]
+        order, lcp = merge([(x["lcp"].tolist(), x["strings"]) for x in runs])
         base = np.concatenate([[0], np.cumsum([len(x["lcp"]) for x in runs])])
         at = np.array([base[r] + i for r, i in order], np.int64)
-        key, h, pos = (np.concatenate([np.frombuffer(x[n], np.int64) for x in runs])[at] for n in ("ids", "hashes", "places"))
-        text = np.frombuffer(b"".join(b"".join(_decoded(x["lcp"], x["tail"], width)) for x in runs), np.uint8).reshape(-1, width)
+        key, h, pos = (np.concatenate([x[n] for x in runs])[at] for n in ("ids", "hashes", "places"))
+        text = np.frombuffer(b"".join(b"".join(x["strings"]) for x in runs), np.uint8).reshape(-1, width)
         after, before = text[at, length].astype(np.int64), text[at, width - 1].astype(np.int64)
         lcp = np.minimum(np.array(lcp, np.int64), length)
         lcp[1:] = np.minimum(lcp[1:], np.minimum(after[1:], after[:-1]))
@@ -317,8 +369,8 @@ def _earlier(length: int):
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] < 0:
-                    span = np.frombuffer(row["places"], np.int64).reshape(-1, 2)
-                    yield done(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["hashes"], np.int64), span[:, 0], span[:, 1])
+                    span = _unpacked(row["places"], np.int64).reshape(-1, 2)
+                    yield done(_unpacked(row["ids"], np.int64), _unpacked(row["hashes"], np.int64), span[:, 0], span[:, 1])
                 else:
                     runs.setdefault(row["bucket"], []).append(row)
         for bucket in sorted(runs):
@@ -355,8 +407,9 @@ def repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: st
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("key"), F.xxhash64(body).alias("h"), body.alias("text"))
-    found = rows.mapInArrow(_anchor_blobs(length, buckets), "bucket int, ids binary, hashes binary, doc binary, pos binary, seed binary")
-    twice = found.repartition(buckets, "bucket").mapInArrow(_repeated, "key long, h long, pos binary").groupBy("key", "h").agg(F.collect_list("pos").alias("pos"))
+    blobs = lambda names: ", ".join(f"{n} binary" for n in names)
+    found = rows.mapInArrow(_anchor_blobs(length, buckets), f"bucket int, {blobs(_ANCHORS)}").repartition(buckets, "bucket")
+    twice = found.mapInArrow(_repeated(buckets), f"slot int, {blobs(_PLACES)}").repartition(buckets, "slot").mapInArrow(_gathered, "key long, h long, pos binary")
     runs = rows.join(twice.hint("shuffle_hash"), ["key", "h"]).select("key", "h", "text", "pos").mapInArrow(_sorted_runs(length, buckets), "bucket int, lcp binary, tail binary, ids binary, hashes binary, places binary")
     gone = runs.repartition(buckets, "bucket").mapInArrow(_earlier(length), "key long, h long, start long, end long")
     spans = gone.groupBy("key", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
