@@ -137,33 +137,32 @@ def add_scores(feats: DataFrame, width: Column) -> DataFrame:
 def sheet_layout(cells: DataFrame, opts: SheetOptions = SheetOptions()) -> DataFrame:
     """One row per sheet: header row, number of header lines, first data row.
 
-    Only the first rows of a sheet take part, so what is gathered per sheet is
-    bounded by the scan depth."""
+    The header is looked for in all rows, or in the first `header_scan_rows`. Rows
+    become counts, counts one row per sheet; only the verdict on the row after the
+    best one is joined back, so nothing is gathered per sheet."""
     cells = with_text(cells)
-    scan = opts.header_scan_rows
-    top = cells.filter(F.col("row_idx") < scan + 2).groupBy(*ROW).agg(*_kinds())
-    per = top.groupBy(*SHEET).agg(F.collect_list(F.struct("row_idx", "n", "n_date", "n_long", "n_num", "n_text")).alias("rows"))
-
-    def scored(x):
-        text, long, date, num = (x[c] / x["n"] for c in ("n_text", "n_long", "n_date", "n_num"))
-        score = 3.5 * text - 2.5 * long - 2.0 * date - 1.5 * num + 0.2 * (x["n"] / F.col("n_cols"))
-        like = (text >= 0.35) & (long <= 0.02) & (date <= 0.02) & (num <= 0.15)
-        data = ((long > 0.03) | (date > 0.03)) & (text >= 0.6)
-        return F.struct((-score).alias("s"), x["row_idx"].alias("r"), like.alias("like"), data.alias("data"))
-
-    def facts(rows):
-        first = F.array_min(F.filter(rows, lambda x: x["like"] & (x["r"] < scan)))
-        return F.struct(
-            first.alias("best"), F.array_min(F.transform(F.filter(rows, lambda x: x["r"] < scan), lambda x: x["r"])).alias("filled"),
-            F.transform(F.filter(rows, lambda x: x["like"]), lambda x: x["r"]).alias("likes"),
-        )
-
-    base = sheet_shapes(cells).join(per, SHEET, "left").withColumn(
-        "f", T.let(F.transform(F.coalesce("rows", F.array().cast("array<struct<row_idx:int,n:bigint,n_date:bigint,n_long:bigint,n_num:bigint,n_text:bigint>>")), scored), facts)
-    )
+    shapes = sheet_shapes(cells)
+    rows = cells.groupBy(*ROW).agg(*_kinds()).join(shapes.select(*SHEET, "n_cols"), SHEET)
+    text, long, date, num = (F.col(c) / F.col("n") for c in ("n_text", "n_long", "n_date", "n_num"))
+    score = 3.5 * text - 2.5 * long - 2.0 * date - 1.5 * num + 0.2 * (F.col("n") / F.col("n_cols"))
+    rows = rows.select(
+        *ROW, (-score).alias("s"), ((text >= 0.35) & (long <= 0.02) & (date <= 0.02) & (num <= 0.15)).alias("like"),
+        (((long > 0.03) | (date > 0.03)) & (text >= 0.6)).alias("data"),
+    )
+    scanned = F.lit(True) if opts.header_scan_rows is None else F.col("row_idx") < opts.header_scan_rows
+    per = rows.groupBy(*SHEET).agg(
+        F.min(F.when(F.col("like") & scanned, F.struct("s", F.col("row_idx").alias("r"), "like", "data"))).alias("best"),
+        F.min(F.when(scanned, F.col("row_idx"))).alias("filled"),
+        F.collect_set(F.when(F.col("like") & (F.col("row_idx") <= 3), F.col("row_idx"))).alias("first_likes"),
+    )
+    after = rows.filter("like").select(*SHEET, (F.col("row_idx") - 1).alias("_r"), F.lit(True).alias("_next"))
+    per = per.withColumn("_r", F.col("best")["r"]).join(after, [*SHEET, "_r"], "left")
+    likes = F.concat("first_likes", F.when(F.col("_next"), F.array(F.col("_r") + 1)).otherwise(F.array().cast("array<int>")))
+    per = per.select(*SHEET, F.struct("best", "filled", likes.alias("likes")).alias("f"))
+    base = shapes.join(per, SHEET, "left")
     base = base.select(
         *SHEET, "sheet_name", "n_rows", "n_cols", F.coalesce(F.col("f")["best"]["r"], F.lit(-1)).alias("picked"),
-        F.coalesce(F.col("f")["filled"], F.lit(0)).alias("first_filled"), F.col("f")["likes"].alias("like_rows"),
+        F.coalesce(F.col("f")["filled"], F.lit(0)).alias("first_filled"), F.coalesce(F.col("f")["likes"], F.array().cast("array<int>")).alias("like_rows"),
         F.coalesce(F.col("f")["best"]["data"], F.lit(False)).alias("vetoed"),
     ).withColumn("h", F.when(F.col("vetoed"), F.lit(-1)).otherwise(F.col("picked")))
     like = lambda i: F.array_contains("like_rows", i)
@@ -322,12 +321,12 @@ def column_profiles(cells: DataFrame, layout: DataFrame, opts: SheetOptions = Sh
 
 # ------------------------------------------------------------- sheet choice
 def rank_sheets(cells: DataFrame, opts: SheetOptions = SheetOptions()) -> DataFrame:
-    """Per sheet: best header score and filled cells of the scan window, its
-    rank in the workbook, and whether it is worth extracting."""
+    """Per sheet: best header score and filled cells, its rank in the workbook, and
+    whether it is worth extracting. All rows count, or the first `rank_rows`."""
     cells = with_text(cells)
-    window = cells.filter((F.col("row_idx") < opts.rank_rows) & (F.col("col_idx") < opts.rank_cols))
-    # The scan reads a fixed-width window, so the fill ratio is over its width.
-    feats = add_scores(window.groupBy(*ROW).agg(*_kinds()), F.lit(opts.rank_cols))
+    window = cells if opts.rank_rows is None else cells.filter(F.col("row_idx") < opts.rank_rows)
+    # Scores of sheets of any width are compared, so the fill ratio has one scale.
+    feats = add_scores(window.groupBy(*ROW).agg(*_kinds()), F.lit(opts.rank_width))
     stats = feats.groupBy(*SHEET).agg(
         F.max(F.when(F.col("header_like"), F.col("score"))).alias("best_score"), F.sum("n").alias("filled")
     )

@@ -46,9 +46,9 @@ REFERENCE_LIMITS = Limits(1000, 5000, 15000, 50)
 
 @dataclass(frozen=True)
 class SheetOptions:
-    header_scan_rows: int = 20
-    rank_rows: int = 30
-    rank_cols: int = 80
+    header_scan_rows: int | None = None
+    rank_rows: int | None = None
+    rank_width: int = 80
     coverage: float = 0.5
     head_rows: int = 10
     spread_rows: int = 10

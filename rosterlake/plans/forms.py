@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..rules import PROFILE_HEADERS
 
 FORM = ["template_id", "sheet_idx"]
-SCAN_ROWS, PREVIEW_ROWS, SAMPLE_ROWS = 100, 500, 3
+SAMPLE_ROWS = 3
 
 
 def has_value(cells: DataFrame) -> DataFrame:
@@ -27,34 +27,32 @@ def has_value(cells: DataFrame) -> DataFrame:
 def sheet_frames(cells: DataFrame) -> DataFrame:
     """Per sheet: extent, header row and number of header lines.
 
-    The header row is the one with most filled cells, stopping early once three
-    are filled and the next row holds data. Only the counts of the first rows
-    are gathered, so a sheet of any size gives one small map."""
+    The header row is the one with most filled cells (the first of them), among the
+    rows up to the first where three cells have been filled and the next row holds
+    data. Rows become counts; the running maximum is a window over a sheet's rows."""
     zero = F.coalesce((F.col("raw_type") == "number") & (F.col("raw").try_cast("double") == 0.0), F.lit(False))
     filled = T.is_non_empty("raw") & ~zero
     rows = cells.groupBy(*FORM, "row").agg(
         F.sum(F.when(filled, 1).otherwise(0)).cast("int").alias("n"), F.max("col").alias("max_col"), F.max("sheet").alias("sheet"), F.max("filename").alias("filename")
     )
-    early = F.when(F.col("row") <= SCAN_ROWS + 1, F.struct("row", "n"))
-    per = rows.groupBy(*FORM).agg(
+    by_row = Window.partitionBy(*FORM).orderBy("row")
+    after = F.when(F.lead("row").over(by_row) == F.col("row") + 1, F.lead("n").over(by_row)).otherwise(0)
+    most = F.max("n").over(by_row)
+    seen = rows.withColumn("after", after).withColumn("most", most)
+    # A row may be empty in the table of cells: a stop there is the same as none.
+    stop = F.when((F.col("most") >= 3) & (F.col("after") > 0), F.col("row"))
+    gap = F.when((F.col("most") >= 3) & (F.lead("n").over(by_row) > 0) & (F.lead("row").over(by_row) > F.col("row") + 1), F.lead("row").over(by_row) - 1)
+    seen = seen.withColumn("stop", F.coalesce(stop, gap))
+    ends = seen.groupBy(*FORM).agg(F.min("stop").alias("stop"))
+    seen = seen.drop("stop").join(ends, FORM)
+    candidate = (F.col("row") >= 1) & (F.col("n") > 0) & (F.col("stop").isNull() | (F.col("row") <= F.col("stop")))
+    per = seen.groupBy(*FORM).agg(
         F.max("sheet").alias("sheet"), F.max("filename").alias("filename"), F.max("row").alias("max_row"), F.max("max_col").alias("max_col"),
-        F.map_from_entries(F.collect_list(early)).alias("counts"),
+        F.min(F.when(candidate, F.struct((-F.col("n")).alias("less"), "row", "after"))).alias("h"),
     )
-    count = lambda r: F.coalesce(F.try_element_at("counts", r), F.lit(0))
-
-    def look(acc, r):
-        n = count(r)
-        better = ~acc["done"] & (n > acc["n"])
-        best = F.when(better, n).otherwise(acc["n"])
-        return F.struct(
-            best.alias("n"), F.when(better, r).otherwise(acc["row"]).alias("row"), (acc["done"] | ((best >= 3) & (count(r + 1) > 0))).alias("done")
-        )
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("row"), F.lit(False).alias("done"))
-    per = per.withColumn("h", F.aggregate(F.sequence(F.lit(1), F.least("max_row", F.lit(SCAN_ROWS))), start, look))
     row = F.col("h")["row"]
-    return per.filter(F.col("h")["n"] >= 2).select(
-        *FORM, "sheet", "filename", "max_row", "max_col", row.alias("header_row"), ((count(row + 1) >= 2) & (row + 1 <= F.col("max_row"))).alias("two_lines")
+    return per.filter(-F.col("h")["less"] >= 2).select(
+        *FORM, "sheet", "filename", "max_row", "max_col", row.alias("header_row"), ((F.col("h")["after"] >= 2) & (row + 1 <= F.col("max_row"))).alias("two_lines")
     )
 
 
@@ -63,7 +61,7 @@ def regions(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     range. tables(template_id, sheet_idx, table_name, ref)."""
     auto = sheet_frames(cells).select(
         *FORM, "sheet", "filename", F.concat(F.lit("region_"), F.col("header_row").cast("string")).alias("region_id"),
-        F.col("header_row").alias("first_row"), F.least("max_row", F.col("header_row") + PREVIEW_ROWS).alias("last_row"),
+        F.col("header_row").alias("first_row"), F.col("max_row").alias("last_row"),
         F.lit(1).alias("first_col"), F.col("max_col").alias("last_col"), F.when(F.col("two_lines"), 2).otherwise(1).alias("header_lines"),
     )
     if tables is None:

@@ -3,7 +3,7 @@ composed from rows of the given tables, so their number grows with them."""
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..common import checkpointed
+from ..common import checkpointed, scratch_path
 from ..functions import text as T
 from ..options import RouteOptions
 from ..sources import derived as V
@@ -273,7 +273,36 @@ def derived_closure(t):
     return V.closure(roots, children).select("source_id", "depth")
 
 
-@query("file_scan")
+def page_files(t) -> str:
+    """The pages as files of the shared folder, a JSON line each."""
+    root = scratch_path(t.spark, "pages")
+    t.pages.select("page_id", "url", "html").repartition(8, "page_id").write.json(root)
+    return root
+
+
+def pages_in(files):
+    """The pages read back out of scanned files' bytes."""
+    lines = files.filter("ext = '.json'").select("source_type", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).filter("line <> ''")
+    page = lines.select("source_type", F.from_json("line", "page_id bigint, url string, html string").alias("p"))
+    return page.select("source_type", "p.page_id", "p.url", F.sha2(F.coalesce("p.html", F.lit("")), 256).alias("html_sha256"))
+
+
+PAGES_BACK = "SELECT 'text' AS source_type, page_id, url, sha256(coalesce(html, '')) AS html_sha256 FROM {pages}"
+
+
+@query("file_scan", PAGES_BACK)
 def file_scan(t):
-    files = Z.route(Z.scan_files(t.spark, [t.root]))
-    return files.select("source_file", "ext", "source_type", "length")
+    return pages_in(Z.route(Z.scan_files(t.spark, [page_files(t)])))
+
+
+@query("results_written", """
+SELECT 'summary' AS part, o_orderstatus AS id, cast(count(*) AS bigint) AS n FROM {orders} GROUP BY 2 UNION ALL SELECT 'fills', cast(o_orderkey AS string), o_custkey FROM {orders}
+UNION ALL SELECT 'sources', c_name, c_custkey FROM {customer}""")
+def results_written(t):
+    """The three result tables written as JSON lines and read back."""
+    summary = t.orders.groupBy(F.col("o_orderstatus").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    fills = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("n"))
+    sources = t.customer.select(F.col("c_name").alias("id"), F.col("c_custkey").alias("n"))
+    root = K.write_results(scratch_path(t.spark, "results"), summary, fills, sources, "job", "20260101")
+    part = lambda name: t.spark.read.schema("id string, n bigint").json(f"{root}/{name}").select(F.lit(name).alias("part"), "id", "n")
+    return part("summary").unionByName(part("fills")).unionByName(part("sources"))

@@ -4,7 +4,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import checkpointed
+from ..common import checkpointed, scratch_path
 from ..functions import dates as D
 from ..operators import resolve as S
 from ..options import FillOptions, IntentWords
@@ -13,6 +13,7 @@ from ..plans import forms as FO
 from ..plans import intake as N
 from ..plans import matching as X
 from ..plans import roster as RO
+from ..sources import sinks as K
 from . import recipes as R
 from .derive import RECORD_COLS, records
 from .files import _pack_books
@@ -222,6 +223,15 @@ def records_to_cells(t):
     return w.select("template_id", "row", "col_letter", "key", "value")
 
 
+@query("cells_written", _PLACED + "SELECT template_id, row, col_letter, key, value FROM w")
+def cells_written(t):
+    """Planned cells written a folder per form and read back."""
+    cols, path = _columns(t, NATION_FORMS), scratch_path(t.spark, "cells")
+    K.write_cells(P.plan_cells(P.place_records(_assigned(t), ["template_id"]), P.column_plan(_mapping(t), cols), cols), path)
+    back = t.spark.read.schema("template_id string, row int, col_letter string, key string, value string").parquet(path)
+    return back.select("template_id", "row", "col_letter", "key", "value")
+
+
 @query("unknown_headers", f"SELECT template_id AS scope, 'template_header_not_found' AS code, '没有' AS detail FROM ({NATION_FORMS}) f WHERE variant = 0")
 def unknown_headers(t):
     return P.unknown_headers(_mapping(t), _columns(t, NATION_FORMS))

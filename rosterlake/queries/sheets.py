@@ -37,17 +37,17 @@ sc AS (SELECT f.*, n_rows, n_cols, sheet_name, n / n_cols AS fill, 3.5 * (nt / n
   nt / n >= 0.35 AND ng / n <= 0.02 AND nd / n <= 0.02 AND nn / n <= 0.15 AS header_like,
   NOT (nd >= 2 OR (n / n_cols >= 0.85 AND (nd > 0 OR gg > 0) AND n >= 6) OR nd / n >= 0.3 OR gg / n >= 0.3 OR (np / n >= 0.6 AND na / n < 0.4) OR (na / n < 0.25 AND (nd > 0 OR gg > 0))) AS quick_header
   FROM feat f JOIN shape USING (source_id, sheet_idx)),
-best AS (SELECT source_id, sheet_idx, row_idx AS h FROM sc WHERE header_like AND row_idx < 20 QUALIFY row_number() OVER (PARTITION BY source_id, sheet_idx ORDER BY score DESC, row_idx) = 1),
+best AS (SELECT source_id, sheet_idx, row_idx AS h FROM sc WHERE header_like QUALIFY row_number() OVER (PARTITION BY source_id, sheet_idx ORDER BY score DESC, row_idx) = 1),
 lay AS (SELECT s.*, coalesce(b.h, -1) AS h, CASE WHEN b.h IS NULL THEN 0 WHEN coalesce(x.header_like, false) THEN 2 ELSE 1 END AS lines,
-  CASE WHEN b.h IS NULL THEN (SELECT min(row_idx) FROM feat f WHERE f.source_id = s.source_id AND f.sheet_idx = s.sheet_idx AND row_idx < 20) WHEN coalesce(x.header_like, false) THEN b.h + 2 ELSE b.h + 1 END AS ds
+  CASE WHEN b.h IS NULL THEN (SELECT min(row_idx) FROM feat f WHERE f.source_id = s.source_id AND f.sheet_idx = s.sheet_idx) WHEN coalesce(x.header_like, false) THEN b.h + 2 ELSE b.h + 1 END AS ds
   FROM shape s LEFT JOIN best b USING (source_id, sheet_idx) LEFT JOIN sc x ON x.source_id = s.source_id AND x.sheet_idx = s.sheet_idx AND x.row_idx = b.h + 1)
 """
 
 
 @query("row_features", _KIND + """SELECT source_id, sheet_idx, row_idx, round(fill, 6) AS fill, round(nt / n, 6) AS text_ratio, round(ng / n, 6) AS long_ratio, round(nd / n, 6) AS date_ratio, round(nn / n, 6) AS num_ratio,
-  round(score, 6) AS score, header_like, quick_header FROM sc WHERE row_idx < 30""")
+  round(score, 6) AS score, header_like, quick_header FROM sc""")
 def row_features(t):
-    f = C.row_features(sheet_cells(t), rows=30)
+    f = C.row_features(sheet_cells(t))
     return f.select(*SHEET, "row_idx", *[_ROUND(c).alias(c) for c in ("fill", "text_ratio", "long_ratio", "date_ratio", "num_ratio", "score")], "header_like", "quick_header")
 
 
@@ -94,7 +94,7 @@ def column_profile(t):
     return p.select(*SHEET, "col_idx", "fill_ratio", "unique_count", F.array_join("samples", "|").alias("samples"), *[_ROUND(c).alias(c) for c in ("text_share", "long_share", "number_share")])
 
 
-_RANK = _KIND + """, w AS (SELECT source_id, sheet_idx, max(score80) FILTER (header_like) AS best_score, sum(n) AS filled FROM (SELECT *, 3.5 * (nt / n) - 2.5 * (ng / n) - 2.0 * (nd / n) - 1.5 * (nn / n) + 0.2 * (n / 80) AS score80 FROM sc WHERE row_idx < 30) q GROUP BY 1, 2),
+_RANK = _KIND + """, w AS (SELECT source_id, sheet_idx, max(score80) FILTER (header_like) AS best_score, sum(n) AS filled FROM (SELECT *, 3.5 * (nt / n) - 2.5 * (ng / n) - 2.0 * (nd / n) - 1.5 * (nn / n) + 0.2 * (n / 80) AS score80 FROM sc) q GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY best_score DESC NULLS LAST, CASE WHEN best_score IS NULL THEN -filled END, sheet_idx) AS best_rank,
   row_number() OVER (PARTITION BY source_id ORDER BY best_score DESC NULLS LAST, filled DESC, sheet_idx) AS use_rank, best_score IS NOT NULL OR filled >= 3 AS useful FROM w)"""
 

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..streaming import feeds as Y
+from .files import PAGES_BACK, page_files, pages_in
 from .registry import query
 
 
@@ -22,7 +23,6 @@ def stream_counts(t):
     return Y.drain(Y.counts_feed(_stream(t, "events"), "event_type", "ts"), "counts")
 
 
-@query("stream_intake")
+@query("stream_intake", PAGES_BACK)
 def stream_intake(t):
-    feed = Y.file_feed(t.spark, t.root)
-    return Y.drain(feed.select("source_id", "source_file", "ext", "source_type", "length"), "intake")
+    return Y.drain(pages_in(Y.file_feed(t.spark, page_files(t))), "intake")
