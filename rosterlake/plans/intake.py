@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from ..operators import replies as Q
 from ..operators import sheets as C
 from ..options import FillOptions, RouteOptions, SheetOptions
 from ..sources import mail as M
+from ..sources import wordfile as D
 from ..sources import workbook as W
-from ..sources.route import route
+from ..sources.route import route, text_sources
 from . import fill as P
 from . import forms as FO
 from . import roster as RO
@@ -56,28 +58,57 @@ def leave_as_records(leave: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_replies: DataFrame | None = None, routes: RouteOptions = RouteOptions(), opts: SheetOptions = SheetOptions()) -> Extracted:
+SOURCE = ["source_id", "source_file", "source_type", "ext", "parent_source_id"]
+
+
+def with_attachments(top: DataFrame, routes: RouteOptions = RouteOptions()) -> tuple[DataFrame, DataFrame]:
+    """(all files, all decoded mails): the given files and, level by level, what is
+    attached to mails, mails among it included. Each level is one job, written once;
+    the loop ends at the first level without a mail."""
+    level = checkpointed(top.select(*SOURCE, "content"))
+    files, mails = level, None
+    while True:
+        decoded = checkpointed(M.decode_mail(level.filter("ext = '.eml'")))
+        mails = decoded if mails is None else mails.unionByName(decoded)
+        parts = M.export_parts(M.parts(decoded)).filter("NOT is_duplicate")
+        kids = parts.select(F.col("child_id").alias("source_id"), F.col("export_name").alias("source_file"), F.col("source_id").alias("parent_source_id"), "content")
+        level = checkpointed(route(kids, routes).select(*SOURCE, "content"))
+        files = files.unionByName(level)
+        if level.filter("ext = '.eml'").isEmpty():
+            return files, mails
+
+
+def loose_bodies(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source_id, body of text files and documents read like mails, dead letters of
+    the documents). A document's body is its paragraphs in order."""
+    texts = text_sources(files.filter("source_type = 'email' AND ext NOT IN ('.eml', '.docx')")).select("source_id", F.col("text").alias("body"))
+    items = checkpointed(D.decode_docx(files.filter("ext = '.docx'")))
+    lines = items.filter("error IS NULL AND kind = 'text'").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("ls"))
+    docs = lines.select("source_id", F.array_join(F.transform("ls", lambda x: x["content"]), "\n").alias("body"))
+    return texts.unionByName(docs), items.filter("error IS NOT NULL")
+
+
+def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_replies: DataFrame | None = None, routes: RouteOptions = RouteOptions(), opts: SheetOptions = SheetOptions(), proposed: DataFrame | None = None) -> Extracted:
     """files(source_id, source_file, file_path, content) → sources, records and
-    warnings. Attached workbooks are read like top-level ones."""
+    warnings. Attachments of any depth are read like top-level files: workbooks
+    for sheet records, mails, text files and documents for leave notices.
+    `proposed` holds column names for sheets, as `name_columns` takes them."""
     top = route(files, routes).withColumn("parent_source_id", F.lit("").cast("string"))
-    decoded = checkpointed(M.decode_mail(top.filter("ext = '.eml'")))
-    exported = M.export_parts(M.parts(decoded)).filter("NOT is_duplicate")
-    kids = route(
-        exported.select(F.col("child_id").alias("source_id"), F.col("export_name").alias("source_file"), F.col("source_id").alias("parent_source_id"), "content"), routes
-    )
-    cols = ["source_id", "source_file", "source_type", "ext", "parent_source_id"]
-    books = top.select(*cols, "content").unionByName(kids.select(*cols, "content")).filter("ext = '.xlsx'")
-    raw = checkpointed(W.decode_workbooks(books))
-    sources = top.select(*cols).unionByName(kids.select(*cols))
-    sheets = sheet_records(W.record_cells(raw), sources, opts).withColumn("extraction_type", F.lit("sheet"))
-    bodies = L.body_text(M.messages(decoded), opts.limits.body_chars)
-    leave = leave_as_records(L.leave_records(bodies, leave_replies), sources)
+    found, decoded = with_attachments(top, routes)
+    sources = found.select(*SOURCE)
+    raw = checkpointed(W.decode_workbooks(found.filter("ext = '.xlsx'").select(*SOURCE, "content")))
+    sheets = sheet_records(W.record_cells(raw), sources, opts, proposed=proposed).withColumn("extraction_type", F.lit("sheet"))
+    loose, dead = loose_bodies(found)
+    bodies = L.body_text(M.messages(decoded), opts.limits.body_chars).unionByName(loose, allowMissingColumns=True)
+    notices = L.leave_records(bodies, leave_replies)
+    leave = leave_as_records(notices, sources)
     records = sheets.unionByName(leave, allowMissingColumns=True)
-    warn = [
+    errors = [
         x.filter("error IS NOT NULL").select(F.col("source_id").alias("scope"), F.col("error")["type"].alias("code"), F.col("error")["message"].alias("detail"))
-        for x in (decoded, raw)
+        for x in (decoded, raw, dead)
     ]
-    warnings = warn[0].unionByName(warn[1])
+    undated = notices.filter("warning IS NOT NULL").select(F.col("source_id").alias("scope"), F.lit("leave_date").alias("code"), F.col("warning").alias("detail"))
+    warnings = reduce(DataFrame.unionByName, [*errors, undated])
     if body_replies is not None:
         asked = Q.body_records(bodies.join(sources.select("source_id", "source_file"), "source_id"), body_replies)
         more = Q.explode_records(asked).join(sources.select("source_id", "source_type", "parent_source_id"), "source_id").select(

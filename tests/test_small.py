@@ -1,6 +1,9 @@
 """Operators on tiny inline rows."""
 import html
+import io
 import random
+import zipfile
+from email.message import EmailMessage
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from rosterlake.operators import naming as N
 from rosterlake.operators import resolve as S
 from rosterlake.operators import sheets as C
 from rosterlake.plans import matching as X
+from rosterlake.plans.intake import run_extract
 
 
 def _one(spark, expr, **cols):
@@ -115,3 +119,38 @@ def test_record_types(spark):
     df = spark.createDataFrame([("A", {"name": "A", "termination_reason": "x"}, "减员"), ("B", {"name": "B", "start_date": "x"}, "增员"), ("C", {"name": "C"}, "减员名单")], "n string, rec map<string,string>, sheet_name string")
     got = {r.n: r.k for r in df.select("n", I.combined_type("rec", "sheet_name").alias("k")).collect()}
     assert got == {"A": "remove", "B": "add", "C": "remove"}
+
+
+def _docx(lines):
+    body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def _mail(body, **attached):
+    m = EmailMessage()
+    m["From"], m["To"], m["Date"], m["Subject"] = "a@x.cn", "b@x.cn", "Tue, 04 Nov 2025 10:00:00 +0000", "notice"
+    m.set_content(body)
+    for name, data in attached.items():
+        m.add_attachment(data, maintype="application", subtype="octet-stream", filename=name.replace("_", "."))
+    return m.as_bytes()
+
+
+def test_attachments_of_attachments_are_read(spark):
+    line = lambda k: f"张三（4264800{k}）申请离职，离职生效日期：2025-11-1{k}"
+    inner = _mail(line(2), deep_docx=_docx([line(3), "end"]), bad_docx=b"no archive")
+    outer = _mail(line(1), inner_eml=inner, note_txt=line(4).encode(), other_bin=b"xx")
+    files = spark.createDataFrame([("m1", "m1.eml", "/m1.eml", bytearray(outer)), ("t1", "t1.txt", "/t1.txt", bytearray(line(5).encode()))], "source_id string, source_file string, file_path string, content binary")
+    out = run_extract(files)
+    got = {(r.rec["employee_id"], r.rec["leave_date"], r.source_file.rsplit(".", 1)[1]) for r in out.records.collect()}
+    assert got == {(f"4264800{k}", f"2025-11-1{k}", kind) for k, kind in ((1, "eml"), (2, "eml"), (3, "docx"), (4, "txt"), (5, "txt"))}
+    assert [r.code for r in out.warnings.collect()] == ["BadZipFile"]
+    assert out.sources.count() == 7
+
+
+def test_a_cell_given_twice_does_not_stop_the_sheet(spark):
+    cells = _cells(spark, [["姓名", "员工工号"], ["张三", "E1"], ["李四", "E2"], ["王五", "E3"]])
+    twice = cells.unionByName(cells.filter("row_idx = 1 AND col_idx = 0").withColumn("raw", F.lit("赵六")))
+    assert C.sheet_rows(twice, C.sheet_layout(twice)).count() >= 2
