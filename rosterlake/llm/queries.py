@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, decontaminate, jaccard, licenses, packing, quality, secrets, substrings, toxicity
+from . import chat, counting, decontaminate, jaccard, licenses, oracles, packing, quality, secrets, substrings, toxicity
 
 SEQUENCE = 2048
 TOKEN_LIMIT = 512
@@ -75,4 +75,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op3_quality_rules": oracles.QUALITY, "op5_chat_formatting": oracles.CHATS, "op7_ngram_jaccard_join": oracles.SIMILAR,
+        "op8_suffix_dedup": oracles.REPEATS, "op9_decontamination": oracles.LEAKS,
+    }
