@@ -144,14 +144,17 @@ def usage_totals(calls: DataFrame) -> DataFrame:
     )
 
 
-def source_profiles(records: DataFrame, max_keys: int = 60, samples: int = 2, max_fields: int = 30) -> DataFrame:
-    """Per source: its first keys and a few cut-down sample records."""
-    keys = source_keys(records, None)
-    ranked = first_k(keys, ["source_id"], [F.col("seen"), F.col("key")], max_keys)
-    names = ranked.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("record_keys"))
+def source_profiles(records: DataFrame, max_keys: int | None = None, samples: int = 2, max_fields: int | None = None) -> DataFrame:
+    """Per source: its keys and a few sample records, cut down where the caller
+    says so."""
+    keys = source_keys(records)
+    if max_keys is not None:
+        keys = first_k(keys, ["source_id"], [F.col("seen"), F.col("key")], max_keys)
+    names = keys.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "key"))), lambda x: x["key"]).alias("record_keys"))
+    fields = F.col("rec") if max_fields is None else T.first_fields("rec", max_fields)
     top = first_k(records, ["source_id"], [F.col(c) for c in RECORD_ORDER], samples)
     shown = top.groupBy("source_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.to_json(T.first_fields("rec", max_fields)).alias("j")))), lambda x: x["j"]).alias("sample_records")
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.to_json(fields).alias("j")))), lambda x: x["j"]).alias("sample_records")
     )
     return names.join(shown, "source_id")
 
