@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import checkpointed
 from .arrays import as_bytes
 
 #: Fixed groups of identity terms; a term is swapped for the next of its group.
@@ -33,6 +34,8 @@ SWAP = {w: group[(k + 1) % len(group)] for group in IDENTITY for k, w in enumera
 _WORD = re.compile(rb"[a-z\x80-\xff]+(?:'[a-z]+)?")
 #: Labelled rows that a model is fitted on, at most; the rows with the smallest hashes.
 TRAINING_ROWS = 20_000
+#: Words in fewer rows, or that tell the classes apart by fewer standard errors, are left out.
+MIN_ROWS, MIN_Z = 4, 4.0
 #: Length of a gradient step.
 RATE = 0.3
 
@@ -55,7 +58,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = 4, min_z: float = 4.0, l1: float = 5e-5, swap_penalty: float = 1.0, steps: int = 300) -> Model:
+def told_apart(n, bad, rows, bad_rows, min_rows: int, min_z: float, root):
+    """A word of `n` rows, `bad` of them toxic, is frequent enough and its two shares
+    differ by `min_z` standard errors. For numbers and for Columns alike."""
+    good_rows = rows - bad_rows
+    gap = bad * good_rows - (n - bad) * bad_rows
+    spread = root(n * (rows - n) * good_rows * bad_rows * (1.0 / rows))
+    return (n >= min_rows) & (gap * gap >= min_z * min_z * spread * spread)
+
+
+def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = MIN_ROWS, min_z: float = MIN_Z, l1: float = 5e-5, swap_penalty: float = 1.0, steps: int = 300) -> Model:
     """Model of (words, label) rows by proximal gradient steps over all rows.
 
     Words in fewer than `min_rows` rows, or as frequent in both classes (a difference
@@ -69,15 +81,9 @@ def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = 4, min_z: floa
         counts.update(found)
         if label:
             bad.update(found)
-    n1 = y.sum()
-    n0 = len(y) - n1
-
-    def tells(w: bytes, n: int) -> bool:
-        p = n / len(y)
-        return abs(bad[w] / n1 - (n - bad[w]) / n0) >= min_z * math.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-
+    n1 = float(y.sum())
     terms = {w.encode() for w in SWAP}
-    names = sorted(w for w, n in counts.items() if w in terms or (n >= min_rows and tells(w, n)))
+    names = sorted(w for w, n in counts.items() if w in terms or told_apart(n, bad[w], len(y), n1, min_rows, min_z, math.sqrt))
     index = {w: k for k, w in enumerate(names)}
     pairs = [(r, index[w]) for r, (found, _) in enumerate(rows) for w in found if w in index]
     row, col = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
@@ -117,19 +123,42 @@ def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
 
     Equal texts count once (with their larger label). If there are more than
     `training_rows` of them, those with the smallest hash of the text are taken: that
-    bound is the only one, scores cover all rows. Only words, as hashes of the rows'
-    word sets, reach the driver. Null texts, labels and ids teach nothing."""
-    learn = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter(f"y is not null and crc32(cast(i as string)) % 3 <> 1")
+    bound is the only one, scores cover all rows. Words are counted and chosen where the
+    rows are; the driver gets the chosen words and the rows' lists of them. Null texts,
+    labels and ids teach nothing."""
+    learn = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("y is not null and crc32(cast(i as string)) % 3 <> 1")
     learn = learn.groupBy("i").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").join(learn, "i").groupBy(F.xxhash64("t").alias("h"), "t").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
+    # Texts are chosen by their hashes; the choice has at most `training_rows` small
+    # rows, so it is broadcast, and only the chosen texts move.
+    chosen_rows = rows.select("i", "h").join(learn, "i").groupBy("h").agg(F.max("y").alias("y"), F.min("i").alias("i")).orderBy("h").limit(training_rows)
+    texts = rows.join(F.broadcast(checkpointed(chosen_rows)), ["i", "h"]).dropDuplicates(["h"])
+    picked = checkpointed(texts.select("t", "y").repartition(max(1, training_rows // 1000)))
+
+    def count(batches):
+        seen, bad = Counter(), Counter()
+        for batch in batches:
+            for t, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                found = words_of(t)
+                seen.update(found)
+                if y:
+                    bad.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([bad[w] for w in seen], pa.int64())], ["w", "n", "bad"])
+
+    sums = picked.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).first()
+    if not sums.n or not 0 < sums.bad < sums.n:
+        return fit([(frozenset(), int(bool(sums.bad)))] * min(1, sums.n))
+    counts = picked.mapInArrow(count, "w binary, n long, bad long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    tells = told_apart(F.col("n"), F.col("bad"), F.lit(float(sums.n)), F.lit(float(sums.bad)), options.get("min_rows", MIN_ROWS), options.get("min_z", MIN_Z), F.sqrt)
+    chosen = frozenset(bytes(r.w) for r in counts.filter(tells | F.col("w").isin([w.encode() for w in SWAP])).select("w").toLocalIterator())
 
     def sets(batches):
         for batch in batches:
-            out = [b" ".join(sorted(words_of(t))) for t in as_bytes(batch.column(0))]
+            out = [b" ".join(sorted(words_of(t) & chosen)) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["w", "y"])
 
-    picked = rows.orderBy("h", "t").limit(training_rows).select("t", "y").mapInArrow(sets, "w binary, y int")
-    return fit([(frozenset(bytes(r.w).split()), r.y) for r in picked.toLocalIterator()], **options)
+    found = picked.mapInArrow(sets, "w binary, y int")
+    return fit([(frozenset(bytes(r.w).split()), r.y) for r in found.toLocalIterator()], **options)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
