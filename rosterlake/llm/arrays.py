@@ -10,8 +10,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK = 1 << 20
+BATCH_ROWS = 1000
 #: Bytes of words: digits, letters, everything outside ASCII. A-Z count as a-z.
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + list(range(128, 256))] = True
@@ -63,6 +65,15 @@ class Words(NamedTuple):
     offset: np.ndarray  # where each text starts in `data`
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts differ in length a thousandfold: with at most BATCH_ROWS rows in an Arrow
+    batch (a setting of the session), what a worker and its executor hold stays small."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null is an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

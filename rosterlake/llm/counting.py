@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .arrays import small_batches
 
 
 def _count(path: str):
@@ -26,6 +27,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, doc_id: str = "doc
     strings in a text being one token each. A null text is empty (0 tokens), a null
     doc_id stays null, repeated rows are counted each, other columns are left out."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_count(tokenizer), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import as_bytes, chunks, words
+from .arrays import as_bytes, chunks, small_batches, words
 
 WINDOW = 10
 #: Item words of one automaton (some 100 MB in a Python worker).
@@ -174,7 +174,7 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str
     each; other columns are left out. The items are a stated query set: they are read
     in blocks of BLOCK_WORDS words."""
     blocks = _blocks(items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("string").alias("t")))
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+    out = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
                       F.array().cast("array<struct<start: bigint, end: bigint>>").alias("hit_spans"), F.array().cast("array<string>").alias("items"))
     shape = out.schema
     for block in blocks or [[]]:

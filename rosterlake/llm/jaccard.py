@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import checkpointed
-from .arrays import as_bytes, chunks, lists, mix, windows, words
+from .arrays import as_bytes, chunks, lists, mix, small_batches, windows, words
 from .graph import components
 
 SHINGLE = 5
@@ -226,4 +226,4 @@ NO_ID = -(1 << 63)
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """key, node (hash of the text) and text."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("node"), body.alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("node"), body.alias("text"))

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, WORD_BYTES, as_bytes
+from .arrays import LOWER, WORD_BYTES, as_bytes, small_batches
 
 #: Fixed phrases and labels: every place where the words stand in a row counts.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -144,7 +144,7 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, phrase
     null text is empty: no words, no labels, score 0. A null doc_id stays null, repeated
     rows are scanned each, other columns are left out."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(
         _scan(notices, phrases),
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..common import checkpointed
 from . import bpe
+from .arrays import small_batches
 
 MEMBER = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>"
 BIN = f"used int, members array<{MEMBER}>"
@@ -130,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, slack: int = 4,
     Bins with at most `slack` free places are emitted at once. A null text is empty
     (one piece of one id); a null doc_id stays null; repeated rows are packed each
     for itself; other columns are left out; no rows give no rows."""
-    items = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    items = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bins = checkpointed(items.mapInArrow(_first_round(tokenizer, capacity), BIN))
     parts = max(1, items.rdd.getNumPartitions())
     emitted, open_ = [bins.filter(F.col("used") >= capacity - slack)], bins.filter(F.col("used") < capacity - slack)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import as_bytes
+from .arrays import as_bytes, small_batches
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -145,4 +145,4 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *facts, "base_failed", "kept", "rejected_by"])
 
     shape = f"doc_id {kind}, " + "".join(f"{f} long, " for f in facts) + "base_failed boolean, kept boolean, rejected_by string"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, shape)
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, shape)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import _VALUE, as_bytes, chunks, joined, mix, powers, prefix_hash
+from .arrays import _VALUE, as_bytes, chunks, joined, mix, powers, prefix_hash, small_batches
 
 SEED = 40
 #: Suffixes that a task sorts at once.
@@ -406,7 +406,7 @@ def repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("key"), F.xxhash64(body).alias("h"), body.alias("text"))
+    rows = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("key"), F.xxhash64(body).alias("h"), body.alias("text"))
     blobs = lambda names: ", ".join(f"{n} binary" for n in names)
     found = rows.mapInArrow(_anchor_blobs(length, buckets), f"bucket int, {blobs(_ANCHORS)}").repartition(buckets, "bucket")
     twice = found.mapInArrow(_repeated(buckets), f"slot int, {blobs(_PLACES)}").repartition(buckets, "slot").mapInArrow(_gathered, "key long, h long, pos binary")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import checkpointed
-from .arrays import as_bytes
+from .arrays import as_bytes, small_batches
 
 #: Fixed groups of identity terms; a term is swapped for the next of its group.
 IDENTITY = (
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     labels and ids teach nothing."""
     learn = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("y is not null and crc32(cast(i as string)) % 3 <> 1")
     learn = learn.groupBy("i").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
+    rows = small_batches(docs).select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
     # Texts are chosen by their hashes; the choice has at most `training_rows` small
     # rows, so it is broadcast, and only the chosen texts move.
     chosen_rows = rows.select("i", "h").join(learn, "i").groupBy("h").agg(F.max("y").alias("y"), F.min("i").alias("i")).orderBy("h").limit(training_rows)
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """`docs` with held_out, score (0 to 1) and predicted added (columns of those names
     are replaced). A null text scores as an empty one; a null doc_id is not held out."""
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    rows = docs.select(*kept)
+    rows = small_batches(docs).select(*kept)
     place = kept.index(text)
 
     def run(batches):
