@@ -51,7 +51,8 @@ def _compiled(notices: tuple[Notice, ...]):
     out = []
     for n in notices:
         cuts = [round(i * len(n.words) / (n.edits + 1)) for i in range(n.edits + 2)]
-        pattern = regex.compile(rf"(?<![^ ])(?:{regex.escape(n.words, literal_spaces=True)}){{e<={n.edits}}}(?![^ ])", regex.BESTMATCH)
+        # a squeezed text has a space at both ends: a word edge is a space that is seen
+        pattern = regex.compile(rf"(?<= )(?:{regex.escape(n.words, literal_spaces=True)}){{e<={n.edits}}}(?= )", regex.BESTMATCH)
         out.append((n, [(n.words[a:b].encode(), a) for a, b in zip(cuts, cuts[1:])], pattern))
     return out
 
@@ -70,32 +71,36 @@ def places(line: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+def _text(piece: bytes) -> str:
+    """Bytes that are no UTF-8 count as one character each."""
+    return piece.decode("utf-8", "surrogateescape")
+
+
+def _bytes(piece: str) -> bytes:
+    return piece.encode("utf-8", "surrogateescape")
+
+
 def fuzzy(line: bytes, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, int, str, float]]:
     """(start, end, label, score) of the notices in a squeezed text, in bytes; the
     score is the share of the notice's characters that needed no edit."""
     out = set()
     for n, parts, pattern in _compiled(notices):
-        spans: list[list[int]] = []
+        tried = set()
         for part, shift in parts:
+            # In characters, as edits are: a match with this part unchanged starts at most
+            # `shift + edits` before it; one more on each side shows the word edge.
+            before, after = shift + n.edits + 1, len(n.words) - shift + n.edits + 1
             at = line.find(part)
             while at >= 0:
-                spans.append([max(0, at - shift - n.edits - 1), at - shift + len(n.words) + n.edits + 1])
+                left = _text(line[max(0, at - 4 * before) : at])[-before:]
+                piece = left + _text(line[at : at + 4 * after])[:after]
+                a = at - len(_bytes(left))
+                if (a, piece) not in tried:  # else the same stretch, found by another part
+                    tried.add((a, piece))
+                    if m := pattern.search(piece):
+                        start = a + len(_bytes(piece[: m.start()]))
+                        out.add((start, start + len(_bytes(m[0])), n.label, 1 - sum(m.fuzzy_counts) / len(n.words)))
                 at = line.find(part, at + 1)
-        spans.sort()
-        done = -1
-        for a, b in spans:
-            if a == done:  # the same stretch, found by another part
-                continue
-            done = a
-            # never cut a character: edits are counted in characters
-            while a > 0 and line[a] & 0xC0 == 0x80:
-                a -= 1
-            while b < len(line) and line[b] & 0xC0 == 0x80:
-                b += 1
-            piece = line[a:b].decode()
-            if m := pattern.search(piece):
-                start = a + len(piece[: m.start()].encode())
-                out.add((start, start + len(m[0].encode()), n.label, 1 - sum(m.fuzzy_counts) / len(n.words)))
     return sorted(out)
 
 

@@ -321,3 +321,28 @@ def test_fuzzy_notices(text, label, score):
     assert [(s[2], round(s[3], 6)) for s in found] == ([(label, round(score, 6))] if label else [])
     for a, b, *_ in found:
         assert line[a - 1 : a] == b" " and line[b : b + 1] == b" "
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Released under the “MIT” License by the authors", "mit"), ("under the “Mozilla Public License” here", "mpl"), ("“Apache” License, Version 2 applies", "apache-2"),
+    ("under —the —mit license", "mit"), ("gnu中 general中 public中 license", "gpl"), ("the gnu general公 public license", "gpl"), ("中文under the mit license", "mit"),
+])
+def test_notices_with_multibyte_edits(text, label):
+    assert label in {s[2] for s in licenses.fuzzy(licenses.squeezed(text.encode()))}
+
+
+def test_notices_are_those_of_the_whole_line():
+    rng, n = random.Random(5), 0
+    for _ in range(1500):
+        notice = rng.choice(licenses.NOTICES)
+        words = list(notice.words)
+        for _ in range(rng.randint(0, notice.edits + 2)):
+            at, new = rng.randrange(len(words)), rng.choice(["“", "—", "中", "é", "🙂", "x", " ", ""])
+            words[at : at + rng.randint(0, 1)] = [new]
+        text = rng.choice(["", "中中中", "a", "“", "so "]) + "".join(words) + rng.choice(["", "文文", "b", "”", " too"])
+        line = licenses.squeezed(text.encode())
+        whole = re.sub(" +", " ", line.decode())
+        want = {x.label for x in licenses.NOTICES if licenses.regex.search(rf"(?<![^ ])(?:{x.words}){{e<={x.edits}}}(?![^ ])", whole)}
+        assert {s[2] for s in licenses.fuzzy(line)} == want, text
+        n += bool(want)
+    assert 500 < n < 1500
