@@ -77,3 +77,4 @@ class FillOptions:
     name_only_dedupe: bool = False
     allowed_columns: tuple[str, ...] = ()
     forced_columns: dict = field(default_factory=dict)
+    fallback_one_source: bool = False  # forms without a plan: only the first source

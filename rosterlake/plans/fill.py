@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import best_per_group, positions
+from ..common import best_per_group, checkpointed, positions
 from ..functions import dates as D
 from ..functions import text as T
 from ..options import FillOptions, IntentWords
@@ -159,12 +159,14 @@ def place_records(records: DataFrame, group: list[str]) -> DataFrame:
     return positions(ordered(records), group, RECORD_LEVELS, ["row_idx"])
 
 
-def plan_cells(placed: DataFrame, plan: DataFrame, columns: DataFrame, skip_null: bool = False) -> DataFrame:
+def plan_cells(placed: DataFrame, plan: DataFrame, columns: DataFrame, skip_null: bool = False, by: tuple[str, ...] = ("template_id",)) -> DataFrame:
     """cell_writes: one row per record and planned column. `placed` has
-    template_id, pos and rec; the plan is gathered per form (its width)."""
+    template_id, pos and rec; the plan is gathered per form (its width). With more
+    columns in `by` a form has a plan for each of their values; records without
+    template_id go to every form."""
     region = main_region(columns).groupBy("template_id").agg(F.max("sheet").alias("sheet"), F.max("data_row").alias("data_row"))
-    wide = plan.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("col_index", "col_letter", "key", "constant"))).alias("plan"))
-    out = placed.join(wide.join(region, "template_id"), "template_id").select(
+    wide = plan.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("col_index", "col_letter", "key", "constant"))).alias("plan"))
+    out = placed.join(wide.join(region, "template_id"), [c for c in by if c in placed.columns]).select(
         "template_id", "sheet", (F.col("data_row") + F.col("pos") - 1).cast("int").alias("row"), "rec", F.explode("plan").alias("p")
     )
     value = F.coalesce(F.col("p")["constant"], row_value("rec", F.col("p")["key"]))
@@ -216,21 +218,27 @@ def written_counts(writes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ fallback
-def fallback_cells(records: DataFrame, columns: DataFrame, planned: DataFrame) -> DataFrame:
-    """Writes for forms whose plan gave none: the first source with records,
-    headers matched by synonym, else by position."""
+def fallback_cells(records: DataFrame, columns: DataFrame, planned: DataFrame, one_source: bool = False) -> DataFrame:
+    """Writes for forms whose plan gave none: the records of all sources, headers
+    matched by synonym with each record's own keys, by position if none matches.
+    Sources may name their keys differently, so a form has a plan for each distinct
+    list of keys. `one_source` takes the first source only, with the
+    keys of its first record."""
     forms = columns.select("template_id").distinct().join(planned.select("template_id").distinct(), "template_id", "left_anti")
-    cols = main_region(columns).join(forms, "template_id", "left_semi")
     recs = ordered(records)
-    order = F.struct(*RECORD_LEVELS)
-    head = recs.agg(F.min_by(F.struct("source_id", F.map_keys("rec").alias("ks")), order).alias("h")).select("h.*")
-    keys = head.select("source_id", F.posexplode("ks").alias("key_idx", "key")).withColumn("_on", F.lit(1))
-    # One source for every open form: its id is joined, a single row.
-    per_form = forms.withColumn("_on", F.lit(1)).join(keys, "_on").drop("_on")
-    by_name = synonym_match(cols, per_form.select("template_id", "key", "key_idx"))
-    rest = cols.join(by_name.select("template_id").distinct(), "template_id", "left_anti").filter("header_path != ''")
-    by_place = rest.withColumn("key_idx", F.col("col_index") - F.col("first_col")).join(per_form, ["template_id", "key_idx"])
-    pick = lambda d: d.select("template_id", "col_index", "col_letter", "key", F.lit(None).cast("string").alias("constant"))
+    if one_source:
+        first = F.min_by(F.struct("source_id", F.map_keys("rec").alias("shape")), F.struct(*RECORD_LEVELS))
+        recs = recs.join(recs.agg(first.alias("h")).select("h.*"), "source_id")
+    else:
+        recs = recs.withColumn("shape", F.map_keys("rec"))
+    scope = F.struct("template_id", "shape").alias("template_id")
+    # Lists of keys are as few as sheet layouts: records are not crossed with headers.
+    open_forms = checkpointed(forms.crossJoin(recs.select("shape").distinct()))
+    cols = main_region(columns).join(open_forms, "template_id").select(scope, "header_path", "col_index", "col_letter", "first_col")
+    keys = open_forms.select(scope, F.posexplode("shape").alias("key_idx", "key"))
+    by_name = checkpointed(synonym_match(cols, keys))
+    rest = cols.filter("header_path != ''").join(by_name.select("template_id").distinct(), "template_id", "left_anti")
+    by_place = rest.withColumn("key_idx", F.col("col_index") - F.col("first_col")).join(keys, ["template_id", "key_idx"])
+    pick = lambda d: d.select("template_id.*", "col_index", "col_letter", "key", F.lit(None).cast("string").alias("constant"))
     plan = pick(by_name).unionByName(pick(by_place))
-    mine = recs.join(per_form.select("template_id", "source_id").distinct(), "source_id")
-    return plan_cells(place_records(mine, ["template_id"]), plan, columns, skip_null=True)
+    return plan_cells(place_records(recs, []), plan, columns, skip_null=True, by=("template_id", "shape"))

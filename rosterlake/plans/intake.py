@@ -125,7 +125,7 @@ def run_fill(records: DataFrame, form_cells: DataFrame, forms: DataFrame, regist
     strategies first, the synonym fallback for forms left empty."""
     columns = checkpointed(FO.parse_forms(form_cells, tables))
     planned = checkpointed(RO.plan_fill(records, columns, RO.route_forms(forms, columns, registry)))
-    backup = P.fallback_cells(records, columns, planned).withColumn("strategy", F.lit("fallback"))
+    backup = P.fallback_cells(records, columns, planned, opts.fallback_one_source).withColumn("strategy", F.lit("fallback"))
     writes = planned.unionByName(backup)
     if opts.allowed_columns:
         writes = writes.filter(F.upper("col_letter").isin(*[c.upper() for c in opts.allowed_columns]))

@@ -104,8 +104,9 @@ def synonym_tier(header, key) -> Column:
 
 def synonym_match(columns: DataFrame, keys: DataFrame) -> DataFrame:
     """First key per header by `synonym_tier`, then one header per key.
-    keys(template_id, key, key_idx): one record's keys, so both sides of this
-    join are bounded by the width of a form and of a record."""
+    keys(template_id, key, key_idx): the keys of one record (a template_id may also
+    be a form and a list of keys), so both sides of this join are bounded by the width
+    of a form and of a record."""
     heads = columns.filter("header_path != ''").select("template_id", "header_path", "col_index", "col_letter")
     pairs = heads.join(keys, "template_id").withColumn("tier", synonym_tier("header_path", "key")).filter("tier IS NOT NULL")
     best = pairs.groupBy("template_id", "header_path", "col_index", "col_letter").agg(F.min_by("key", F.struct("tier", "key_idx")).alias("key"))

@@ -262,7 +262,7 @@ SELECT template_id, cast(d + pos - 1 AS int) AS row, v.col_letter, v.key, CASE v
 def fallback_cells(t):
     cols = _columns(t, NATION_FORMS)
     planned = t.sql(NATION_FORMS).filter("variant = 0").select("template_id")
-    return P.fallback_cells(records(t).select(*RECORD_COLS), cols, planned).select("template_id", "row", "col_letter", "key", "value")
+    return P.fallback_cells(records(t).select(*RECORD_COLS), cols, planned, one_source=True).select("template_id", "row", "col_letter", "key", "value")
 
 
 # ------------------------------------------------------------------- roster
@@ -399,7 +399,7 @@ UNION ALL SELECT template_id, 'fallback', n * 3 FROM f, fb WHERE variant > 0""")
 def run_fill(t):
     cells = _forms(t, NATION_FORMS)
     forms = t.sql(NATION_FORMS).select("template_id", "filename", F.lit(None).cast("string").alias("template_key"), F.lit(None).cast("string").alias("strategy_key"))
-    w = N.run_fill(records(t).select(*RECORD_COLS), cells, forms, _registry(t), _tables(t, NATION_FORMS))
+    w = N.run_fill(records(t).select(*RECORD_COLS), cells, forms, _registry(t), _tables(t, NATION_FORMS), FillOptions(fallback_one_source=True))
     return w.groupBy("template_id", "strategy").agg(F.count(F.lit(1)).alias("n_cells"))
 
 

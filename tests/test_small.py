@@ -16,6 +16,7 @@ from rosterlake.operators import leave as L
 from rosterlake.operators import naming as N
 from rosterlake.operators import resolve as S
 from rosterlake.operators import sheets as C
+from rosterlake.plans import fill as P
 from rosterlake.plans import matching as X
 from rosterlake.plans.intake import run_extract
 
@@ -154,3 +155,17 @@ def test_a_cell_given_twice_does_not_stop_the_sheet(spark):
     cells = _cells(spark, [["姓名", "员工工号"], ["张三", "E1"], ["李四", "E2"], ["王五", "E3"]])
     twice = cells.unionByName(cells.filter("row_idx = 1 AND col_idx = 0").withColumn("raw", F.lit("赵六")))
     assert C.sheet_rows(twice, C.sheet_layout(twice)).count() >= 2
+
+
+def test_forms_without_a_plan_take_all_sources(spark):
+    rows = [("s1", 0, 1, {"name": "甲", "employee_id": "1"}), ("s1", 0, 2, {"name": "乙", "employee_id": "2"}), ("s2", 0, 1, {"工号": "3", "姓名": "丙"}), ("s3", 0, 1, {"name": "丁", "employee_id": "4"})]
+    records = spark.createDataFrame([(*r, f"{r[0]}.xlsx", "excel") for r in rows], "source_id string, sheet_idx int, row_idx int, rec map<string,string>, source_file string, source_type string")
+    heads = [(f, 0, "表1", "r1", k + 1, "AB"[k], h, 1, 9, 1, 2, 2) for f, names in (("f1", ("姓名", "工号")), ("f2", ("甲列", "乙列"))) for k, h in enumerate(names)]
+    columns = spark.createDataFrame(heads, "template_id string, sheet_idx int, sheet string, region_id string, col_index int, col_letter string, header_path string, first_row int, last_row int, first_col int, last_col int, data_row int")
+    got = lambda **o: {(r.template_id, r.row, r.col_letter, r.value) for r in P.fallback_cells(records, columns, spark.createDataFrame([], "template_id string"), **o).collect()}
+    people = [("甲", "1"), ("乙", "2"), ("丙", "3"), ("丁", "4")]
+    named = {("f1", 2 + k, c, v) for k, p in enumerate(people) for c, v in zip("AB", p)}
+    found = got()
+    assert {x for x in found if x[0] == "f1"} == named
+    assert {x[1] for x in found if x[0] == "f2"} == {2, 3, 4, 5}
+    assert {x for x in got(one_source=True) if x[0] == "f1"} == {x for x in named if x[1] < 4}
