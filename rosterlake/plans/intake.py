@@ -79,13 +79,33 @@ def with_attachments(top: DataFrame, routes: RouteOptions = RouteOptions()) -> t
 
 
 def loose_bodies(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(source_id, body of text files and documents read like mails, dead letters of
-    the documents). A document's body is its paragraphs in order."""
+    """(source_id, body of text files and documents read like mails; items of the
+    documents). A document's body is its paragraphs in order, then the cells of tables
+    of one row, which have no header (`document_records` reads the other tables)."""
     texts = text_sources(files.filter("source_type = 'email' AND ext NOT IN ('.eml', '.docx')")).select("source_id", F.col("text").alias("body"))
     items = checkpointed(D.decode_docx(files.filter("ext = '.docx'")))
-    lines = items.filter("error IS NULL AND kind = 'text'").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("ls"))
+    cells = items.filter("error IS NULL AND kind = 'cell'")
+    boxes = cells.groupBy("source_id", "ord").agg(F.max("row_idx").alias("last")).filter("last = 0").drop("last")
+    place = ("kind_idx", "ord", "col_idx", "content")
+    texts_and_boxes = items.filter("error IS NULL AND kind = 'text'").withColumn("kind_idx", F.lit(0)).select("source_id", *place).unionByName(
+        cells.join(boxes, ["source_id", "ord"]).withColumn("kind_idx", F.lit(1)).select("source_id", *place)
+    )
+    lines = texts_and_boxes.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct(*place))).alias("ls"))
     docs = lines.select("source_id", F.array_join(F.transform("ls", lambda x: x["content"]), "\n").alias("body"))
-    return texts.unionByName(docs), items.filter("error IS NOT NULL")
+    return texts.unionByName(docs), items
+
+
+def document_records(items: DataFrame, sources: DataFrame, opts: SheetOptions = SheetOptions(), proposed: DataFrame | None = None) -> DataFrame:
+    """Records of the tables of documents: each table is read like a sheet; one whose
+    columns can't be named keeps its first row's texts as keys."""
+    tables = items.filter("error IS NULL AND kind = 'cell'").select(
+        "source_id", F.col("ord").alias("sheet_idx"), F.lit("").alias("sheet_name"), "row_idx", "col_idx", F.col("content").alias("raw"), F.lit("string").alias("raw_type")
+    )
+    named = checkpointed(sheet_records(tables, sources, opts, "all", proposed=proposed))
+    rest = D.table_records(items).withColumnRenamed("table_idx", "sheet_idx").join(named.select(*SHEET).distinct(), SHEET, "left_anti")
+    rest = rest.join(sources.select("source_id", "source_file", "source_type", "parent_source_id"), "source_id")
+    rest = rest.withColumn("rec", F.map_concat(F.map_filter("rec", lambda k, v: k != "__source_file__"), F.create_map(F.lit("__source_file__"), F.col("source_file"))))
+    return named.unionByName(rest.withColumn("sheet_name", F.lit("")), allowMissingColumns=True).withColumn("extraction_type", F.lit("table"))
 
 
 def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_replies: DataFrame | None = None, routes: RouteOptions = RouteOptions(), opts: SheetOptions = SheetOptions(), proposed: DataFrame | None = None) -> Extracted:
@@ -98,14 +118,15 @@ def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_r
     sources = found.select(*SOURCE)
     raw = checkpointed(W.decode_workbooks(found.filter("ext = '.xlsx'").select(*SOURCE, "content")))
     sheets = sheet_records(W.record_cells(raw), sources, opts, proposed=proposed).withColumn("extraction_type", F.lit("sheet"))
-    loose, dead = loose_bodies(found)
+    loose, items = loose_bodies(found)
+    tables = document_records(items, sources, opts, proposed)
     bodies = L.body_text(M.messages(decoded), opts.limits.body_chars).unionByName(loose, allowMissingColumns=True)
     notices = L.leave_records(bodies, leave_replies)
     leave = leave_as_records(notices, sources)
-    records = sheets.unionByName(leave, allowMissingColumns=True)
+    records = sheets.unionByName(tables, allowMissingColumns=True).unionByName(leave, allowMissingColumns=True)
     errors = [
         x.filter("error IS NOT NULL").select(F.col("source_id").alias("scope"), F.col("error")["type"].alias("code"), F.col("error")["message"].alias("detail"))
-        for x in (decoded, raw, dead)
+        for x in (decoded, raw, items)
     ]
     undated = notices.filter("warning IS NOT NULL").select(F.col("source_id").alias("scope"), F.lit("leave_date").alias("code"), F.col("warning").alias("detail"))
     warnings = reduce(DataFrame.unionByName, [*errors, undated])

@@ -122,8 +122,10 @@ def test_record_types(spark):
     assert got == {"A": "remove", "B": "add", "C": "remove"}
 
 
-def _docx(lines):
-    body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines)
+def _docx(lines, *tables):
+    para = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    row = lambda r: "<w:tr>" + "".join(f"<w:tc>{para(x)}</w:tc>" for x in r) + "</w:tr>"
+    body = "".join(map(para, lines)) + "".join("<w:tbl>" + "".join(map(row, t)) + "</w:tbl>" for t in tables)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
@@ -169,3 +171,15 @@ def test_forms_without_a_plan_take_all_sources(spark):
     assert {x for x in found if x[0] == "f1"} == named
     assert {x[1] for x in found if x[0] == "f2"} == {2, 3, 4, 5}
     assert {x for x in got(one_source=True) if x[0] == "f1"} == {x for x in named if x[1] < 4}
+
+
+def test_tables_of_documents_are_read(spark):
+    people = [["姓名", "员工工号", "离职日期"], ["张三", "42648001", "2025-11-01"], ["李四", "42648002", "2025-11-02"], ["王五", "42648003", "2025-11-03"]]
+    odd = [["qq", "ww"], ["1", "2"]]
+    box = [["赵六（42648009）申请离职，离职生效日期：2025-11-19"]]
+    files = spark.createDataFrame([("d1", "d1.docx", "/d1.docx", bytearray(_docx(["see below"], people, odd, box)))], "source_id string, source_file string, file_path string, content binary")
+    got = run_extract(files).records.collect()
+    tables = [r for r in got if r.extraction_type == "table"]
+    assert {(r.rec["name"], r.rec["employee_id"]) for r in tables if r.sheet_idx == 0} == {(p[0], p[1]) for p in people[1:]}
+    assert [(r.rec["qq"], r.rec["ww"], r.source_file) for r in tables if r.sheet_idx == 1] == [("1", "2", "d1.docx")]
+    assert [r.rec["employee_id"] for r in got if r.extraction_type == "leave_lines"] == ["42648009"]
