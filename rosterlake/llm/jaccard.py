@@ -2,8 +2,8 @@
 
 Candidates come from a MinHash LSH forest: every tree sorts the texts by a prefix of
 its part of their signatures, and texts that share a prefix are candidates. The prefix
-starts long, where few unrelated texts meet, and is shortened until the recall that
-the verified pairs let expect reaches the target. A bucket gives one link from each
+is as long as possible, as few unrelated texts meet there, but short enough that each
+single pair at the threshold is found with the target's chance. A bucket gives one link from each
 text to its least one, so it costs its size, not its square; all texts of a connected
 set of candidates are then compared exactly, in blocks of a bounded number of texts,
 so texts that never shared a prefix are compared too."""
@@ -21,7 +21,7 @@ from .graph import components
 SHINGLE = 5
 TREES = 32
 #: Longest and shortest prefix of a tree's signature, in hash values.
-DEPTHS = (8, 7, 6, 5)
+DEPTHS = (8, 7, 6, 5, 4, 3, 2, 1)
 #: Texts of a block: two blocks are compared in one task.
 BLOCK = 1024
 _SALTS = np.random.default_rng(5).integers(1, 1 << 32, (TREES * DEPTHS[0], 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -47,6 +47,13 @@ def recall(similarity, depth: int, trees: int = TREES):
     return 1 - (1 - similarity**depth) ** trees
 
 
+def depth_for(percent: int, target: float) -> int:
+    """Longest prefix at which two texts just at the threshold, the worst case, are found
+    with a chance of at least `target` (else the shortest). It does not depend on the
+    table: many equal texts do not answer for a pair elsewhere."""
+    return next((d for d in DEPTHS if recall(percent / 100, d) >= target), DEPTHS[-1])
+
+
 def _prefixes(depth: int):
     """node and the hashed prefixes of its trees (none for a text without words)."""
 
@@ -114,9 +121,9 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
-def _verify(percent: int, depth: int):
-    """Of two blocks of texts: how many links each text has (a = text, n), links that
-    connect the same texts as all of them do (a, b), and sums for the recall."""
+def _verify(percent: int):
+    """Of two blocks of texts: how many links each text has (a = text, n), and links that
+    connect the same texts as all of them do (a, b)."""
 
     def run(part: pa.Table) -> pa.Table:
         nodes = part.column("node").to_numpy()
@@ -125,7 +132,7 @@ def _verify(percent: int, depth: int):
         sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
         left = np.flatnonzero(block == first)
         right = left if first == second else np.flatnonzero(block == second)
-        i, j, s = linked(sets, left, right, percent)
+        i, j, _ = linked(sets, left, right, percent)
         count = np.bincount(np.concatenate([i, j]), minlength=len(nodes))
         parent = np.arange(len(nodes))
 
@@ -142,18 +149,16 @@ def _verify(percent: int, depth: int):
                 parent[max(p, q)] = min(p, q)
                 tree.append((int(nodes[x]), int(nodes[y])))
         seen = np.flatnonzero(count)
-        found, due = float(len(s)), float((1 / np.maximum(recall(s, depth), 1e-9)).sum())
-        a = [*nodes[seen].tolist(), *(t[0] for t in tree), 0]
-        b = [*[None] * len(seen), *(t[1] for t in tree), None]
-        n = [*count[seen].tolist(), *[0] * len(tree), 0]
-        rest = len(a) - 1
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "found": pa.array([0.0] * rest + [found]), "due": pa.array([0.0] * rest + [due])})
+        a = [*nodes[seen].tolist(), *(t[0] for t in tree)]
+        b = [*[None] * len(seen), *(t[1] for t in tree)]
+        n = [*count[seen].tolist(), *[0] * len(tree)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
 def _round(rows: DataFrame, depth: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(texts: node and its least key; what verification found) at a prefix length."""
+    """(texts: node and its least key; the links that verification found) at a prefix length."""
     prefixes = rows.mapInArrow(_prefixes(depth), "key long, node long, prefixes array<long>")
     texts = checkpointed(prefixes.groupBy("node").agg(F.min("key").alias("rep"), F.first("prefixes").alias("prefixes")))
     met = texts.select("node", F.explode("prefixes").alias("prefix"))
@@ -165,7 +170,7 @@ def _round(rows: DataFrame, depth: int, percent: int) -> tuple[DataFrame, DataFr
     placed = bodies.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
-    found = pairs.groupBy("root", "i", "j").applyInArrow(_verify(percent, depth), "a long, b long, n long, found double, due double")
+    found = pairs.groupBy("root", "i", "j").applyInArrow(_verify(percent), "a long, b long, n long")
     return texts, checkpointed(found)
 
 
@@ -192,11 +197,7 @@ def similar(docs: DataFrame, percent: int = 80, target: float = 0.999, doc_id: s
 def _classes(rows: DataFrame, percent: int, target: float) -> DataFrame:
     """node, rep (its least key), class and own (the class is named after this text),
     n_links of each text."""
-    for depth in DEPTHS:
-        texts, found = _round(rows, depth, percent)
-        got = found.agg(F.sum("found").alias("found"), F.sum("due").alias("due")).first()
-        if not got.due or got.found >= target * got.due:
-            break
+    texts, found = _round(rows, depth_for(percent, target), percent)
     links = found.filter("b is null and n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     classes = components(found.filter("b is not null"), "a", "b")
     named = texts.select("node", "rep").join(classes, "node", "left").join(links, "node", "left")

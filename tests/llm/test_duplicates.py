@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -87,6 +88,28 @@ def test_prefixes_shorten_to_the_target():
     assert jaccard.recall(0.8, 5) > jaccard.recall(0.8, 8) > 0.99
 
 
+def test_a_large_group_does_not_decide_for_other_pairs(spark):
+    """Pairs just at the threshold that only a prefix of eight values misses."""
+    assert all(jaccard.recall(p / 100, jaccard.depth_for(p, 0.999)) >= 0.999 for p in range(30, 101))
+    rng = random.Random(4)
+    texts = []
+    for k in range(3000):
+        w = [f"p{rng.randrange(10**9)}" for _ in range(13)]  # nine shingles, eight of ten in both
+        texts += [" ".join(w), " ".join([*w[:12], "other"])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64())] * 2 + [pa.array(texts)], ["key", "node", "text"])
+    met = {}
+    for depth in (8, 7):
+        prefixes = [set(p) for out in jaccard._prefixes(depth)([batch]) for p in out.column(2).to_pylist()]
+        met[depth] = {k for k in range(0, len(texts), 2) if prefixes[k] & prefixes[k + 1]}
+    pairs = sorted(met[7] - met[8])
+    assert pairs
+    base = [f"g{k}" for k in range(300)]
+    docs = [(k, " ".join([*base, f"end{k}"])) for k in range(80)] + [(1000 + j, texts[j]) for k in pairs for j in (k, k + 1)]
+    links = {r.doc_id: r.n_links for r in jaccard.similar(table(spark, docs)).collect()}
+    assert all(links[1000 + j] == 1 for k in pairs for j in (k, k + 1))
+    assert all(links[k] == 79 for k in range(80))
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
