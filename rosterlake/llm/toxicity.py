@@ -29,8 +29,19 @@ IDENTITY = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"),
     ("immigrants", "refugees", "foreigners", "natives"), ("immigrant", "refugee", "foreigner", "native"),
     ("deaf", "blind", "disabled", "autistic"), ("old", "young"), ("poor", "rich"),
+    ("blacks", "whites", "asians", "latinos", "arabs", "africans", "europeans"), ("gays", "lesbians"),
+    # German
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("schwarze", "weiße"), ("schwarzen", "weißen"), ("afrikaner", "europäer", "asiaten", "araber"),
+    ("schwule", "lesben"), ("schwul", "lesbisch"), ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("ausländer", "flüchtlinge", "einwanderer", "migranten"),
+    # French
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"), ("noirs", "blancs"),
+    ("africains", "européens", "asiatiques"), ("homosexuels", "hétérosexuels"), ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("immigrés", "réfugiés", "migrants"),
+    # Spanish
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"), ("negros", "blancos"),
+    ("africanos", "europeos", "asiáticos"), ("homosexuales", "heterosexuales"), ("mujeres", "hombres"), ("mujer", "hombre"), ("chicas", "chicos"), ("inmigrantes", "refugiados", "extranjeros"),
 )
 SWAP = {w: group[(k + 1) % len(group)] for group in IDENTITY for k, w in enumerate(group)}
+TERMS = frozenset(w.encode() for w in SWAP)
 _WORD = re.compile(rb"[a-z\x80-\xff]+(?:'[a-z]+)?")
 #: Labelled rows that a model is fitted on, at most; the rows with the smallest hashes.
 TRAINING_ROWS = 20_000
@@ -42,9 +53,11 @@ RATE = 0.3
 
 def words_of(text: bytes) -> set[bytes]:
     """Words of a text, and their first four and five bytes as `^...`: invectives
-    bend and compound, mostly at their end."""
-    found = set(_WORD.findall(text.lower()))
-    return found | {b"^" + w[:4] for w in found if len(w) > 4} | {b"^" + w[:5] for w in found if len(w) > 5}
+    bend and compound, mostly at their end. An identity term is one feature, without its
+    beginnings and what follows an apostrophe: a swap then moves all that it gives."""
+    found = {t if b"'" in w and (t := w[: w.index(b"'")]) in TERMS else w for w in _WORD.findall(text.lower())}
+    bent = found - TERMS
+    return found | {b"^" + w[:4] for w in bent if len(w) > 4} | {b"^" + w[:5] for w in bent if len(w) > 5}
 
 
 @dataclass(frozen=True)
@@ -82,15 +95,14 @@ def fit(rows: list[tuple[frozenset[bytes], int]], min_rows: int = MIN_ROWS, min_
         if label:
             bad.update(found)
     n1 = float(y.sum())
-    terms = {w.encode() for w in SWAP}
-    names = sorted(w for w, n in counts.items() if w in terms or told_apart(n, bad[w], len(y), n1, min_rows, min_z, math.sqrt))
+    names = sorted(w for w, n in counts.items() if w in TERMS or told_apart(n, bad[w], len(y), n1, min_rows, min_z, math.sqrt))
     index = {w: k for k, w in enumerate(names)}
     pairs = [(r, index[w]) for r, (found, _) in enumerate(rows) for w in found if w in index]
     row, col = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
     # counterfactual: which features a swap of identity terms takes and gives
     d_row, d_col, d_sign, k = [], [], [], 0
     for found, _ in rows:
-        if own := found & terms:
+        if own := found & TERMS:
             for w in own:
                 for name, sign in ((w, -1.0), (SWAP[w.decode()].encode(), 1.0)):
                     if name in index:
@@ -150,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
         return fit([(frozenset(), int(bool(sums.bad)))] * min(1, sums.n))
     counts = picked.mapInArrow(count, "w binary, n long, bad long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     tells = told_apart(F.col("n"), F.col("bad"), F.lit(float(sums.n)), F.lit(float(sums.bad)), options.get("min_rows", MIN_ROWS), options.get("min_z", MIN_Z), F.sqrt)
-    chosen = frozenset(bytes(r.w) for r in counts.filter(tells | F.col("w").isin([w.encode() for w in SWAP])).select("w").toLocalIterator())
+    chosen = frozenset(bytes(r.w) for r in counts.filter(tells | F.col("w").isin(sorted(TERMS))).select("w").toLocalIterator())
 
     def sets(batches):
         for batch in batches:

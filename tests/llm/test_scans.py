@@ -245,6 +245,29 @@ def test_swapped_terms_score_alike():
     assert held.score(b"an idiot w1") > 0.7 > held.score(b"a muslim w1")
 
 
+@pytest.mark.parametrize("term, other", [("muslim", "christian"), ("women", "men"), ("juden", "buddhisten"), ("musulmans", "chrétiens"), ("judíos", "hindúes")])
+def test_swapped_texts_score_alike(spark, term, other):
+    """Through train() with its own options, on labels that blame one group more often."""
+    assert toxicity.SWAP[term] == other
+    rng = random.Random(2)
+    rows, labels = [], []
+    for k in range(1500):
+        bad = k % 2
+        words = [f"w{rng.randint(0, 50)}x" for _ in range(6)] + (["idiot"] if bad and rng.random() < 0.7 else [])
+        words.append(term if rng.random() < (0.7 if bad else 0.1) else other)
+        rows.append((k, " ".join(words)))
+        labels.append((k, bad))
+    model = toxicity.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = [model.score(f"the {t} came{s}".encode()) for t in (term, other) for s in ("", " again")]
+    assert max(scores) - min(scores) < 0.2 and max(scores) < 0.7, scores
+    assert model.score(f"the {other} idiot".encode()) > 0.7
+    assert toxicity.words_of(f"{term}'s".encode()) == {term.encode()}
+
+
+def test_identity_terms_stand_in_one_group():
+    assert len(toxicity.SWAP) == sum(map(len, toxicity.IDENTITY))
+
+
 def test_toxicity_of_awkward_rows(spark):
     labels = spark.createDataFrame([(0, 1), (2, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(table(spark, AWKWARD), labels)
