@@ -64,3 +64,20 @@ i AS (SELECT doc_id, min(k) AS a, max(k) + 100 AS b FROM (SELECT doc_id, k, sum(
 j AS (SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM i),
 m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(x, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) AS head FROM j JOIN d USING (doc_id) GROUP BY 1)
 SELECT doc_id, length(x) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN x ELSE concat(head, substring(x, 2 * last - 1)) END)) AS kept_sha256 FROM d LEFT JOIN m USING (doc_id)"""
+
+FILTERS = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY 1),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+  + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > least, false)::int AS mask
+  FROM d JOIN m USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY 1, 2),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS z, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT concat(a.z, b.z, c.z, d.z, e.z) AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM k a, k b, k c, k d, k e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::int AS gone FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) z),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (gone | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & bit > 0 AND mask & gone > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+  coalesce(sum(g) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS good_lost, coalesce(sum(x) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley FROM r"""
