@@ -98,12 +98,13 @@ def joined(texts: list[bytes], separator: bytes = b"\n") -> tuple[np.ndarray, np
     return data, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
 
 
-def words(texts: list[bytes]) -> Words:
-    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the lower-cased texts."""
+def words(texts: list[bytes], word_bytes: np.ndarray = WORD_BYTES) -> Words:
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the lower-cased texts, or runs of other
+    bytes (without the separator, a line feed)."""
     data, offset = joined(texts)
     data = LOWER[data]
     inside = np.zeros(len(data) + 1, np.int8)
-    inside[1:] = WORD_BYTES[data]
+    inside[1:] = word_bytes[data]
     edge = np.diff(inside)
     start = np.flatnonzero(edge == 1)
     end = np.flatnonzero(edge == -1)

@@ -81,3 +81,16 @@ r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (gone
   coalesce(sum(g) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS good_lost, coalesce(sum(x) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
 SELECT part, filter_order, step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
   (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley FROM r"""
+
+NEAR = f"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS t, min(doc_id) AS rep FROM documents GROUP BY 1),
+w AS (SELECT rep, regexp_extract_all({_LOW.format('t')}, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+s AS (SELECT DISTINCT rep, s FROM (SELECT rep, array_to_string(w[k : k + 3], ' ') AS s FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM w WHERE len(w) > 0) x) y),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.rep AS a, y.rep AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.rep < y.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n na ON na.rep = a JOIN n nb ON nb.rep = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT rep AS a, rep AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b),
+g AS (SELECT a, min(b) AS least FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(g.least, doc_id) AS component_id, coalesce(g.least, doc_id) = doc_id AS kept
+FROM documents d JOIN t ON t.t = coalesce(d.text, '') LEFT JOIN n USING (rep) LEFT JOIN g ON g.a = t.rep"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, decontaminate, interactions, jaccard, licenses, oracles, packing, quality, secrets, substrings, toxicity
+from . import bayes, chat, counting, decontaminate, interactions, jaccard, licenses, oracles, packing, quality, secrets, substrings, toxicity
 
 SEQUENCE = 2048
 TOKEN_LIMIT = 512
@@ -75,12 +75,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.interactions(rows, marks=("good", "toxic"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_toxicity, op7_ngram_jaccard_join, op8_suffix_dedup, op9_decontamination, op10_license_scan, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_toxicity, op7_ngram_jaccard_join, op8_suffix_dedup, op9_decontamination, op10_license_scan, op12_filter_audit, op13_minhash_near_dedup)}
 
 
 def all_oracles() -> dict[str, str]:
     return {
         "op3_quality_rules": oracles.QUALITY, "op5_chat_formatting": oracles.CHATS, "op7_ngram_jaccard_join": oracles.SIMILAR,
-        "op8_suffix_dedup": oracles.REPEATS, "op9_decontamination": oracles.LEAKS, "op12_filter_audit": oracles.FILTERS,
+        "op8_suffix_dedup": oracles.REPEATS, "op9_decontamination": oracles.LEAKS, "op12_filter_audit": oracles.FILTERS, "op13_minhash_near_dedup": oracles.NEAR,
     }
