@@ -94,3 +94,30 @@ c AS (SELECT rep AS a, rep AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON e.
 g AS (SELECT a, min(b) AS least FROM c GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(g.least, doc_id) AS component_id, coalesce(g.least, doc_id) = doc_id AS kept
 FROM documents d JOIN t ON t.t = coalesce(d.text, '') LEFT JOIN n USING (rep) LEFT JOIN g ON g.a = t.rep"""
+
+REPAIR = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')) AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(name, ''), lambda x: ascii(x)::bigint)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295::bigint) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM h WHERE kind <> 0) z),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM p),
+r AS (SELECT conv_id, turn, i, role, text, role[1] AS z, blank OR again AS gone, (NOT blank AND NOT again AND cut)::int AS cut, blank, again AND NOT blank AS again,
+  coalesce(concat(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i), role[1]) NOT IN ('su', 'ua', 'au') AND i > 1, false) AS illegal FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, sum(cut)::bigint AS truncated, count(*) FILTER (illegal) AS illegal, max(i) AS n FROM r GROUP BY 1),
+ins AS (SELECT unnest([0, 1, 2, 3, 0, 1, 2, 3, 0, 1, 2, 3]) AS q, unnest([0, 1, 2, 3, 2, 2, 3, 2, 3, 3, 2, 3]) AS w, unnest([0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2]) AS m),
+edit AS (SELECT unnest(['K', 'R', 'D']) AS e),
+made AS (SELECT q, w, m, CASE m WHEN 0 THEN '' WHEN 1 THEN CASE q WHEN 2 THEN concat('assistant:', chr(10)) ELSE concat('user:', chr(10)) END ELSE CASE q WHEN 2 THEN concat('assistant:', chr(10), 'user:', chr(10)) ELSE concat('user:', chr(10), 'assistant:', chr(10)) END END AS said FROM ins),
+s AS (SELECT conv_id, 0::bigint AS i, 0 AS q, {'cost': 0::bigint, 'audit': '', 'said': ''} AS b FROM c
+  UNION ALL
+  SELECT conv_id, i, q, min(b) AS b FROM (
+    SELECT s.conv_id, r.i, CASE e WHEN 'D' THEN w WHEN 'R' THEN CASE w WHEN 2 THEN 3 ELSE 2 END ELSE CASE z WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS q,
+      {'cost': b.cost + 2 * m + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 + cut ELSE cut END, 'audit': concat(b.audit, repeat('I', m), e),
+       'said': concat(b.said, made.said, CASE e WHEN 'D' THEN '' WHEN 'R' THEN concat(CASE w WHEN 2 THEN 'assistant:' ELSE 'user:' END, text, chr(10)) ELSE concat(role, ':', text, chr(10)) END)} AS b
+    FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1 JOIN made ON made.q = s.q CROSS JOIN edit
+    WHERE e = 'D' OR NOT gone AND (e = 'R' OR z = 's' AND w = 0 OR z = 'u' AND w <> 2 OR z = 'a' AND w = 2)) x GROUP BY 1, 2, 3),
+done AS (SELECT s.conv_id, min({'cost': b.cost + 2 * m, 'audit': concat(b.audit, repeat('I', m)), 'said': concat(b.said, made.said)}) AS b FROM s JOIN c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i JOIN made ON made.q = s.q WHERE w IN (0, 3) GROUP BY 1),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(b.said[: -2], '')) AS repaired_sha256 FROM o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes, chat, counting, decontaminate, interactions, jaccard, licenses, oracles, packing, quality, secrets, substrings, toxicity
+from . import bayes, chat, counting, decontaminate, interactions, jaccard, licenses, oracles, packing, quality, repair, secrets, substrings, toxicity
 
 SEQUENCE = 2048
 TOKEN_LIMIT = 512
@@ -70,6 +70,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.audited(repair.damage(rows), rows)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = interactions.labelled(interactions.text_filters(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return interactions.interactions(rows, marks=("good", "toxic"))
@@ -80,11 +85,11 @@ def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_toxicity, op7_ngram_jaccard_join, op8_suffix_dedup, op9_decontamination, op10_license_scan, op12_filter_audit, op13_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_chat_formatting, op6_toxicity, op7_ngram_jaccard_join, op8_suffix_dedup, op9_decontamination, op10_license_scan, op11_conversation_repair, op12_filter_audit, op13_minhash_near_dedup)}
 
 
 def all_oracles() -> dict[str, str]:
     return {
         "op3_quality_rules": oracles.QUALITY, "op5_chat_formatting": oracles.CHATS, "op7_ngram_jaccard_join": oracles.SIMILAR,
-        "op8_suffix_dedup": oracles.REPEATS, "op9_decontamination": oracles.LEAKS, "op12_filter_audit": oracles.FILTERS, "op13_minhash_near_dedup": oracles.NEAR,
+        "op8_suffix_dedup": oracles.REPEATS, "op9_decontamination": oracles.LEAKS, "op11_conversation_repair": oracles.REPAIR, "op12_filter_audit": oracles.FILTERS, "op13_minhash_near_dedup": oracles.NEAR,
     }
