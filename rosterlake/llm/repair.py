@@ -31,7 +31,7 @@ RULES = {"K": 0, "R": 2, "D": 3, "I": 2}
 CUT_OFF = 1
 FAULTS = ("", "truncated", "blank", "duplicate")
 #: Rows of a conversation that are priced at a time.
-PIECE = 64
+PIECE = 16
 #: Texts of a batch of repaired rows; different short conversations whose plans a task remembers.
 ROWS, REMEMBERED = 256, 1 << 14
 _SPACES = " \t\n\x0b\x0c\r"
@@ -66,6 +66,8 @@ class Lattice:
     def __init__(self, codes: bytes, after: list[int | None], last: bool):
         n = len(codes)
         self.end = 4 * (n + 1)
+        #: What every path pays at the end; prices start at nought and climb by what is above it.
+        self.base = min(cost for cost in after if cost is not None)
         self.arcs: list[list[tuple[str, int, int]]] = []
         for i in range(n + 1):
             for state in range(4):
@@ -73,7 +75,7 @@ class Lattice:
                 if i < n or last:
                     arcs.append(("I", RULES["I"], 4 * i + _turned(state)))
                 if i == n and after[state] is not None:
-                    arcs.append(("", after[state], self.end))
+                    arcs.append(("", after[state] - self.base, self.end))
                 self.arcs.append(sorted(arcs))
         self.arcs.append([])
         self.price = [0] * (self.end + 1)
@@ -90,7 +92,7 @@ class Lattice:
                     path.pop()
             else:  # extend
                 path.append(to)
-        return price[origin]
+        return price[origin] + self.base
 
     def least(self, origin: int) -> tuple[str, int]:
         """(letters, state at the end) of the ASCII-least path of tight arcs from a node
