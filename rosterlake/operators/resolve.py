@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..common import attach, best_per_group, first_k
+from ..common import attach, best_per_group, checkpointed, first_k
 from ..functions import text as T
 from ..functions.checks import SCORES, is_national_id, is_person_name
 from ..functions.dates import record_date
@@ -15,30 +15,31 @@ RECORD_ORDER = ["sheet_idx", "row_idx"]
 
 
 # ------------------------------------------------------------------ dedupe
-def _winners(rows: DataFrame, kind, keys: dict, order: list) -> DataFrame:
-    """The first row of each (kind, keys): one aggregate over one scan, combined
-    before its shuffle. Kind 2 rows have nothing to be matched by and all stay."""
-    columns = rows.columns
-    keyed = rows.select(F.struct(*columns).alias("_row"), kind.alias("_kind"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order"), *[v.alias(k) for k, v in keys.items()])
-    own = F.when(F.col("_kind") == 2, F.xxhash64(F.col("_order"), F.col("_row").cast("string"))).otherwise(F.lit(0))
-    return keyed.withColumn("_own", own).groupBy("_kind", *keys, "_own").agg(F.min_by("_row", "_order").alias("_row"))
+def _keyed(rows: DataFrame, kind: Column, keys: dict, order: list) -> DataFrame:
+    """Rows with what they are matched by, written once: each kind is then read alone."""
+    return checkpointed(rows.select(F.struct(*rows.columns).alias("_row"), kind.alias("_kind"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order"), *[v.alias(k) for k, v in keys.items()]))
+
+
+def _winners(keyed: DataFrame, kind: int, keys: list[str]) -> DataFrame:
+    """The first row of each key: an aggregate, combined before its shuffle."""
+    return keyed.filter(F.col("_kind") == kind).groupBy(*keys).agg(F.min_by("_row", "_order").alias("_row"))
 
 
 def dedupe_leave(rows: DataFrame, order: list[str]) -> DataFrame:
     """One record per employee id, else per (name, leave date), keeping the one
     with most filled fields; a name and date already covered by an id winner is
-    dropped; rows without id and name stay."""
+    dropped; rows without id and name all stay, also equal ones. Only rows matched by
+    name meet the id winners' names; winners by id take no part in that join."""
     fields = [c for c in rows.columns if c not in order]
     filled = sum((F.when(T.is_non_empty(F.col(c).cast("string")), 1).otherwise(0) for c in fields), F.lit(0))
     trimmed = lambda c: F.coalesce(T.utrim(c), F.lit(""))
     who, name, when = trimmed("employee_id"), trimmed("name"), trimmed("leave_date")
     kind = F.when(who != "", 0).when(name != "", 1).otherwise(2)
-    by_id, by_name = kind == 0, kind == 1
-    keys = {"_id": F.when(by_id, who).otherwise(""), "_name": F.when(by_name, name).otherwise(""), "_date": F.when(by_name, when).otherwise("")}
-    best = _winners(rows, kind, keys, [-filled, *[F.col(o) for o in order]])
-    covered = best.filter("_kind = 0").select(trimmed(F.col("_row.name")).alias("_name"), trimmed(F.col("_row.leave_date")).alias("_date")).filter("_name <> ''").distinct()
-    left = best.join(covered.withColumn("_hit", F.lit(True)), ["_name", "_date"], "left")
-    return left.filter("_kind <> 1 OR _hit IS NULL").select("_row.*")
+    keyed = _keyed(rows, kind, {"_id": who, "_name": name, "_date": when}, [-filled, *[F.col(o) for o in order]])
+    by_id, by_name = _winners(keyed, 0, ["_id"]), _winners(keyed, 1, ["_name", "_date"])
+    covered = by_id.select(trimmed(F.col("_row.name")).alias("_name"), trimmed(F.col("_row.leave_date")).alias("_date")).filter("_name <> ''").distinct()
+    left = by_name.join(covered, ["_name", "_date"], "left_anti")
+    return by_id.select("_row.*").unionByName(left.select("_row.*")).unionByName(keyed.filter("_kind = 2").select("_row.*"))
 
 
 def dedupe_people(rows: DataFrame, order: list[str], name_only: bool = False) -> DataFrame:
@@ -47,16 +48,14 @@ def dedupe_people(rows: DataFrame, order: list[str], name_only: bool = False) ->
     `name_only`, at most one row per name is kept overall."""
     who, name = F.coalesce(T.utrim("id_number"), F.lit("")), F.coalesce("name", F.lit(""))
     size = F.length(F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns if c not in order]))
-    by_id = F.length(who) >= 4
     day = F.coalesce(F.col("event_date").cast("string"), F.lit(""))
-    keys = {"_id": F.when(by_id, who).otherwise(""), "_name": F.when(by_id, F.lit("")).otherwise(name), "_date": F.when(by_id, F.lit("")).otherwise(day)}
-    best = _winners(rows, F.when(by_id, 0).otherwise(1), keys, [-size, *[F.col(o) for o in order]])
-    covered = best.filter("_kind = 0").select(F.coalesce("_row.name", F.lit("")).alias("_name")).distinct()
-    left = best.join(covered.withColumn("_hit", F.lit(True)), "_name", "left").filter("_kind = 0 OR _hit IS NULL")
-    if not name_only:
-        return left.select("_row.*")
-    once = best_per_group(left.filter("_kind = 1").select("_row.*"), ["name"], [F.col(o) for o in order])
-    return left.filter("_kind = 0").select("_row.*").unionByName(once)
+    keyed = _keyed(rows, F.when(F.length(who) >= 4, 0).otherwise(1), {"_id": who, "_name": name, "_date": day}, [-size, *[F.col(o) for o in order]])
+    by_id, by_name = _winners(keyed, 0, ["_id"]), _winners(keyed, 1, ["_name", "_date"])
+    covered = by_id.select(F.coalesce("_row.name", F.lit("")).alias("_name")).distinct()
+    left = by_name.join(covered, "_name", "left_anti").select("_row.*")
+    if name_only:
+        left = best_per_group(left, ["name"], [F.col(o) for o in order])
+    return by_id.select("_row.*").unionByName(left)
 
 
 def dedupe_simple(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -285,7 +284,7 @@ def fix_keys(records: DataFrame, proposed: DataFrame, intent: str) -> DataFrame:
 def source_pick(records: DataFrame, intent: str, words: IntentWords = IntentWords()) -> DataFrame:
     """The sources a form reads: those whose file name says the intent; where none
     does, those with date-like keys."""
-    kw = (words.add if intent == "add" else words.remove)[:2]
+    kw = words.add_files if intent == "add" else words.remove_files
     dk = words.add_date_keys if intent == "add" else words.remove_date_keys
     keys = source_keys(records)
     folded = T.match_text("key")

@@ -375,9 +375,10 @@ def sheet_rows(cells: DataFrame, layout: DataFrame, cap: int | None = None) -> D
     )
 
 
-def records_from_cells(cells: DataFrame, layout: DataFrame, named: DataFrame, sources: DataFrame | None = None, opts: SheetOptions = SheetOptions(), row_filter: dict | None = None) -> DataFrame:
+def records_from_cells(cells: DataFrame, layout: DataFrame, named: DataFrame, sources: DataFrame | None = None, opts: SheetOptions = SheetOptions(), row_filter: dict | None = None, flag_demo: bool = False) -> DataFrame:
     """cells → records by the key of each column; sheets whose columns could
-    not be named give none. Every key of the sheet is in every record."""
+    not be named give none. Every key of the sheet is in every record. Placeholder
+    records are left out, or stay with `is_demo` (`flag_demo`)."""
     from ..rules import DATE_KEYS
 
     keys = named.filter(F.col("key") != "").groupBy(*SHEET).agg(
@@ -399,7 +400,8 @@ def records_from_cells(cells: DataFrame, layout: DataFrame, named: DataFrame, so
     if sources is not None:
         out = out.join(sources.select("source_id", "source_file", "source_type", "parent_source_id"), "source_id")
         out = out.withColumn("rec", F.map_concat("rec", F.create_map(F.lit("__source_file__"), F.col("source_file"))))
-    return out.filter(~demo_record("sheet_name", "rec"))
+    demo = demo_record("sheet_name", "rec")
+    return out.withColumn("is_demo", demo) if flag_demo else out.filter(~demo)
 
 
 def row_kept(rec, vals, n_cols, row_filter: dict) -> Column:

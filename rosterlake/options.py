@@ -11,6 +11,8 @@ class IntentWords:
     add: tuple[str, ...] = ("增员", "入职", "新增", "新入职", "新增人员", "加员", "扩员")
     remove: tuple[str, ...] = ("减员", "离职", "退场", "辞退", "解除", "退工", "停保", "退保")
     in_service: tuple[str, ...] = ("在职", "在岗", "在册")
+    add_files: tuple[str, ...] = ("增员", "入职")
+    remove_files: tuple[str, ...] = ("减员", "离职")
     declare_headers: tuple[str, ...] = (
         "社保/申报类型", "申报类型", "社保类型", "变动类型", "办理类型", "业务类型", "操作类型",
     )

@@ -17,35 +17,64 @@ from ..options import FillOptions, RouteOptions, SheetOptions
 from ..sources import mail as M
 from ..sources import wordfile as D
 from ..sources import workbook as W
-from ..sources.route import route, text_sources
+from ..sources.route import missing_paths, route, text_sources
 from . import fill as P
 from . import forms as FO
+from . import journal as J
+from . import mapped as MP
 from . import roster as RO
 
 
 @dataclass
 class Extracted:
+    """Sources, records, and the job's log: warnings (scope, stage, code, detail, ord) and
+    counters (what was read, kept and dropped, by reason)."""
+
     sources: DataFrame
     records: DataFrame
     warnings: DataFrame
+    counters: DataFrame
 
 
-def sheet_records(cells: DataFrame, sources: DataFrame | None = None, opts: SheetOptions = SheetOptions(), mode: str = "auto", preferred: str | None = None, proposed: DataFrame | None = None) -> DataFrame:
+@dataclass
+class SheetsRead:
+    """Records of sheets, and what they were read by."""
+
+    records: DataFrame
+    cells: DataFrame
+    layout: DataFrame
+    coverage: DataFrame
+    chosen: DataFrame
+    demo: DataFrame
+
+
+def read_sheets(cells: DataFrame, sources: DataFrame | None = None, opts: SheetOptions = SheetOptions(), mode: str = "auto", preferred: str | None = None, proposed: DataFrame | None = None, keep: bool = False) -> SheetsRead:
     """cells → records: choose sheets, find headers, name columns, read rows. A
-    workbook whose chosen sheets give no record is read from all its sheets."""
+    workbook whose chosen sheets give no record is read from all its sheets. With `keep`
+    the records are written once, for a caller who also counts them."""
     cells = C.with_text(cells)
     # Layout and column names are small next to the cells and used several
     # times: each is computed once and kept in the shared folder.
     layout = checkpointed(C.sheet_layout(cells, opts))
     named = checkpointed(N.name_columns(C.column_profiles(cells, layout, opts), proposed, opts).join(layout.select(*SHEET, "n_cols"), SHEET))
-    recs = C.records_from_cells(cells, layout, named, sources, opts)
+    coverage = named.groupBy(*SHEET).agg(F.max("coverage").alias("coverage"))
+    every = C.records_from_cells(cells, layout, named, sources, opts, flag_demo=True)
+    every = checkpointed(every) if keep else every
+    recs, demo = every.filter("NOT is_demo").drop("is_demo"), every.filter("is_demo")
     if mode == "all":
-        return recs
+        return SheetsRead(recs, cells, layout, coverage, layout.select(*SHEET), demo)
     chosen = C.choose_sheets(C.rank_sheets(cells, opts), mode, preferred)
+    chosen = checkpointed(chosen) if keep else chosen
     picked = recs.join(chosen, SHEET, "left_semi")
     if mode == "single":
-        return picked
-    return picked.unionByName(recs.join(picked.select("source_id").distinct(), "source_id", "left_anti"))
+        return SheetsRead(picked, cells, layout, coverage, chosen, demo)
+    rest = recs.join(picked.select("source_id").distinct(), "source_id", "left_anti")
+    return SheetsRead(picked.unionByName(rest), cells, layout, coverage, chosen, demo)
+
+
+def sheet_records(cells: DataFrame, sources: DataFrame | None = None, opts: SheetOptions = SheetOptions(), mode: str = "auto", preferred: str | None = None, proposed: DataFrame | None = None) -> DataFrame:
+    """Records of `read_sheets`."""
+    return read_sheets(cells, sources, opts, mode, preferred, proposed).records
 
 
 def leave_as_records(leave: DataFrame, sources: DataFrame) -> DataFrame:
@@ -95,6 +124,10 @@ def loose_bodies(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts.unionByName(docs), items
 
 
+#: Extensions a reader takes; files of others are told as unread.
+READ_BY = [".eml", ".xlsx", ".docx", ".txt"]
+
+
 def document_records(items: DataFrame, sources: DataFrame, opts: SheetOptions = SheetOptions(), proposed: DataFrame | None = None) -> DataFrame:
     """Records of the tables of documents: each table is read like a sheet; one whose
     columns can't be named keeps its first row's texts as keys."""
@@ -108,44 +141,54 @@ def document_records(items: DataFrame, sources: DataFrame, opts: SheetOptions =
     return named.unionByName(rest.withColumn("sheet_name", F.lit("")), allowMissingColumns=True).withColumn("extraction_type", F.lit("table"))
 
 
-def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_replies: DataFrame | None = None, routes: RouteOptions = RouteOptions(), opts: SheetOptions = SheetOptions(), proposed: DataFrame | None = None) -> Extracted:
-    """files(source_id, source_file, file_path, content) → sources, records and
-    warnings. Attachments of any depth are read like top-level files: workbooks
+def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_replies: DataFrame | None = None, routes: RouteOptions = RouteOptions(), opts: SheetOptions = SheetOptions(), proposed: DataFrame | None = None, paths: DataFrame | None = None) -> Extracted:
+    """files(source_id, source_file, file_path, content) → sources, records and the
+    job's log. Attachments of any depth are read like top-level files: workbooks
     for sheet records, mails, text files and documents for leave notices.
-    `proposed` holds column names for sheets, as `name_columns` takes them."""
+    `proposed` holds column names for sheets, as `name_columns` takes them; `paths`
+    (file_path) what was asked for: paths without a file are told in the log."""
     top = route(files, routes).withColumn("parent_source_id", F.lit("").cast("string"))
     found, decoded = with_attachments(top, routes)
     sources = found.select(*SOURCE)
     raw = checkpointed(W.decode_workbooks(found.filter("ext = '.xlsx'").select(*SOURCE, "content")))
-    sheets = sheet_records(W.record_cells(raw), sources, opts, proposed=proposed).withColumn("extraction_type", F.lit("sheet"))
+    read = read_sheets(W.record_cells(raw), sources, opts, proposed=proposed, keep=True)
+    sheets = read.records.withColumn("extraction_type", F.lit("sheet"))
     loose, items = loose_bodies(found)
     tables = document_records(items, sources, opts, proposed)
-    bodies = L.body_text(M.messages(decoded), opts.limits.body_chars).unionByName(loose, allowMissingColumns=True)
-    notices = L.leave_records(bodies, leave_replies)
-    leave = leave_as_records(notices, sources)
-    records = sheets.unionByName(tables, allowMissingColumns=True).unionByName(leave, allowMissingColumns=True)
-    errors = [
-        x.filter("error IS NOT NULL").select(F.col("source_id").alias("scope"), F.col("error")["type"].alias("code"), F.col("error")["message"].alias("detail"))
-        for x in (decoded, raw, items)
-    ]
-    undated = notices.filter("warning IS NOT NULL").select(F.col("source_id").alias("scope"), F.lit("leave_date").alias("code"), F.col("warning").alias("detail"))
-    warnings = reduce(DataFrame.unionByName, [*errors, undated])
+    # Bodies and notices are read by records, log and counters: written once.
+    bodies = checkpointed(L.body_text(M.messages(decoded), opts.limits.body_chars).unionByName(loose, allowMissingColumns=True))
+    notices = checkpointed(L.leave_records(bodies, leave_replies))
+    records = sheets.unionByName(tables, allowMissingColumns=True).unionByName(leave_as_records(notices, sources), allowMissingColumns=True)
+    asked = None
     if body_replies is not None:
-        asked = Q.body_records(bodies.join(sources.select("source_id", "source_file"), "source_id"), body_replies)
+        asked = checkpointed(Q.body_records(bodies.join(sources.select("source_id", "source_file"), "source_id"), body_replies))
         more = Q.explode_records(asked).join(sources.select("source_id", "source_type", "parent_source_id"), "source_id").select(
             "source_id", "source_file", "source_type", "parent_source_id", F.lit(None).cast("string").alias("sheet_name"), F.lit(-1).alias("sheet_idx"),
             F.col("row_idx").cast("int").alias("row_idx"), "rec", F.lit("body").alias("extraction_type"),
         )
         records = records.unionByName(more, allowMissingColumns=True)
-        warnings = warnings.unionByName(asked.filter("warning IS NOT NULL").select(F.col("source_id").alias("scope"), F.lit("body").alias("code"), F.col("warning").alias("detail")))
-    return Extracted(sources, A.with_lineage(records), warnings)
+    failed = [x.filter("error IS NOT NULL").select("source_id", F.col("error")["type"].alias("code"), F.col("error")["message"].alias("detail")) for x in (decoded, raw, items)]
+    missing = None if paths is None else missing_paths(paths.select("file_path"), files.select("file_path"))
+    logs = [
+        J.source_log(sources, READ_BY, reduce(DataFrame.unionByName, failed), missing),
+        J.sheet_log(checkpointed(J.sheet_facts(read, opts)), opts), J.body_log(bodies, notices, asked),
+    ]
+    warnings, counters = (reduce(DataFrame.unionByName, part) for part in zip(*logs))
+    return Extracted(sources, A.with_lineage(records), warnings, counters)
 
 
-def run_fill(records: DataFrame, form_cells: DataFrame, forms: DataFrame, registry: DataFrame, tables: DataFrame | None = None, opts: FillOptions = FillOptions()) -> DataFrame:
+def run_fill(records: DataFrame, form_cells: DataFrame, forms: DataFrame, registry: DataFrame, tables: DataFrame | None = None, opts: FillOptions = FillOptions(), mappings: DataFrame | None = None) -> DataFrame:
     """records and forms → typed cell writes for every form in one plan: routed
-    strategies first, the synonym fallback for forms left empty."""
+    strategies first, the synonym fallback for forms left empty. Forms that no other
+    strategy takes, or whose strategy is `mapped`, are filled from `mappings` (as
+    `mapped.read_mappings` gives them) where they have one."""
     columns = checkpointed(FO.parse_forms(form_cells, tables))
-    planned = checkpointed(RO.plan_fill(records, columns, RO.route_forms(forms, columns, registry)))
+    routed, strategies = RO.route_forms(forms, columns, registry), {}
+    if mappings is not None:
+        known = mappings.select("template_id").distinct().withColumn("_mapped", F.lit(True))
+        routed = routed.join(known, "template_id", "left").withColumn("strategy", F.when(F.col("_mapped") & (F.col("strategy") == "none"), F.lit("mapped")).otherwise(F.col("strategy"))).drop("_mapped")
+        strategies["mapped"] = MP.mapped_strategy(mappings, opts)
+    planned = checkpointed(RO.plan_fill(records, columns, routed, strategies))
     backup = P.fallback_cells(records, columns, planned, opts.fallback_one_source).withColumn("strategy", F.lit("fallback"))
     writes = planned.unionByName(backup)
     if opts.allowed_columns:

@@ -105,8 +105,14 @@ def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
 def _cells(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """rows(intent, pos, name, id_number, declare_type, month, reason) joined to
     the forms of their intent. targets(template_id, intent, sheet, data_row, plan
-    ARRAY of (col_index, col_letter, role, key)), fee_month_format."""
-    j = rows.join(targets, "intent").select(
+    ARRAY of (col_index, col_letter, role, key)), fee_month_format.
+
+    Rows fall into blocks by their position and forms, which are few, are copied to the
+    blocks, so the rows of an intent don't meet its forms under one key."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_block", F.pmod("pos", F.lit(blocks)))
+    targets = targets.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    j = rows.join(targets, ["intent", "_block"]).select(
         "template_id", "sheet", (F.col("data_row") + F.col("pos") - 1).cast("int").alias("row"), "name", "id_number", "declare_type",
         "event_date", "reason", "fee_month_format", F.explode("plan").alias("p"),
     )
@@ -255,7 +261,7 @@ def plan_fill(records: DataFrame, columns: DataFrame, routed: DataFrame, strateg
     columns, forms) to cell_writes; own ones may be added or replace these."""
     table = {"roster": roster_plan, "insurance": insurance_plan, **(strategies or {})}
     routed, parts = checkpointed(routed), []
-    used = {r.strategy for r in routed.select("strategy").distinct().collect()}
+    used = {r.strategy for r in routed.filter(F.col("strategy").isin(*table)).select("strategy").distinct().collect()}
     for name, strategy in sorted((n, s) for n, s in table.items() if n in used):
         forms = routed.filter(F.col("strategy") == name)
         own = columns.join(forms.select("template_id"), "template_id", "left_semi")

@@ -3,7 +3,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("scalars", "sheets", "mails", "files", "people", "envelopes", "forms", "streams")
+MODULES = ("scalars", "sheets", "mails", "files", "people", "envelopes", "forms", "mapped", "jobs", "streams")
 
 
 def _load() -> None:

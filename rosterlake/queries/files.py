@@ -194,6 +194,23 @@ def _xlsx(rows, first: int) -> bytes:
     })
 
 
+def workbook_bytes(sheets: dict[str, list[list[str]]]) -> bytes:
+    """A workbook of named sheets, all cells inline texts (None: no cell)."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cell = lambda r, c, v: f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    parts = {
+        "xl/workbook.xml": f"<workbook {ns} {rns}><sheets>" + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="t/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>",
+    }
+    for i, rows in enumerate(sheets.values(), 1):
+        body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1))
+        parts[f"xl/worksheets/sheet{i}.xml"] = f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>"
+    return _zip_xml(parts)
+
+
 def _pack_books(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("o_orderkey")
     rows = list(zip(pdf["o_orderkey"], pdf["o_orderpriority"], pdf["serial"], pdf["o_totalprice"]))

@@ -16,8 +16,7 @@ from ..plans import roster as RO
 from ..sources import sinks as K
 from . import recipes as R
 from .derive import RECORD_COLS, records
-from .files import _pack_books
-from .people import GOOD_DATE, RECS, _SCORE, _TYPES
+from .people import GOOD_DATE, KEYS, RECS, VALUES, _SCORE, _TYPES
 from .registry import query
 
 # Cells of four form layouts: (variant, row, column, text, type, format, formula).
@@ -37,7 +36,7 @@ def form_recipe(key: str, table: str) -> str:
 SELECT concat('t', cast({key} AS string)) AS template_id, concat('f', cast({key} AS string), CASE {key} % 3 WHEN 0 THEN '社保增员表' WHEN 1 THEN '社保减员表' ELSE '表' END, '.xlsx') AS filename, cast({key} % 4 AS int) AS variant FROM {{{table}}}"""
 
 
-PART_FORMS, NATION_FORMS = form_recipe("p_partkey", "part"), form_recipe("n_nationkey", "nation")
+PART_FORMS, NATION_FORMS, REGION_FORMS = form_recipe("p_partkey", "part"), form_recipe("n_nationkey", "nation"), form_recipe("r_regionkey", "region")
 
 
 def _forms(t, recipe: str = PART_FORMS) -> DataFrame:
@@ -257,12 +256,19 @@ def typed_writes(t):
     return typed.select("template_id", "row", "col_letter", F.col("typed")["kind"].alias("kind"))
 
 
-@query("fallback_cells", RECS + f""", s AS (SELECT source_id, variant AS sv FROM r ORDER BY source_type, source_file, source_id LIMIT 1), p AS (SELECT r.*, row_number() OVER (ORDER BY sheet_idx, row_idx) AS pos FROM r SEMI JOIN s USING (source_id))
-SELECT template_id, cast(d + pos - 1 AS int) AS row, v.col_letter, v.key, CASE v.key WHEN 'name' THEN nm WHEN 'employee_id' THEN idn WHEN 'leave_date' THEN dt END AS value FROM ({NATION_FORMS}) f JOIN (VALUES (1, 3, 'A', 'name'), (1, 3, 'B', 'employee_id'), (1, 3, 'C', 'leave_date'), (2, 4, 'B', 'name'), (2, 4, 'C', 'employee_id'), (2, 4, 'D', 'leave_date'), (3, 2, 'A', 'name'), (3, 2, 'B', 'employee_id'), (3, 2, 'C', 'leave_date')) v(variant, d, col_letter, key) USING (variant), p""")
+# Every record goes to every form left open, in one order: the first keys of its kind of
+# source, as many as the form's headers are told by name (else all three, by place).
+_FALLBACK = f"""fp AS (SELECT *, {KEYS} AS ks, {VALUES} AS vs, row_number() OVER (ORDER BY source_type, source_file, source_id, sheet_idx, row_idx) AS pos FROM r),
+fb AS (SELECT template_id, fv, variant, pos, ks, vs, unnest(range(1, 1 + CASE WHEN fv = 1 AND variant = 1 OR fv = 2 AND variant = 4 THEN 1 WHEN fv = 1 AND variant = 4 OR fv = 2 AND variant = 1 THEN 2 ELSE 3 END)) AS i
+  FROM (SELECT template_id, variant AS fv FROM ({REGION_FORMS}) z WHERE variant > 0) g, fp),
+fc AS (SELECT template_id, cast(CASE fv WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 3 END + pos - 1 AS int) AS row, CASE fv WHEN 2 THEN ['B', 'C', 'D'] ELSE ['A', 'B', 'C'] END[i] AS col_letter, ks[i] AS key, vs[i] AS value FROM fb)"""
+
+
+@query("fallback_cells", RECS + ", " + _FALLBACK + " SELECT template_id, row, col_letter, key, value FROM fc")
 def fallback_cells(t):
-    cols = _columns(t, NATION_FORMS)
-    planned = t.sql(NATION_FORMS).filter("variant = 0").select("template_id")
-    return P.fallback_cells(records(t).select(*RECORD_COLS), cols, planned, one_source=True).select("template_id", "row", "col_letter", "key", "value")
+    cols = _columns(t, REGION_FORMS)
+    planned = t.sql(REGION_FORMS).filter("variant = 0").select("template_id")
+    return P.fallback_cells(records(t).select(*RECORD_COLS), cols, planned).select("template_id", "row", "col_letter", "key", "value")
 
 
 # ------------------------------------------------------------------- roster
@@ -392,34 +398,13 @@ def plan_fill(t):
     return P.written_counts(w).join(w.select("template_id", "strategy", "mark").distinct(), "template_id")
 
 
-@query("run_fill", _ROSTER + f""", s1 AS (SELECT source_id FROM r ORDER BY source_type, source_file, source_id LIMIT 1), fb AS (SELECT count(*) AS n FROM r SEMI JOIN s1 USING (source_id)), cn AS (SELECT intent, count(*) AS n FROM q GROUP BY 1),
-f AS (SELECT *, cast(substr(template_id, 2) AS bigint) AS k FROM ({NATION_FORMS}) z)
-SELECT template_id, 'roster' AS strategy, n * 6 - CASE WHEN n >= 7 THEN 1 ELSE 0 END - CASE WHEN n >= 2 THEN 1 ELSE 0 END AS n_cells FROM f JOIN cn ON cn.intent = CASE k % 3 WHEN 1 THEN 'remove' ELSE 'add' END WHERE variant = 0
-UNION ALL SELECT template_id, 'fallback', n * 3 FROM f, fb WHERE variant > 0""")
+@query("run_fill", _ROSTER + ", " + _FALLBACK + f""", g AS (SELECT template_id, CASE cast(substr(template_id, 2) AS int) % 3 WHEN 1 THEN 'remove' ELSE 'add' END AS intent FROM ({REGION_FORMS}) z WHERE variant = 0),
+w AS (SELECT template_id, 'roster' AS strategy, cast(2 + pos AS int) AS row, v.c AS col_letter, CASE v.k WHEN 'n' THEN name WHEN 'i' THEN id_number WHEN 'd' THEN CASE intent WHEN 'add' THEN '增' ELSE '减' END ELSE strftime(date_trunc('month', event_date) + INTERVAL 1 MONTH, '%Y%m') END AS value
+  FROM g JOIN q USING (intent), (VALUES ('A', 'n'), ('B', 'i'), ('C', 'd'), ('D', 'f'), ('E', 'd'), ('F', 'f')) v(c, k))
+SELECT * FROM w WHERE NOT (row = 9 AND col_letter = 'B' OR row = 4 AND col_letter = 'F') UNION ALL SELECT template_id, 'fallback', row, col_letter, value FROM fc""")
 def run_fill(t):
-    cells = _forms(t, NATION_FORMS)
-    forms = t.sql(NATION_FORMS).select("template_id", "filename", F.lit(None).cast("string").alias("template_key"), F.lit(None).cast("string").alias("strategy_key"))
-    w = N.run_fill(records(t).select(*RECORD_COLS), cells, forms, _registry(t), _tables(t, NATION_FORMS), FillOptions(fallback_one_source=True))
-    return w.groupBy("template_id", "strategy").agg(F.count(F.lit(1)).alias("n_cells"))
-
-
-# ------------------------------------------------------------------ extract
-def _inbox(t) -> DataFrame:
-    """A mail per order with its leave notice, and a workbook per hundred orders
-    whose columns cannot be named, so that it gives no records."""
-    mails = t.sql(R.LEAVE_MAILS)
-    head = F.concat(F.lit("From: a@x.cn\r\nDate: "), F.date_format("mail_date", "dd MMM yyyy"), F.lit(" 10:00:00 +0000\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"))
-    eml = mails.select("source_id", F.concat("source_id", F.lit(".eml")).alias("source_file"), F.encode(F.concat(head, F.base64(F.encode("body", "UTF-8"))), "UTF-8").alias("content"))
-    x = t.orders.select(F.floor(F.col("o_orderkey") / 100).alias("book"), "o_orderkey", "o_orderpriority", "o_totalprice", F.datediff("o_orderdate", F.lit("1899-12-30").cast("date")).alias("serial"))
-    books = x.groupBy("book").applyInPandas(_pack_books, "source_id string, content binary").withColumn("source_file", F.concat("source_id", F.lit(".xlsx")))
-    return eml.unionByName(books)
-
-
-from .mails import _NOTICE  # noqa: E402
-
-
-@query("run_extract", _NOTICE + "SELECT 'leave_lines' AS extraction_type, count(*) AS n, count(DISTINCT source_id) AS n_sources, sum(CASE WHEN leave_date = '' THEN 1 ELSE 0 END) AS undated FROM recs")
-def run_extract(t):
-    out = N.run_extract(_inbox(t))
-    dated = F.coalesce(F.try_element_at("rec", F.lit("leave_date")), F.lit(""))
-    return out.records.groupBy("extraction_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("n_sources"), F.sum(F.when(dated == "", 1).otherwise(0)).alias("undated"))
+    """All cells of all forms; formula cells of the forms are left as they are."""
+    cells = _forms(t, REGION_FORMS)
+    forms = t.sql(REGION_FORMS).select("template_id", "filename", F.lit(None).cast("string").alias("template_key"), F.lit(None).cast("string").alias("strategy_key"))
+    w = N.run_fill(records(t).select(*RECORD_COLS), cells, forms, _registry(t), _tables(t, REGION_FORMS))
+    return w.select("template_id", "strategy", "row", "col_letter", "value")

@@ -1,4 +1,5 @@
 """Operators on tiny inline rows."""
+import dataclasses
 import html
 import io
 import random
@@ -17,6 +18,9 @@ from rosterlake.operators import naming as N
 from rosterlake.operators import resolve as S
 from rosterlake.operators import sheets as C
 from rosterlake.plans import fill as P
+from rosterlake.plans import intake as N2
+from rosterlake.plans import journal as J
+from rosterlake.plans import mapped as MP
 from rosterlake.plans import matching as X
 from rosterlake.plans.intake import run_extract
 
@@ -149,7 +153,7 @@ def test_attachments_of_attachments_are_read(spark):
     out = run_extract(files)
     got = {(r.rec["employee_id"], r.rec["leave_date"], r.source_file.rsplit(".", 1)[1]) for r in out.records.collect()}
     assert got == {(f"4264800{k}", f"2025-11-1{k}", kind) for k, kind in ((1, "eml"), (2, "eml"), (3, "docx"), (4, "txt"), (5, "txt"))}
-    assert [r.code for r in out.warnings.collect()] == ["BadZipFile"]
+    assert {(r.stage, r.code) for r in out.warnings.collect()} == {("decode", "BadZipFile"), ("route", "no_reader")}
     assert out.sources.count() == 7
 
 
@@ -183,3 +187,45 @@ def test_tables_of_documents_are_read(spark):
     assert {(r.rec["name"], r.rec["employee_id"]) for r in tables if r.sheet_idx == 0} == {(p[0], p[1]) for p in people[1:]}
     assert [(r.rec["qq"], r.rec["ww"], r.source_file) for r in tables if r.sheet_idx == 1] == [("1", "2", "d1.docx")]
     assert [r.rec["employee_id"] for r in got if r.extraction_type == "leave_lines"] == ["42648009"]
+
+
+def test_winners_by_id_stay_out_of_the_join_by_name(spark):
+    """Nine of ten rows have ids; equal rows without id and name all stay."""
+    rows = [(f"E{k}" if k % 10 else "", "" if k % 20 == 0 else f"n{k}", "", "2025-01-01", "s", 0, k) for k in range(400)]
+    rows += [("", "", "x", "2025-01-02", "s", 0, 9000)] * 3 + [("", "n11", "", "2025-01-01", "s", 0, 9001)]
+    table = spark.createDataFrame(rows, "employee_id string, name string, leave_date_text string, leave_date string, source_id string, sheet_idx int, row_idx int")
+    out = S.dedupe_leave(table, ["source_id", "sheet_idx", "row_idx"])
+    got = sorted(r.row_idx for r in out.collect())
+    assert got == sorted([k for k in range(400)] + [9000] * 3)
+    joins = out._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins == 1  # only rows matched by name meet the covered names
+
+
+def test_mapped_form(spark):
+    """Derived months take the form's own style; constants, filter, gate and open headers."""
+    rows = [("s1", 0, k, {"姓名": n, "员工工号": no, "入职日期": d, "部门": dep}) for k, (n, no, d, dep) in enumerate([("甲", "1", "2025-09-18", "A"), ("乙", "2", "2025/10/02", "a "), ("丙", "3", "", "A"), ("丁", "4", "2025-09-01", "B")])]
+    rows += [("s1", 0, 9, {"姓名": "", "员工工号": "", "入职日期": "", "部门": "A"})]
+    records = spark.createDataFrame([(*r, "入职名单.xlsx", "excel", None) for r in rows], "source_id string, sheet_idx int, row_idx int, rec map<string,string>, source_file string, source_type string, sheet_name string")
+    heads = ["参保人/姓名", "证件号码", "社保/申报类型", "费用年月"]
+    columns = spark.createDataFrame([("f", 0, "表1", "r1", k + 1, "ABCD"[k], h, 1, 9, 1, 4, 3, ["202509"] if k == 3 else []) for k, h in enumerate(heads)],
+        "template_id string, sheet_idx int, sheet string, region_id string, col_index int, col_letter string, header_path string, first_row int, last_row int, first_col int, last_col int, data_row int, sample_values array<string>")
+    forms = spark.createDataFrame([("f", "表.xlsx", None)], "template_id string, filename string, intent string")
+    said = '{"column_mapping": {"参保人/姓名": "姓名", "证件号码": "员工工号"%s}, "constant_values": {"申报类型": "增"}, "record_filter": {"field": "部门", "values": ["a"]}%s}'
+    derived = ', "derived_fields": [{"new_key": "__m__", "op": "MONTH_FROM_DATE", "args": {"source_keys": ["签订日期", "入职日期"], "strategy": "first_non_empty", "output_format": "from_template_sample"}}]'
+    for reply, months, key in ((said % (', "费用年月": "__m__"', derived), ["202509", "202510", ""], "__m__"), (said % ("", ""), ["202509", "202510", ""], "__fee_month__")):
+        mappings = MP.read_mappings(spark.createDataFrame([("f", reply)], "template_id string, reply string"))
+        cells = {(r.row, r.col_letter): (r.key, r.value) for r in MP.mapped_plan(records, columns, forms, mappings).collect()}
+        assert [cells[3 + k, "A"][1] for k in range(3)] == ["甲", "乙", "丙"] and (6, "A") not in cells
+        assert [cells[3 + k, "D"] for k in range(3)] == [(key, m) for m in months]
+        assert {cells[3 + k, "C"] for k in range(3)} == {("__const__申报类型", "增")}
+
+
+def test_log_tells_rows_that_were_lost(spark):
+    some = spark.createDataFrame([("a", "rows", 5, 3, {"before_data": 2}), ("b", "rows", 5, 3, {"before_data": 1})], "source_id string, unit string, n_read long, n_kept long, dropped map<string,bigint>")
+    assert [r.source_id for r in J.unbalanced(some).collect()] == ["b"]
+    cells = _cells(spark, [["姓名", "员工工号"], ["张三", "42648001"], ["李四", "42648002"], ["王五", "42648003"]])
+    read = N2.read_sheets(cells, None, keep=True)
+    events, counters = J.sheet_log(J.sheet_facts(read))
+    assert [(r.n_read, r.n_kept, r.dropped) for r in counters.collect()] == [(4, 3, {"before_data": 1})]
+    lost = dataclasses.replace(read, records=read.records.filter("row_idx <> 2"))
+    assert J.unbalanced(J.sheet_log(J.sheet_facts(lost))[1]).count() == 1
