@@ -1,7 +1,7 @@
 """Texts of an Arrow batch as byte arrays: words, their hashes, runs.
 
 Everything here works on whole batches with numpy; a text is never cut. Texts are
-taken in chunks of about a megabyte, so the arrays stay small however large a
+taken in chunks of about half a megabyte, so the arrays stay small however large a
 batch is (one very long text is one chunk)."""
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BATCH_ROWS = 1000
 #: Bytes of words: digits, letters, everything outside ASCII. A-Z count as a-z.
 WORD_BYTES = np.zeros(256, bool)
@@ -37,14 +37,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
+    """base^i and base^-i modulo 2^64 for i < n. A worker keeps those of a chunk; those of a
+    longer text go with it."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    both = []
+    for base in (_BASE, _INVERSE):
+        out = np.full(max(n, min(1 << (n - 1).bit_length(), CHUNK + 1)), base, np.uint64)
+        out[0] = 1
+        both.append(np.multiply.accumulate(out))
+    if len(both[0]) <= CHUNK + 1:
+        _powers[:] = both
+    return both[0][:n], both[1][:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -14,8 +14,9 @@ import regex
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Fixed: how byte-level encodings cut a text before merging.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Pieces remembered by a Python worker before its memory is emptied (about 150 MB).
-REMEMBERED = 700_000
+#: Pieces that each memory of a Python worker holds before it is emptied (about 40 MB); a
+#: task empties it when it ends.
+REMEMBERED = 200_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -73,6 +74,11 @@ class _Cutter:
         self.first, self.rest = _Memory(make, ""), _Memory(make, " ")
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    def forget(self) -> None:
+        """Empty the memory; the vocabulary stays."""
+        self.first.clear()
+        self.rest.clear()
+
     def parts(self, text: str) -> list:
         out: list = []
         if self.at_special and any(s in text for s in self.special):
@@ -157,6 +163,10 @@ class Counter(_Cutter):
                 heapq.heappush(heap, (r[0], left))
         return n - merges
 
+    def forget(self) -> None:
+        super().forget()
+        self.known.clear()
+
     def of_special(self, text: str) -> int:
         return 1
 

@@ -12,10 +12,13 @@ from .arrays import small_batches
 def _count(path: str):
     def run(batches):
         counter = bpe.counter(path)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            n = [counter.count(t.as_py() or "") for t in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
+        try:
+            for batch in batches:
+                column = batch.column(batch.num_columns - 1)
+                n = [counter.count(t.as_py() or "") for t in column]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
+        finally:  # the worker goes on to other tasks
+            counter.forget()
 
     return run
 

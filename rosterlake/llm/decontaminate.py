@@ -2,8 +2,9 @@
 
 The automaton reads the test items' words; training words then stream through it,
 and at each word it knows the longest stretch ending there that some item holds.
-Items are taken in blocks of a bounded number of words, one automaton a block, so
-what is broadcast does not grow with the benchmark; each block sees all rows."""
+Items are taken in blocks of a bounded number of words, one automaton a block. A task
+opens one block after another, so what a worker holds does not grow with the
+benchmark; each block sees all rows."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from .arrays import as_bytes, chunks, small_batches, words
 WINDOW = 10
 #: Item words of one automaton (some 100 MB in a Python worker).
 BLOCK_WORDS = 200_000
+#: Bytes of texts that one block after another reads, where there are several.
+TURN = 1 << 25
 
 
 class Automaton:
@@ -173,52 +176,74 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str
     count each under its own id; a null doc_id stays null; repeated rows are matched
     each; other columns are left out. The items are a stated query set: they are read
     in blocks of BLOCK_WORDS words."""
-    blocks = _blocks(items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("string").alias("t")))
-    out = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast("array<struct<start: bigint, end: bigint>>").alias("hit_spans"), F.array().cast("array<string>").alias("items"))
-    shape = out.schema
-    for block in blocks or [[]]:
-        out = out.mapInArrow(_match(docs.sparkSession.sparkContext.broadcast(block), window), shape)
-    return out
-
-
-def _blocks(items: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks; the iterator holds one partition of them at a time."""
-    blocks, size = [[]], 0
-    for row in items.orderBy("i", "t").toLocalIterator():
-        text = (row.t or "").encode()
-        if size and size + len(text) // 5 > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.i, text))
-        size += len(text) // 5
-    return blocks
-
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    shape = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("hit_spans"), F.array().cast("array<string>").alias("items")).schema
+    blocks = _sent(items, item_id, item_text)
 
-def _match(block, window: int):
     def run(batches):
-        matcher = Matcher(block.value, window)
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            counts, spans, items = [], [], []
-            held = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            for _, part in chunks(texts):
+        for batch, found in _found(batches, blocks, window):
+            counts, spans, names = zip(*((n, [{"start": a, "end": b} for a, b in runs], sorted(items)) for n, runs, items in found)) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hit_spans", "items"])
+
+    return rows.mapInArrow(run, shape)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _sent(items: DataFrame, item_id: str, item_text: str) -> list:
+    """The items as broadcasts of at most BLOCK_WORDS words (or one item) each. The driver
+    reads one partition of them at a time and holds one block."""
+    named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("string").alias("t"))
+    out, block, size = [], [], 0
+    for row in named.orderBy("i", "t").toLocalIterator():
+        text = (row.t or "").encode()
+        n = int(words([text]).counts[0])
+        if size and size + n > BLOCK_WORDS:
+            out.append(items.sparkSession.sparkContext.broadcast(block))
+            block, size = [], 0
+        block.append((row.i, text))
+        size += n
+    return [*out, items.sparkSession.sparkContext.broadcast(block)]
+
+
+def _found(batches: Iterator[pa.RecordBatch], blocks: list, window: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Each batch (text in its last column) with (n_words, hit runs, items) of its rows. One
+    block of items is open at a time: with several, each in turn reads some TURN bytes of texts."""
+    matcher = Matcher(blocks[0].value, window) if len(blocks) == 1 else None
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if matcher or sum(b.nbytes for b in held) >= TURN:
+            yield from _turn(held, blocks, window, matcher)
+            held = []
+    if held:
+        yield from _turn(held, blocks, window, matcher)
+
+
+def _turn(held: list[pa.RecordBatch], blocks: list, window: int, matcher: Matcher | None) -> Iterator[tuple[pa.RecordBatch, list]]:
+    rows = [[(0, None, set())] * b.num_rows for b in held]
+    for block in blocks:
+        found = matcher or Matcher(block.value, window)
+        for batch, out in zip(held, rows):
+            for at, part in chunks(as_bytes(batch.column(batch.num_columns - 1))):
                 w = words(part)
-                for n, (mask, found) in zip(w.counts.tolist(), matcher.hits(w)):
-                    before, names = next(held)
-                    counts.append(n)
-                    if mask is not None and before:
-                        for s in before:
-                            mask[s["start"] : s["end"]] = True
-                    if mask is not None:
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                        before = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-                    spans.append(before)
-                    items.append(sorted({*names, *found}))
-            kinds = batch.schema
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, kinds.field(3).type), pa.array(items, kinds.field(4).type)], ["doc_id", "text", "n_words", "hit_spans", "items"])
-
-    return run
+                for k, (n, (mask, names)) in enumerate(zip(w.counts.tolist(), found.hits(w)), at):
+                    _, before, others = out[k]
+                    both = before if mask is None else mask if before is None else before | mask
+                    out[k] = (n, both, others | names if names else others)
+        if not matcher:
+            del block._value  # the worker reads its copy from disk again next time
+    for batch, out in zip(held, rows):
+        yield batch, [(n, _runs(mask), names) for n, mask, names in out]
+
+
+def _runs(mask: np.ndarray | None) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of a mask."""
+    if mask is None:
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
+    return list(zip(edge[::2], edge[1::2]))
 
 
 def report(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
@@ -229,34 +254,32 @@ def report(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 
 
-def _without(text: bytes, spans: list[dict]) -> str:
-    """The text without the words of the spans and what stands between them."""
+def _without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the runs and what stands between them."""
     w = words([text])
     out, at = [], 0
-    for s in spans:
-        out.append(text[at : int(w.start[s["start"]])])
-        at = int(w.end[s["end"] - 1])
-    return b"".join([*out, text[at:]]).decode()
+    for first, end in runs:
+        out.append(text[at : int(w.start[first])])
+        at = int(w.end[end - 1])
+    return b"".join([*out, text[at:]])
 
 
 def cleaned(docs: DataFrame, items: DataFrame, max_span: int = 0, max_coverage: float = 0.5, text: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """`docs`, all columns, with hit spans of more than `max_span` words cut out of
     `text`; rows of which more than `max_coverage` of the words is hit are left out.
-    A null text stays null."""
+    A null text stays null. Texts are matched and cut in one go."""
     rest = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{c}") for c in docs.columns if c != text])
-    keyed = docs.select(rest.alias("_row"), F.col(text).cast("string").alias("_text"))
-    out = matched(keyed, items, window, "_row", "_text", item_id, item_text)
-    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    kept = out.filter(n_hit <= F.lit(max_coverage) * F.col("n_words")).select("doc_id", "text", "hit_spans")
-    shape = kept.drop("hit_spans").schema
+    rows = small_batches(docs).select(rest.alias("row"), F.col(text).cast("string").alias("text"))
+    blocks = _sent(items, item_id, item_text)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k, spans in enumerate(batch.column(2).to_pylist()):
-                if cut := [s for s in spans if s["end"] - s["start"] > max_span]:
-                    texts[k] = _without(texts[k].encode(), cut)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    done = kept.mapInArrow(run, shape)
-    return done.select(*[F.col("text").alias(c) if c == text else F.col("doc_id")[f"_{c}"].alias(c) for c in docs.columns])
+        for batch, found in _found(batches, blocks, window):
+            kept = [k for k, (n, runs, _) in enumerate(found) if sum(b - a for a, b in runs) <= max_coverage * n]
+            texts = batch.column(1).take(pa.array(kept, pa.int64())).to_pylist()
+            for at, k in enumerate(kept):
+                if cut := [(a, b) for a, b in found[k][1] if b - a > max_span]:
+                    texts[at] = _without(texts[at].encode(), cut).decode()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(texts, pa.string())], ["row", "text"])
+
+    done = rows.mapInArrow(run, rows.schema)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col("row")[f"_{c}"].alias(c) for c in docs.columns])

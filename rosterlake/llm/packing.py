@@ -92,8 +92,11 @@ def _columns(rows: list[tuple]) -> dict[str, np.ndarray]:
 
 def _first_round(path: str, capacity: int):
     def run(batches):
-        for members in _pieces(batches, path, capacity):
-            yield _table(members, np.arange(len(members["length"]) + 1), capacity)
+        try:
+            for members in _pieces(batches, path, capacity):
+                yield _table(members, np.arange(len(members["length"]) + 1), capacity)
+        finally:  # the worker goes on to other tasks
+            bpe.encoder(path).forget()
 
     return run
 
