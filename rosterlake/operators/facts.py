@@ -106,6 +106,29 @@ def total_signature(per_source: DataFrame, sources: DataFrame) -> DataFrame:
     return mid.agg(join(F.concat_ws(":", "q", "h")).alias("signature"))
 
 
+LIMBS = [f"s{k}" for k in range(8)]
+
+
+def record_sums(records: DataFrame, *keys: str) -> DataFrame:
+    """n and s0 to s7: the number of records and the sums, 32 bits at a time, of their 256-bit
+    hashes (source and content), for each of `keys` or for all. Sums of two sets of records
+    add up to those of both, whatever the order, so a changed source costs its own rows."""
+    h = F.sha2(F.concat(F.col("source_id"), F.lit("|"), canonical_record("rec")), 256)
+    limb = lambda k: F.coalesce(F.sum(F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")), F.lit(0).cast("long"))
+    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[limb(k).alias(c) for k, c in enumerate(LIMBS)])
+
+
+def changed_sums(total: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Sums after the records of `gone` (sums) were replaced by those of `come` (sums)."""
+    signed = total.unionByName(come).unionByName(gone.select(*[(-F.col(c)).alias(c) for c in ("n", *LIMBS)]))
+    return signed.agg(*[F.sum(c).alias(c) for c in ("n", *LIMBS)])
+
+
+def sum_signature(sums: DataFrame) -> DataFrame:
+    """`sums` with their signature."""
+    return sums.withColumn("signature", F.sha2(F.concat_ws(",", "n", *LIMBS), 256))
+
+
 # ------------------------------------------------------------------- counts
 def source_summary(sources: DataFrame) -> DataFrame:
     return sources.groupBy(F.coalesce("source_type", F.lit("unknown")).alias("source_type")).agg(

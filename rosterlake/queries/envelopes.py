@@ -92,6 +92,21 @@ def signature_order(t):
     return flat.agg((pick(1) == pick(2)).alias("same"), (pick(1) != pick(3)).alias("differs"))
 
 
+_SUMS = KV + """, h AS (SELECT source_id, variant, row_idx, sha256(concat(source_id, '|{', string_agg(concat('"', key, '":"', value, '"'), ',' ORDER BY key), '}')) AS h FROM kv GROUP BY source_id, variant, sheet_idx, row_idx),
+w AS (SELECT *, CASE WHEN variant = 1 AND row_idx = 7 THEN 0 WHEN variant = 1 AND row_idx = 8 THEN 2 ELSE 1 END AS times FROM h),
+z AS (SELECT sum(times)::bigint AS n, """ + ", ".join(f"sum(times * ('0x' || substr(h, {8 * k + 1}, 8))::bigint)::bigint AS s{k}" for k in range(8)) + """ FROM w)
+"""
+
+
+@query("signature_update", _SUMS + "SELECT *, sha256(concat_ws(',', n, s0, s1, s2, s3, s4, s5, s6, s7)) AS signature FROM z")
+def signature_update(t):
+    """The sums of all records, then those of some sources replaced: a row of each gone, one doubled."""
+    r = records(t).select(*RECORD_COLS, "variant")
+    theirs = r.filter("variant = 1")
+    new = theirs.filter("row_idx <> 7").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.when(F.col("row_idx") == 8, 2).otherwise(1)))).drop("again")
+    return A.sum_signature(A.changed_sums(A.record_sums(r), A.record_sums(theirs), A.record_sums(new)))
+
+
 # ------------------------------------------------------------------ counts
 def _sources(t):
     files = t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.element_at(F.array(*[F.lit(e) for e in (".xlsx", ".eml", ".png", ".txt", ".bin", ".docx", ".html", "")]), (F.col("page_id") % 8 + 1).cast("int"))).alias("source_file"), "page_id")

@@ -399,9 +399,9 @@ def plan_fill(t):
 
 
 @query("run_fill", _ROSTER + ", " + _FALLBACK + f""", g AS (SELECT template_id, CASE cast(substr(template_id, 2) AS int) % 3 WHEN 1 THEN 'remove' ELSE 'add' END AS intent FROM ({REGION_FORMS}) z WHERE variant = 0),
-w AS (SELECT template_id, 'roster' AS strategy, cast(2 + pos AS int) AS row, v.c AS col_letter, CASE v.k WHEN 'n' THEN name WHEN 'i' THEN id_number WHEN 'd' THEN CASE intent WHEN 'add' THEN '增' ELSE '减' END ELSE strftime(date_trunc('month', event_date) + INTERVAL 1 MONTH, '%Y%m') END AS value
+rw AS (SELECT template_id, 'roster' AS strategy, cast(2 + pos AS int) AS row, v.c AS col_letter, CASE v.k WHEN 'n' THEN name WHEN 'i' THEN id_number WHEN 'd' THEN CASE intent WHEN 'add' THEN '增' ELSE '减' END ELSE strftime(date_trunc('month', event_date) + INTERVAL 1 MONTH, '%Y%m') END AS value
   FROM g JOIN q USING (intent), (VALUES ('A', 'n'), ('B', 'i'), ('C', 'd'), ('D', 'f'), ('E', 'd'), ('F', 'f')) v(c, k))
-SELECT * FROM w WHERE NOT (row = 9 AND col_letter = 'B' OR row = 4 AND col_letter = 'F') UNION ALL SELECT template_id, 'fallback', row, col_letter, value FROM fc""")
+SELECT * FROM rw WHERE NOT (row = 9 AND col_letter = 'B' OR row = 4 AND col_letter = 'F') UNION ALL SELECT template_id, 'fallback', row, col_letter, value FROM fc""")
 def run_fill(t):
     """All cells of all forms; formula cells of the forms are left as they are."""
     cells = _forms(t, REGION_FORMS)
