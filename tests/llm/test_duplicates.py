@@ -85,24 +85,70 @@ def test_one_of_each_class_stays(spark):
 
 
 def test_prefixes_shorten_to_the_target():
+    """The prefix is the longest that finds a pair as far apart as a text's size allows."""
     assert jaccard.recall(0.8, 5) > jaccard.recall(0.8, 8) > 0.99
+    for percent in (50, 80, 93):
+        for size in (1, 2, 3, 5, 9, 40, 99, 100, 5000):
+            least = jaccard.own_threshold(size, percent)
+            both = [100 * b / (size + m - b) for m in range(1, 2 * size + 2) for b in range(1, min(size, m) + 1)] if size < 100 else [percent]
+            assert least == min((x for x in both if x >= percent), default=100)
+            depth = jaccard.depth_for(least, 0.999)
+            assert jaccard.recall(least / 100, depth) >= 0.999 and (depth == 8 or jaccard.recall(least / 100, depth + 1) < 0.999)
 
 
-def test_a_large_group_does_not_decide_for_other_pairs(spark):
-    """Pairs just at the threshold that only a prefix of eight values misses."""
-    assert all(jaccard.recall(p / 100, jaccard.depth_for(p, 0.999)) >= 0.999 for p in range(30, 101))
+def signed(texts):
+    """(prefixes of each tree, own prefix length) of each text."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64())] * 2 + [pa.array(texts)], ["key", "node", "text"])
+    for out in jaccard._signatures(80, 0.999)([batch]):
+        for signature, depth in zip(out.column(2).to_pylist(), out.column(3).to_pylist()):
+            yield [signature[16 * t : 16 * t + 16] for t in range(jaccard.TREES)], depth
+
+
+def test_sorted_tries_link_runs_over_all_ranges(spark):
+    """Links against brute force over all pairs of texts that share a prefix, in one range and
+    in many; equal prefixes fill several ranges."""
+    rng = random.Random(2)
+    base = [f"g{k}" for k in range(120)]
+    texts = [" ".join([*base[: rng.choice([6, 9, 120])], *(f"e{rng.randint(0, 3)}" for _ in range(rng.randint(0, 2)))]) for _ in range(160)]
+    texts = list(dict.fromkeys(texts)) + [" ".join([*base[:90], f"end{k}"]) for k in range(150)]
+    rows = list(signed(texts))
+    shared = lambda a, b: max(next((k for k in range(8) if x[2 * k : 2 * k + 2] != y[2 * k : 2 * k + 2]), 8) for x, y in zip(a, b))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, d) in enumerate(rows):
+        for j, (b, _) in enumerate(rows):
+            if i != j and shared(a, b) >= d:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    table_ = spark.createDataFrame([(i, b"".join(a), d) for i, (a, d) in enumerate(rows)], "node long, signature binary, depth int")
+    for ranges in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        try:
+            links = graph.components(jaccard._forest(table_.repartition(3), 7), "node", "head").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got = {r.node: r.root for r in links}
+        assert {i: got.get(i, i) for i in range(len(texts))} == {i: find(i) for i in range(len(texts))}
+
+
+def test_found_only_by_a_shorter_prefix_and_out_of_the_forest_early(spark):
+    """Pairs at the threshold that share seven values of a tree but never eight, among many
+    near-equal texts, which decide nothing for them; short texts stop at eight."""
     rng = random.Random(4)
     texts = []
     for k in range(3000):
         w = [f"p{rng.randrange(10**9)}" for _ in range(13)]  # nine shingles, eight of ten in both
         texts += [" ".join(w), " ".join([*w[:12], "other"])]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64())] * 2 + [pa.array(texts)], ["key", "node", "text"])
-    met = {}
-    for depth in (8, 7):
-        prefixes = [set(p) for out in jaccard._prefixes(depth)([batch]) for p in out.column(2).to_pylist()]
-        met[depth] = {k for k in range(0, len(texts), 2) if prefixes[k] & prefixes[k + 1]}
+    rows = list(signed(texts))
+    assert {d for _, d in rows} == {7}
+    met = {d: {k for k in range(0, len(texts), 2) if any(x[: 2 * d] == y[: 2 * d] for x, y in zip(rows[k][0], rows[k + 1][0]))} for d in (8, 7)}
     pairs = sorted(met[7] - met[8])
     assert pairs
+    assert [d for _, d in signed(["a b c d e f", "a b c d e"])] == [8, 8]
     base = [f"g{k}" for k in range(300)]
     docs = [(k, " ".join([*base, f"end{k}"])) for k in range(80)] + [(1000 + j, texts[j]) for k in pairs for j in (k, k + 1)]
     links = {r.doc_id: r.n_links for r in jaccard.similar(table(spark, docs)).collect()}
