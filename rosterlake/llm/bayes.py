@@ -268,9 +268,19 @@ def _blocks(members: DataFrame, bodies: DataFrame, percent: int, miss: float, ex
     return checkpointed(rows.mapInArrow(_compared(percent, miss, exact), "a long, b long").distinct())
 
 
-def _within(nodes: DataFrame, links: DataFrame, a: str = "a", b: str = "b", label: str = "label") -> DataFrame:
-    """`nodes` with the label that its links give it: the least node it is connected with."""
-    return nodes.join(components(links, a, b).withColumnRenamed("root", label), "node", "left").withColumn(label, F.coalesce(label, "node"))
+def _labelled(nodes: DataFrame, connected: DataFrame) -> DataFrame:
+    """`nodes` with the label that (node, root) rows give them, else their own."""
+    return nodes.join(connected.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _extended(connected: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) rows after more links between roots (or nodes not connected so far). Only
+    what the links touch is searched again."""
+    if links.isEmpty():
+        return connected
+    tops = components(links, "a", "b")
+    moved = connected.join(tops.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return checkpointed(moved.unionByName(tops.join(connected.select("node"), "node", "left_anti")))
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,9 +323,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-6, doc_
     likely = checkpointed(pairs.mapInArrow(_stars(percent, miss), "a long, b long, agreements int"))
 
     # what that leaves apart in buckets of three and more, against the rest of the bucket
-    members = candidates.filter("n > 2").select("bucket", "node")
-    joined = _within(members, likely)
-    more = _blocks(joined, signatures, percent, miss, exact=False)
+    met = likely.select(F.col("a").alias("node"), F.col("b").alias("first"), F.lit(True).alias("hit"))
+    members = candidates.filter("n > 2").join(met, ["node", "first"], "left").select("bucket", "node", F.when(F.col("hit"), F.col("first")).otherwise(F.col("node")).alias("label"))
+    more = _blocks(members, signatures, percent, miss, exact=False)
     linked = checkpointed(components(likely.select("a", "b").unionByName(more), "a", "b"))
 
     # exact: each text against its likeliest partner, then what that leaves apart
@@ -326,10 +336,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-6, doc_
     shingles = bodies.select("node", "shingles")
     stars = best.join(shingles.toDF("a", "left"), "a").join(shingles.toDF("b", "right"), "b").select("a", "b", "left", "right")
     sure = checkpointed(stars.mapInArrow(_confirmed(percent), "a long, b long"))
-    apart = _within(linked.select("node", F.col("root").alias("bucket")), sure)
-    rest = _blocks(apart, bodies, percent, miss, exact=True)
+    connected = components(sure, "a", "b")
+    apart = _labelled(linked.select("node", F.col("root").alias("bucket")), connected)
+    connected = _extended(connected, _blocks(apart, bodies, percent, miss, exact=True))
 
-    named = _within(nodes.select("node", "least"), sure.unionByName(rest))
+    named = _labelled(nodes.select("node", "least"), connected)
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     named = named.join(least, "label").select("node", "component")
     out = signed.select("key", "node", "n_shingles").join(named, "node", "left")
