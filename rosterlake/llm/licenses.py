@@ -23,21 +23,23 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 
 @dataclass(frozen=True)
 class Notice:
-    """Words of a notice, its label, and the edits (characters) it may hold."""
+    """Words of a notice, its label, the edits (characters) it may hold, and a short word
+    that tells the licence from others and so takes none."""
 
     words: str
     label: str
     edits: int
+    exact: str = ""
 
 
 NOTICES = (
-    Notice("under the mit license", "mit", 2),
+    Notice("under the mit license", "mit", 2, "mit"),
     Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
-    Notice("apache license version 2", "apache-2", 2),
+    Notice("apache license version 2", "apache-2", 2, "2"),
     Notice("creative commons attribution noncommercial", "cc-by-nc", 4),
     Notice("creative commons attribution sharealike", "cc-by-sa", 4),
-    Notice("gnu general public license", "gpl", 3),
-    Notice("gnu lesser general public license", "lgpl", 3),
+    Notice("gnu general public license", "gpl", 3, "gnu"),
+    Notice("gnu lesser general public license", "lgpl", 3, "gnu"),
     Notice("mozilla public license", "mpl", 2),
     Notice("redistribution and use in source and binary forms", "bsd", 5),
     Notice("this is free and unencumbered software released into the public domain", "unlicense", 6),
@@ -52,11 +54,23 @@ def _compiled(notices: tuple[Notice, ...]):
     for n in notices:
         cuts = [round(i * len(n.words) / (n.edits + 1)) for i in range(n.edits + 2)]
         # a squeezed text has a space at both ends: a word edge is a space that is seen
-        pattern = regex.compile(rf"(?<= )(?:{regex.escape(n.words, literal_spaces=True)}){{e<={n.edits}}}(?= )", regex.BESTMATCH)
+        pattern = regex.compile(rf"(?<= ){_worded(n)}(?= )", regex.BESTMATCH)
         out.append((n, [(n.words[a:b].encode(), a) for a, b in zip(cuts, cuts[1:])], pattern))
     return out
 
 
+def _worded(n: Notice) -> str:
+    """Pattern of a notice: edits anywhere but in its exact word, which no letter or digit
+    of ASCII touches. What stands before and after it has the edits each; together they
+    may not be more (`fuzzy` sees to that)."""
+    signs = rf"([^ a-z0-9]{{0,{n.edits}}})"  # signs that touch a word at the notice's end are edits too
+    some = lambda words: rf"(?:{regex.escape(words, literal_spaces=True)}){{e<={n.edits}}}" if words else signs
+    if not n.exact:
+        return some(n.words)
+    before, after = n.words.split(n.exact, 1)
+    return rf"{some(before)}(?<![a-z0-9]){n.exact}(?![a-z0-9]){some(after)}"
+
+
 def squeezed(text: bytes) -> bytes:
     """Lower-cased words with one space before, between and after them."""
     return b" " + b" ".join(text.translate(_SPACED).split()) + b" "
@@ -97,9 +111,11 @@ def fuzzy(line: bytes, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int,
                 a = at - len(_bytes(left))
                 if (a, piece) not in tried:  # else the same stretch, found by another part
                     tried.add((a, piece))
-                    if m := pattern.search(piece):
+                    m = pattern.search(piece)
+                    edits = sum(m.fuzzy_counts) + sum(map(len, m.groups())) if m else 0
+                    if m and edits <= n.edits:
                         start = a + len(_bytes(piece[: m.start()]))
-                        out.add((start, start + len(_bytes(m[0])), n.label, 1 - sum(m.fuzzy_counts) / len(n.words)))
+                        out.add((start, start + len(_bytes(m[0])), n.label, 1 - edits / len(n.words)))
                 at = line.find(part, at + 1)
     return sorted(out)
 
