@@ -90,21 +90,26 @@ def leave_as_records(leave: DataFrame, sources: DataFrame) -> DataFrame:
 SOURCE = ["source_id", "source_file", "source_type", "ext", "parent_source_id"]
 
 
-def with_attachments(top: DataFrame, routes: RouteOptions = RouteOptions()) -> tuple[DataFrame, DataFrame]:
-    """(all files, all decoded mails): the given files and, level by level, what is
-    attached to mails, mails among it included. Each level is one job, written once;
-    the loop ends at the first level without a mail."""
-    level = checkpointed(top.select(*SOURCE, "content"))
-    files, mails = level, None
+def with_attachments(top: DataFrame, routes: RouteOptions = RouteOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all sources, all files with their bytes, all decoded mails): the given files and,
+    level by level, what is attached to mails, mails among it included. The given files are
+    written once, each level of mails once with its parts; attached files are read
+    out of those. The loop ends at the first level without a mail."""
+    level = files = checkpointed(top.select(*SOURCE, "content"))
+    sources, mails = files.select(*SOURCE), None
     while True:
-        decoded = checkpointed(M.decode_mail(level.filter("ext = '.eml'")))
+        decoded = checkpointed(M.with_exports(M.decode_mail(level.filter("ext = '.eml'"))))
         mails = decoded if mails is None else mails.unionByName(decoded)
-        parts = M.export_parts(M.parts(decoded)).filter("NOT is_duplicate")
-        kids = parts.select(F.col("child_id").alias("source_id"), F.col("export_name").alias("source_file"), F.col("source_id").alias("parent_source_id"), "content")
-        level = checkpointed(route(kids, routes).select(*SOURCE, "content"))
-        files = files.unionByName(level)
-        if level.filter("ext = '.eml'").isEmpty():
-            return files, mails
+
+        def attached(*more: str) -> DataFrame:
+            parts = M.exported_parts(decoded, content=bool(more)).filter("NOT is_duplicate")
+            kids = parts.select(F.col("child_id").alias("source_id"), F.col("export_name").alias("source_file"), F.col("source_id").alias("parent_source_id"), *more)
+            return route(kids, routes).select(*SOURCE, *more)
+
+        level, known = attached("content"), attached()
+        files, sources = files.unionByName(level), sources.unionByName(known)
+        if known.filter("ext = '.eml'").isEmpty():
+            return sources, files, mails
 
 
 def loose_bodies(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +153,7 @@ def run_extract(files: DataFrame, body_replies: DataFrame | None = None, leave_r
     `proposed` holds column names for sheets, as `name_columns` takes them; `paths`
     (file_path) what was asked for: paths without a file are told in the log."""
     top = route(files, routes).withColumn("parent_source_id", F.lit("").cast("string"))
-    found, decoded = with_attachments(top, routes)
-    sources = found.select(*SOURCE)
+    sources, found, decoded = with_attachments(top, routes)
     raw = checkpointed(W.decode_workbooks(found.filter("ext = '.xlsx'").select(*SOURCE, "content")))
     read = read_sheets(W.record_cells(raw), sources, opts, proposed=proposed, keep=True)
     sheets = read.records.withColumn("extraction_type", F.lit("sheet"))

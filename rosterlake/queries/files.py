@@ -88,6 +88,15 @@ def _parts(t):
     return M.describe_parts(t.sql(_PARTS).withColumn("content", F.encode("body", "UTF-8")).drop("body"))
 
 
+def _exports(t):
+    """The parts put into the rows of their mails, as the decoder gives them, and exported."""
+    given = t.sql(_PARTS).withColumn("content", F.encode("body", "UTF-8")).withColumn("depth", F.lit(0)).withColumn("parent_part_idx", F.lit(None).cast("int")).withColumn("encoding", F.lit(""))
+    part = F.struct("part_idx", "parent_part_idx", "depth", "content_type", "filename", "disposition_header", "content_id", "encoding", "content")
+    mails = given.groupBy("source_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    key = F.substring("source_id", 2, 20).cast("long") * 8 + F.col("part_idx")
+    return M.exported_parts(mails, content=False).withColumn("doc_id", key)
+
+
 @query("part_rules", _DESC + " SELECT doc_id, ext, name, disposition, is_image, exported FROM d")
 def part_rules(t):
     return _parts(t).select("doc_id", "ext", "name", "disposition", "is_image", "exported")
@@ -95,14 +104,14 @@ def part_rules(t):
 
 @query("content_dedupe", _DESC + " SELECT doc_id, first_part_idx, part_idx <> first_part_idx AS is_duplicate, export_name FROM x")
 def content_dedupe(t):
-    return M.export_parts(_parts(t)).select("doc_id", "first_part_idx", "is_duplicate", "export_name")
+    return _exports(t).select("doc_id", "first_part_idx", "is_duplicate", "export_name")
 
 
 @query("parts_summary", _DESC + """ SELECT source_id, n_parts, part_bytes, coalesce(n_attachments, 0) AS n_attachments, coalesce(attachment_bytes, 0) AS attachment_bytes
 FROM (SELECT source_id, count(*) AS n_parts, sum(octet_length(encode(body))) AS part_bytes FROM p GROUP BY 1) a LEFT JOIN (SELECT source_id, count(*) AS n_attachments, sum(octet_length(encode(body))) AS attachment_bytes FROM x WHERE disposition = 'attachment' GROUP BY 1) b USING (source_id)""")
 def parts_summary(t):
     p = _parts(t)
-    a = M.attachment_summary(M.export_parts(p)).select("source_id", "n_attachments", "attachment_bytes")
+    a = M.attachment_summary(_exports(t)).select("source_id", "n_attachments", "attachment_bytes")
     return M.parts_summary(p).join(a, "source_id", "left").select("source_id", "n_parts", "part_bytes", F.coalesce("n_attachments", F.lit(0)).alias("n_attachments"), F.coalesce("attachment_bytes", F.lit(0)).alias("attachment_bytes"))
 
 
@@ -112,13 +121,13 @@ def cid_join(t):
     html = t.sql(_PARTS).filter("doc_id % 2 = 0").groupBy("source_id").agg(
         F.concat_ws("", F.collect_list(F.concat(F.lit("<p><IMG alt='x' src=\"cid:"), F.concat(F.lit("cid"), F.col("doc_id").cast("string")), F.lit('"></p>')))).alias("html")
     )
-    found, missing = M.inline_images(html.select("source_id", T.inline_image_ids("html").alias("image_ids")), M.export_parts(_parts(t)))
+    found, missing = M.inline_images(html.select("source_id", T.inline_image_ids("html").alias("image_ids")), _exports(t))
     return found.select("source_id", "cid", "export_name").unionByName(missing.select(F.col("scope").alias("source_id"), F.col("detail").alias("cid"), F.lit(None).cast("string").alias("export_name")))
 
 
 @query("part_lineage", _DESC + " SELECT sha256(concat_ws('|', source_id, sha, first_part_idx)) AS source_id, export_name AS source_file, concat(source_id, '.eml') AS parent_file FROM x WHERE part_idx = first_part_idx")
 def part_lineage(t):
-    kids = M.export_parts(_parts(t)).filter("NOT is_duplicate").select(F.col("child_id").alias("source_id"), F.col("export_name").alias("source_file"), F.col("source_id").alias("parent_source_id"))
+    kids = _exports(t).filter("NOT is_duplicate").select(F.col("child_id").alias("source_id"), F.col("export_name").alias("source_file"), F.col("source_id").alias("parent_source_id"))
     roots = t.sql(_PARTS).select("source_id", F.concat("source_id", F.lit(".eml")).alias("source_file"), F.lit("").alias("parent_source_id")).distinct()
     return V.lineage(roots.unionByName(kids)).filter("parent_file IS NOT NULL").select("source_id", "source_file", "parent_file")
 
@@ -150,7 +159,7 @@ def mail_decode(t):
 SELECT concat('m', doc_id) AS source_id, v.part_idx, v.parent_part_idx, v.depth, v.is_duplicate, v.export_name, CASE v.part_idx WHEN 5 THEN sha256(lang) ELSE sha256(source) END AS sha256
 FROM {documents}, (VALUES (2, 0, 0, false, 'a.csv'), (3, 0, 0, true, 'a.csv'), (5, 4, 1, false, 'c.csv')) v(part_idx, parent_part_idx, depth, is_duplicate, export_name)""")
 def mail_parts(t):
-    e = M.export_parts(M.parts(M.decode_mail(_mail_files(t))))
+    e = M.exported_parts(M.decode_mail(_mail_files(t)), content=False)
     return e.select("source_id", "part_idx", "parent_part_idx", "depth", "is_duplicate", "export_name", "sha256")
 
 
@@ -160,7 +169,7 @@ def mail_blocks(t):
 
     decoded = checkpointed(M.decode_mail(_mail_files(t)))
     # Quoted threads do not occur here, so the body is the whole text.
-    b = K.blocks(L.body_text(M.messages(decoded)), M.export_parts(M.parts(decoded)))
+    b = K.blocks(L.body_text(M.messages(decoded)), M.exported_parts(decoded, content=False))
     return b.select("source_id", "ord", "type", F.when(F.col("type").isin("email_text", "email_body_text"), F.sha2("content", 256)).alias("digest"))
 
 
