@@ -14,6 +14,7 @@ from ..plans import intake as N
 from ..plans import matching as X
 from ..plans import roster as RO
 from ..sources import sinks as K
+from ..sources.ledger import WrongSize, publish, published
 from . import recipes as R
 from .derive import RECORD_COLS, records
 from .people import GOOD_DATE, KEYS, RECS, VALUES, _SCORE, _TYPES
@@ -231,6 +232,25 @@ def cells_written(t):
     return back.select("template_id", "row", "col_letter", "key", "value")
 
 
+@query("published_cells", _PLACED + """SELECT 'cells' AS part, template_id, row, col_letter, key, value, NULL AS n FROM w
+UNION ALL SELECT 'summary', template_id, NULL, NULL, NULL, NULL, count(*) FROM w GROUP BY 2""")
+def published_cells(t):
+    """Planned cells and their counts per form, published together. A former run of the job is
+    replaced; one that lost rows on the way is refused."""
+    cols, root = _columns(t, NATION_FORMS), scratch_path(t.spark, "published")
+    cells = checkpointed(P.plan_cells(P.place_records(_assigned(t), ["template_id"]), P.column_plan(_mapping(t), cols), cols).select("template_id", "row", "col_letter", "key", "value"))
+    planned = {"cells": cells.count()}
+    tables = lambda some: {"cells": some, "summary": some.groupBy("template_id").agg(F.count(F.lit(1)).alias("n"))}
+    publish(root, tables(cells.withColumn("value", F.lit("former"))), planned=planned)
+    publish(root, tables(cells), planned=planned)
+    try:
+        publish(root, tables(cells.filter("col_letter <> 'A'")), planned=planned)
+    except WrongSize:
+        pass
+    back = lambda name: published(t.spark, root, name).select(F.lit(name).alias("part"), "*")
+    return back("cells").unionByName(back("summary"), allowMissingColumns=True)
+
+
 @query("unknown_headers", f"SELECT template_id AS scope, 'template_header_not_found' AS code, '没有' AS detail FROM ({NATION_FORMS}) f WHERE variant = 0")
 def unknown_headers(t):
     return P.unknown_headers(_mapping(t), _columns(t, NATION_FORMS))
