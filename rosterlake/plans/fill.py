@@ -232,13 +232,18 @@ def fallback_cells(records: DataFrame, columns: DataFrame, planned: DataFrame, o
     else:
         recs = recs.withColumn("shape", F.map_keys("rec"))
     scope = F.struct("template_id", "shape").alias("template_id")
-    # Lists of keys are as few as sheet layouts: records are not crossed with headers.
-    open_forms = checkpointed(forms.crossJoin(recs.select("shape").distinct()))
-    cols = main_region(columns).join(open_forms, "template_id").select(scope, "header_path", "col_index", "col_letter", "first_col")
+    # Forms laid out alike are planned once, by the first of them. Layouts and lists of keys
+    # are both few: neither forms nor records are crossed with the other's names.
+    region = main_region(columns).join(forms, "template_id").select("template_id", "header_path", "col_index", "col_letter", "first_col")
+    layouts = region.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("col_index", "col_letter", "header_path", "first_col"))).alias("heads"))
+    layouts = layouts.select("template_id", F.sha2(F.to_json("heads"), 256).alias("layout"))
+    alike = checkpointed(layouts.join(layouts.groupBy("layout").agg(F.min("template_id").alias("like")), "layout").select("template_id", "like"))
+    open_forms = checkpointed(alike.select(F.col("like").alias("template_id")).distinct().crossJoin(recs.select("shape").distinct()))
+    cols = region.join(open_forms, "template_id").select(scope, "header_path", "col_index", "col_letter", "first_col")
     keys = open_forms.select(scope, F.posexplode("shape").alias("key_idx", "key"))
     by_name = checkpointed(synonym_match(cols, keys))
     rest = cols.filter("header_path != ''").join(by_name.select("template_id").distinct(), "template_id", "left_anti")
     by_place = rest.withColumn("key_idx", F.col("col_index") - F.col("first_col")).join(keys, ["template_id", "key_idx"])
-    pick = lambda d: d.select("template_id.*", "col_index", "col_letter", "key", F.lit(None).cast("string").alias("constant"))
-    plan = pick(by_name).unionByName(pick(by_place))
+    pick = lambda d: d.select(F.col("template_id.template_id").alias("like"), "template_id.shape", "col_index", "col_letter", "key", F.lit(None).cast("string").alias("constant"))
+    plan = pick(by_name).unionByName(pick(by_place)).join(alike, "like").drop("like")
     return plan_cells(place_records(recs, []), plan, columns, skip_null=True, by=("template_id", "shape"))

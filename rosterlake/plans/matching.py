@@ -90,25 +90,78 @@ def _squash(c) -> Column:
     return F.translate(T.col(c), " _-", "")
 
 
+def _last_part(header: Column) -> Column:
+    return F.when(F.contains(header, F.lit("/")), T.utrim(F.element_at(F.split(header, "/"), -1))).otherwise(header)
+
+
+def _flat(group) -> list[str]:
+    return [g.replace(" ", "").replace("_", "").replace("-", "") for g in group]
+
+
 def synonym_tier(header, key) -> Column:
     """1 for equal or contained names, 2 for synonyms, else null."""
     h, k = T.col(header), T.col(key)
-    h0 = F.when(F.contains(h, F.lit("/")), T.utrim(F.element_at(F.split(h, "/"), -1))).otherwise(h)
+    h0 = _last_part(h)
     near = F.contains(k, h) | F.contains(h, k) | F.contains(k, h0) | F.contains(h0, k) | (_squash(h0) == _squash(k))
     known = F.lit(False)
     for word, group in SYNONYMS.items():
-        flat = [g.replace(" ", "").replace("_", "").replace("-", "") for g in group]
+        flat = _flat(group)
         known = known | ((k == word) & h0.isin(*group)) | ((h0 == word) & k.isin(*group)) | (_squash(h0).isin(*flat) & _squash(k).isin(*flat))
     return F.when(near, F.lit(1)).when(known, F.lit(2))
 
 
+#: Longest run of characters that a contained name is looked up by.
+_LEAD = 4
+
+
+def _marks(kind: str, texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.concat(F.lit(kind), x))
+
+
+def _leads(texts: Column) -> Column:
+    """What a name is looked up by inside longer ones: its first characters."""
+    return F.transform(texts, lambda x: F.substring(x, 1, _LEAD))
+
+
+def _runs(c: Column) -> Column:
+    """All runs of at most `_LEAD` characters, the empty one too."""
+    n = F.length(c)
+    cut = lambda k: lambda i: F.substring(c, i, F.lit(k))
+    sizes = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), cut(k))).otherwise(F.array().cast("array<string>")) for k in range(1, _LEAD + 1)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *sizes))
+
+
+def _groups(c: Column) -> Column:
+    """Marks of the synonym groups that a name may belong to."""
+    hit = lambda word, group: (c == word) | c.isin(*group) | _squash(c).isin(*_flat(group))
+    return F.filter(F.array(*[F.when(hit(word, group), F.lit(f"g{i}")) for i, (word, group) in enumerate(SYNONYMS.items())]), lambda x: x.isNotNull())
+
+
+def synonym_pairs(headers: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct (header_path, key, tier) of all header and key texts that have a tier.
+
+    Texts meet by equal marks, so they are never crossed: a contained name's first
+    characters with the runs of the longer one, names without separators, and synonym
+    groups. Every pair with a tier shares a mark; tiers are worked out for those alone.
+    The tier depends on the texts only, so each text is looked at once however many
+    forms and records hold it."""
+    h, k = F.col("header_path"), F.col("key")
+    names = F.array(h, _last_part(h))
+    of_header = F.concat(_marks("in", _leads(names)), _marks("of", _runs(h)), F.array(F.concat(F.lit("s"), _squash(_last_part(h)))), _groups(_last_part(h)))
+    of_key = F.concat(_marks("of", _leads(F.array(k))), _marks("in", _runs(k)), F.array(F.concat(F.lit("s"), _squash(k))), _groups(k))
+    left = headers.select("header_path").distinct().select("header_path", F.explode(F.array_distinct(of_header)).alias("_mark"))
+    right = keys.select("key").distinct().select("key", F.explode(F.array_distinct(of_key)).alias("_mark"))
+    met = left.join(right, "_mark").select("header_path", "key").distinct()
+    return met.withColumn("tier", synonym_tier("header_path", "key")).filter("tier IS NOT NULL")
+
+
 def synonym_match(columns: DataFrame, keys: DataFrame) -> DataFrame:
     """First key per header by `synonym_tier`, then one header per key.
-    keys(template_id, key, key_idx): the keys of one record (a template_id may also
-    be a form and a list of keys), so both sides of this join are bounded by the width
-    of a form and of a record."""
+    keys(template_id, key, key_idx): the keys of one record (a template_id may also be a
+    form and a list of keys). Only pairs with a tier (`synonym_pairs`) reach the join by
+    form."""
     heads = columns.filter("header_path != ''").select("template_id", "header_path", "col_index", "col_letter")
-    pairs = heads.join(keys, "template_id").withColumn("tier", synonym_tier("header_path", "key")).filter("tier IS NOT NULL")
+    pairs = heads.join(synonym_pairs(heads, keys), "header_path").join(keys, ["template_id", "key"])
     best = pairs.groupBy("template_id", "header_path", "col_index", "col_letter").agg(F.min_by("key", F.struct("tier", "key_idx")).alias("key"))
     w = Window.partitionBy("template_id", "key").orderBy("col_index")
     return best.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
