@@ -213,6 +213,7 @@ _C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜
 # Frequent names, looked up before the full table.
 _COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "copy": "©", "middot": "·"}
 _REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_CLOSED = r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[^\t\n\f <&#;]{1,32};)"
 
 
 def _entity_map() -> Column:
@@ -254,9 +255,10 @@ def _named(name: Column, table: Column) -> Column:
     return F.coalesce(exact, by_prefix, F.concat(F.lit("&"), name))
 
 
-def unescape(c) -> Column:
-    """Resolve HTML character references in one left-to-right pass."""
-    text = col(c)
+def unescape(c, open_ended: bool = True) -> Column:
+    """Resolve HTML character references in one left-to-right pass. Without `open_ended`
+    a reference that no semicolon ends stays as it is."""
+    text, reference = col(c), _REFERENCE if open_ended else _CLOSED
     table = _entity_map()
 
     def one(ref):
@@ -271,23 +273,23 @@ def unescape(c) -> Column:
             .otherwise(_named(ref, table))
         )
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 1), one)
-    plain = F.split(text, _REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(reference), 1), one)
+    plain = F.split(text, reference, -1)
     joined = F.array_join(
         F.zip_with(plain, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def html_to_text(c) -> Column:
+def html_to_text(c, open_ended: bool = True) -> Column:
     """Scripts and styles out, br and /p to line ends, tags to blanks,
-    references resolved, runs of blanks and line ends shortened."""
+    references resolved (see `unescape`), runs of blanks and line ends shortened."""
     t = F.coalesce(col(c), F.lit(""))
     t = F.regexp_replace(t, r"(?i)<\s*script[^>]*>[\s\S]*?<\s*/\s*script\s*>", " ")
     t = F.regexp_replace(t, r"(?i)<\s*style[^>]*>[\s\S]*?<\s*/\s*style\s*>", " ")
     t = F.regexp_replace(t, r"(?i)<\s*br\s*/?\s*>|</\s*p\s*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    t = unescape(t)
+    t = unescape(t, open_ended)
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return utrim(t)
