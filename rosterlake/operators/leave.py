@@ -84,11 +84,11 @@ def cut_thread(text) -> Column:
     return F.when(suspicious, T.let(T.let(text, with_marks), find)).otherwise(untouched)
 
 
-def body_text(messages: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Plain text of a mail: the text body, else the stripped html body; quoted
-    thread cut; optional length cap. Adds body and its facts."""
+def body_text(messages: DataFrame, max_chars: int | None = None, open_ended: bool = True) -> DataFrame:
+    """Plain text of a mail: the text body, else the stripped html body (`open_ended` as in
+    `html_to_text`); quoted thread cut; optional length cap. Adds body and its facts."""
     plain = F.col("text").isNotNull() & (F.col("text") != "")
-    base = F.when(plain, F.col("text")).otherwise(T.html_to_text("html"))
+    base = F.when(plain, F.col("text")).otherwise(T.html_to_text("html", open_ended))
     used = F.when(plain, F.lit("text/plain")).when(T.is_non_empty("html"), F.lit("text/html")).otherwise(F.lit("none"))
     out = messages.withColumn("_cut", cut_thread(base)).withColumn("used_body", used)
     body = F.col("_cut")["text"]
