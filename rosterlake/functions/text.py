@@ -366,7 +366,8 @@ def _rekeyed(rec: Column, fold) -> Column:
     def build(ks):
         first = F.filter(F.sequence(F.lit(0), F.size(ks) - 1), lambda i: F.array_position(ks, F.element_at(ks, i + 1)) == i + 1)
         pick = lambda arr: F.transform(first, lambda i: F.element_at(arr, i + 1))
-        return F.when(F.size(ks) > 0, F.map_from_arrays(pick(ks), pick(F.map_values(rec))))
+        distinct = F.size(F.array_distinct(ks)) == F.size(ks)
+        return F.when(F.size(ks) > 0, F.when(distinct, F.map_from_arrays(ks, F.map_values(rec))).otherwise(F.map_from_arrays(pick(ks), pick(F.map_values(rec)))))
 
     return let(F.transform(F.map_keys(rec), fold), build)
 
@@ -390,9 +391,22 @@ def get_folded(key) -> Column:
     return F.coalesce(get_ci(k), none_if_blank(F.try_element_at("_folded", fold_record_key(k))))
 
 
-def first_passing(values, test) -> Column:
-    """First of several values passing a test, each value computed once."""
-    return F.try_element_at(F.filter(F.array(*values), lambda v: v.isNotNull() & test(v)), F.lit(1))
+def found_values(keys, folded: bool = False) -> Column:
+    """array of struct(i, v): candidate keys with a value that is not blank, in their order,
+    each looked up as `get_ci` or, `folded`, as `get_folded` does, on a frame `with_lookup`.
+
+    The candidates are one constant array: the plan holds one lookup however many there are,
+    and only keys that the record has at all, in any spelling, are looked up."""
+    cands = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lower(F.lit(k)).alias("low"), fold_record_key(F.lit(k)).alias("fold")) for i, k in enumerate(keys)])
+
+    def value(c):
+        tried = [F.coalesce(F.try_element_at("rec", c["k"]), F.try_element_at("_lower", c["low"]))]
+        tried += [F.try_element_at("_folded", c["fold"])] if folded else []
+        # Each is trimmed once: nullif would stand in the lambda with its text twice.
+        return F.try_element_at(F.filter(F.array(*[utrim(v) for v in tried]), lambda v: v != ""), F.lit(1))
+
+    present = F.filter(cands, lambda c: F.coalesce(F.map_contains_key(F.col("_folded"), c["fold"]), F.lit(False)))
+    return F.filter(F.transform(present, lambda c: F.struct(c["i"].alias("i"), value(c).alias("v"))), lambda x: x["v"].isNotNull())
 
 
 def stringify_record(rec) -> Column:

@@ -101,8 +101,8 @@ def key_score(keys, intent) -> Column:
 def coverage_flags() -> list[Column]:
     """has_name, has_id, has_national_id, has_start and has_leave of a record on
     a frame with `with_lookup`."""
-    named = lambda keys, ok: F.exists(F.array(*[T.get_ci(k) for k in keys]), lambda v: F.coalesce(ok(v), F.lit(False)))
-    idn = F.coalesce(*[T.get_ci(k) for k in R.ID_KEYS])
+    named = lambda keys, ok: F.exists(T.found_values(keys), lambda x: F.coalesce(ok(x["v"]), F.lit(False)))
+    idn = F.try_element_at(T.found_values(R.ID_KEYS), F.lit(1))["v"]
     dated = lambda keys: named(keys, lambda v: record_date(v).isNotNull())
     return [
         named(R.NAME_KEYS, is_person_name).alias("has_name"), idn.isNotNull().alias("has_id"),
@@ -187,7 +187,7 @@ def choose_date_key(records: DataFrame, intent: str) -> DataFrame:
     cands = R.DATE_CANDIDATES[intent]
     have = T.with_lookup(records.select("source_id", *RECORD_ORDER, "rec")).select(
         "source_id", *RECORD_ORDER, F.map_entries("rec").alias("es"),
-        F.array(*[F.when(T.get_folded(k).isNotNull(), F.lit(i)) for i, k in enumerate(cands)]).alias("hits"),
+        F.try_element_at(T.found_values(cands, folded=True), F.lit(1))["i"].alias("hit"),
     )
     starts = lambda w: F.try_element_at(
         F.filter(F.transform("es", lambda e: e["key"]), lambda k: F.startswith(T.fold_record_key(k), F.lit(w))), F.lit(1)
@@ -195,7 +195,7 @@ def choose_date_key(records: DataFrame, intent: str) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.struct(*RECORD_ORDER)))
     per = have.groupBy("source_id").agg(
         first(starts("enddate")).alias("forced_end"), first(starts("terminationdate")).alias("forced_term"),
-        F.min(F.array_min("hits")).alias("cand"),
+        F.min("hit").alias("cand"),
     )
     names = F.array(*[F.lit(k) for k in cands])
     found = F.try_element_at(names, F.col("cand") + 1)
@@ -211,8 +211,8 @@ def choose_date_key(records: DataFrame, intent: str) -> DataFrame:
 
 def _first_present(keys, name: str) -> Column:
     """Aggregate: first key of a list with a value in a group of records."""
-    hits = F.array_min(F.array(*[F.when(T.get_ci(k).isNotNull(), F.lit(i)) for i, k in enumerate(keys)]))
-    return F.coalesce(F.try_element_at(F.array(*[F.lit(k) for k in keys]), F.min(hits) + 1), F.lit(keys[0])).alias(name)
+    hit = F.try_element_at(T.found_values(keys), F.lit(1))["i"]
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(k) for k in keys]), F.min(hit) + 1), F.lit(keys[0])).alias(name)
 
 
 def proposed_keys(records: DataFrame, intent: str, hints: DataFrame | None = None) -> DataFrame:

@@ -39,13 +39,15 @@ def extract_people(records: DataFrame, intent: str, hints: DataFrame | None = No
     j = j.withColumn("action", I.sheet_action(F.lit(intent), "sheet_name")).filter(I.own_intent_allows("rec", F.lit(intent)))
 
     j = T.with_lookup(j)
-    name = F.coalesce(T.get_ci(F.col("name_key")), T.first_passing([T.get_ci(k) for k in R.NAME_KEYS], is_person_name))
+    values = lambda keys, folded=False: F.transform(T.found_values(keys, folded), lambda x: x["v"])
+    first = lambda vs, test: F.try_element_at(F.filter(vs, lambda v: v.isNotNull() & test(v)), F.lit(1))
+    name = F.coalesce(T.get_ci(F.col("name_key")), first(values(R.NAME_KEYS), is_person_name))
     cands = R.DATE_CANDIDATES[intent]
-    dates = F.transform(F.array(T.get_folded(F.col("date_key")), *[T.get_folded(k) for k in cands]), D.record_date)
+    dates = F.transform(F.concat(F.array(T.get_folded(F.col("date_key"))), values(cands, True)), D.record_date)
     when = F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
     good_id = lambda v: is_id_number(v) & ~is_person_name(v) & ~D.is_date_like(v)
-    idn = T.first_passing([T.get_ci(F.col("id_key")), *[T.get_ci(k) for k in R.ID_KEYS]], good_id)
-    reason = F.coalesce(T.get_folded(F.col("reason_key")), *[T.get_folded(k) for k in R.REASON_CANDIDATES]) if intent == "remove" else F.lit(None).cast("string")
+    idn = first(F.concat(F.array(T.get_ci(F.col("id_key"))), values(R.ID_KEYS)), good_id)
+    reason = F.coalesce(T.get_folded(F.col("reason_key")), F.try_element_at(values(R.REASON_CANDIDATES, True), F.lit(1))) if intent == "remove" else F.lit(None).cast("string")
     out = j.select(
         *LINEAGE, "sheet_name", "action", "date_key", name.alias("name"),
         F.coalesce(F.when(F.col("id_available"), idn), F.lit("")).alias("id_number"), when.alias("event_date"), F.coalesce(reason, F.lit("")).alias("reason"),
