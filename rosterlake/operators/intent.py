@@ -166,8 +166,13 @@ def filter_by_intent(records: DataFrame, intent: str, scope: list[str] | None =
     """Records that fit a form's intent. Where the strict test leaves a scope
     (each source by default) empty, the relaxed test decides; with scope [] the
     whole set falls back to all its records."""
+    return known_by_intent(with_intents(records, words), intent, scope).select(*records.columns)
+
+
+def known_by_intent(known: DataFrame, intent: str, scope: list[str] | None = None) -> DataFrame:
+    """`filter_by_intent` of records that have their signals (`with_intents`): a caller who
+    asks for several intents writes those once."""
     scope = ["source_id"] if scope is None else scope
-    known = with_intents(records, words)
     has = lambda c: F.coalesce(F.col(c) == intent, F.lit(False))
     signal = known.agg(F.coalesce(F.max(has("file_intent") | has("explicit_intent") | has("scanned_intent")), F.lit(False))).scalar()
     flagged = known.withColumn("_strict", _passes(intent, signal, True))
@@ -178,7 +183,7 @@ def filter_by_intent(records: DataFrame, intent: str, scope: list[str] | None =
     else:
         found = flagged.agg(F.coalesce(F.max("_strict"), F.lit(False))).scalar()
         kept = flagged.filter(F.col("_strict") | ~found)
-    return kept.select(*records.columns)
+    return kept.select(*known.columns)
 
 
 def own_intent_allows(rec, intent) -> Column:
@@ -210,11 +215,20 @@ def filter_conflicts(values: list[str], exclude, intent, words: IntentWords = WO
 def gate_records(records: DataFrame, keys, ratio: float = 0.4, top: int | None = None, scope: list[str] | None = None) -> DataFrame:
     """Records filling enough of the matched keys; a scope where none does keeps
     all of its own, or its best `top`. `keys` is a list, or an array column of the records."""
-    scope = ["source_id"] if scope is None else scope
+    return gate_scored(records.withColumn("filled_ratio", filled_share(keys)), ratio, top, scope)
+
+
+def filled_share(keys) -> Column:
+    """Share of the keys (a list, or an array column) that a record fills; 1 without keys."""
     keys = F.array(*[F.lit(k) for k in keys]) if isinstance(keys, (list, tuple)) else T.col(keys)
     filled = F.size(F.filter(keys, lambda k: T.is_non_empty(F.try_element_at(F.col("rec"), k))))
-    share = F.when(F.size(keys) == 0, F.lit(1.0)).otherwise(filled / F.size(keys))
-    scored = attach(records.withColumn("filled_ratio", share), scope, F.max("filled_ratio").alias("_best"))
+    return F.when(F.size(keys) == 0, F.lit(1.0)).otherwise(filled / F.size(keys))
+
+
+def gate_scored(records: DataFrame, ratio: float = 0.4, top: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """`gate_records` of records that have their filled_ratio."""
+    scope = ["source_id"] if scope is None else scope
+    scored = attach(records, scope, F.max("filled_ratio").alias("_best"))
     if top is None:
         return scored.filter((F.col("filled_ratio") >= ratio) | (F.col("_best") < ratio)).drop("_best")
     good = scored.filter(F.col("filled_ratio") >= ratio)

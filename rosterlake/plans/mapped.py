@@ -2,8 +2,9 @@
 
 A mapping is a row: its headers, constants, derived fields and record filter are map and
 array columns. So every form's records are filtered, given derived fields, gated and placed
-in one plan, whatever the number of forms. Records meet forms in blocks of records: forms,
-which are few, are copied to the blocks, and no key holds all records of an intent."""
+in one plan, whatever the number of forms; forms that treat records alike share them until
+cells are made. Records meet forms in blocks of records: forms, which are few, are copied to
+the blocks, and no key holds all records of an intent."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -105,35 +106,63 @@ def with_derived(rec, derived) -> Column:
     return F.aggregate(T.col(derived), T.col(rec), add)
 
 
+#: What a form's records depend on; forms alike in it have the same records.
+TREATMENT = ["intent", "keys", "made", "derived", "record_filter", "fee_style"]
+
+
+def alike(described_forms: DataFrame) -> DataFrame:
+    """(template_id, like): `like` is the first of the forms that treat records as this one does."""
+    known = described_forms.select("template_id", F.sha2(F.to_json(F.struct(*TREATMENT)), 256).alias("_t"))
+    return known.join(known.groupBy("_t").agg(F.min("template_id").alias("like")), "_t").select("template_id", "like")
+
+
 def form_records(records: DataFrame, described_forms: DataFrame, opts: FillOptions = FillOptions()) -> DataFrame:
     """Each form's records: of its intent, past its filter, with derived fields and the fee
-    month where a header asks for it, gated by the share of mapped keys they fill."""
+    month where a header asks for it, gated by the share of mapped keys they fill.
+
+    What depends on a record alone (its intent signals) or on record and intent (its fee
+    month) is worked out before records meet forms."""
     blocks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = {r.intent for r in described_forms.select("intent").distinct().limit(3).collect()}  # add, remove or none
     base = P.ordered(records)
-    own = [I.filter_by_intent(base, i, None, opts.words).withColumn("_intent", F.lit(i)) for i in ("add", "remove") if i in asked]
+    own = []
+    if asked & {"add", "remove"}:
+        known = checkpointed(I.with_intents(base, opts.words))
+        own = [I.known_by_intent(known, i).withColumn("_intent", F.lit(i)) for i in ("add", "remove") if i in asked]
     own += [base.withColumn("_intent", F.lit(""))] if None in asked or not own else []
-    rows = reduce(DataFrame.unionByName, own).select(*P.RECORD_LEVELS, "rec", "_intent", F.pmod(F.xxhash64(*P.RECORD_LEVELS), F.lit(blocks)).alias("_block"))
+    month = lambda intent: P.fee_month("rec", intent, opts.words).alias("_month")
+    rows = reduce(DataFrame.unionByName, [o.select(*P.RECORD_LEVELS, "rec", "_intent") for o in own])
+    rows = checkpointed(rows.select("*", F.pmod(F.xxhash64(*P.RECORD_LEVELS), F.lit(blocks)).alias("_block"), month("_intent")))
     forms = described_forms.withColumn("_intent", F.coalesce("intent", F.lit(""))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = rows.join(forms.select("template_id", "intent", "_intent", "_block", "keys", "made", "derived", "record_filter", "fee_style"), ["_intent", "_block"]).filter(passes("rec", "record_filter"))
-    month = D.format_year_month(P.fee_month("rec", "intent", opts.words), F.col("fee_style"))
-    fee = F.when(F.col("fee_style").isNotNull(), month)
-    met = met.withColumn("rec", with_derived("rec", "derived")).withColumn("_fee", fee)
+    met = rows.join(forms.select("template_id", "_intent", "_block", "keys", "made", "derived", "record_filter", "fee_style"), ["_intent", "_block"]).filter(passes("rec", "record_filter"))
+    # A derived field may be what the fee month is read from.
+    met = met.withColumn("rec", with_derived("rec", "derived"))
+    found = F.when(F.size("derived") == 0, F.col("_month")).otherwise(P.fee_month("rec", "_intent", opts.words))
+    met = met.withColumn("_fee", F.when(F.col("fee_style").isNotNull(), D.format_year_month(found, F.col("fee_style"))))
     met = met.withColumn("rec", F.when(F.col("_fee").isNull(), F.col("rec")).otherwise(F.map_concat(F.map_filter("rec", lambda k, v: k != FEE_KEY), F.create_map(F.lit(FEE_KEY), F.col("_fee")))))
-    kept = checkpointed(met.select("template_id", *P.RECORD_LEVELS, "rec", "keys", "made"))
-    return I.gate_records(kept, F.col("keys"), opts.gate_ratio, opts.gate_top, ["template_id"]).drop("filled_ratio")
+    kept = checkpointed(met.select("template_id", *P.RECORD_LEVELS, "rec", "keys", "made", I.filled_share("keys").alias("filled_ratio")))
+    return I.gate_scored(kept, opts.gate_ratio, opts.gate_top, ["template_id"]).drop("filled_ratio")
 
 
 def mapped_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, mappings: DataFrame, opts: FillOptions = FillOptions()) -> DataFrame:
     """cell_writes of all forms with a mapping. Derived keys with one value on all of a form's
     rows are written as constants; open fee-month and declare-type headers are filled as
-    `auto_fields` and the records' own months allow."""
+    `auto_fields` and the records' own months allow.
+
+    Records are chosen and placed once for all forms that treat them alike (`alike`); only
+    cells are made form by form."""
     told = checkpointed(described(columns, forms, mappings, opts))
-    rows = checkpointed(form_records(records, told, opts))
+    same = checkpointed(alike(told))
+    firsts = told.join(same.filter("template_id = like").select("template_id"), "template_id", "left_semi")
+    # `like` from here on; what is found of a form's records goes back to all forms like it.
+    placed = P.place_records(form_records(records, firsts, opts).drop("keys", "made").withColumnRenamed("template_id", "like"), ["like"])
     main = FO.main_region(columns)
+    to_forms = lambda found: same.join(found, "like").drop("like")
 
-    values = rows.select("template_id", F.explode(F.concat(F.col("made"), F.array(F.lit(FEE_KEY)))).alias("key"), "rec").select("template_id", "key", F.coalesce(T.utrim(F.try_element_at("rec", F.col("key"))), F.lit("")).alias("v"))
-    seen = checkpointed(values.groupBy("template_id", "key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    # Derived values are months: few, so distinct ones are taken before anything is compared.
+    made = firsts.select(F.col("template_id").alias("like"), F.explode(F.array_distinct(F.concat(F.col("made"), F.array(F.lit(FEE_KEY))))).alias("key"))
+    values = placed.join(made, "like").select("like", "key", F.coalesce(T.utrim(F.try_element_at("rec", F.col("key"))), F.lit("")).alias("v")).distinct()
+    seen = to_forms(checkpointed(values.groupBy("like", "key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))))
     fixed = seen.filter((F.col("key") != FEE_KEY) & (F.col("lo") == F.col("hi")) & (F.col("lo") != "")).select("template_id", "key", F.col("lo").alias("value"))
     has_fee = seen.filter((F.col("key") == FEE_KEY) & (F.col("hi") != "")).select("template_id")
 
@@ -146,8 +175,11 @@ def mapped_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, mappin
 
     heads = mapping.select("template_id", "header").unionByName(constants.select("template_id", "header"))
     taken = FO.lookup_headers(heads, FO.header_lookup(main)).filter("col_index IS NOT NULL").join(main.select("template_id", "col_index", "header_path"), ["template_id", "col_index"]).select("template_id", "header_path").distinct()
-    at = F.struct(*P.RECORD_LEVELS, "idx")
-    keys = rows.select("template_id", *P.RECORD_LEVELS, F.posexplode(F.map_keys("rec")).alias("idx", "key")).filter(F.col("key") != FEE_KEY).groupBy("template_id", "key").agg(F.min(at).alias("seen"))
+    # Records have few lists of keys: each is taken once, by its first record. Written, so
+    # that no test of the keys' names is moved below the grouping, to every record.
+    shapes = placed.groupBy("like", F.map_keys("rec").alias("shape")).agg(F.min("pos").alias("pos"))
+    keys = shapes.select("like", "pos", F.posexplode("shape").alias("idx", "key")).filter(F.col("key") != FEE_KEY).groupBy("like", "key").agg(F.min(F.struct("pos", "idx")).alias("seen"))
+    keys = to_forms(checkpointed(keys))
     styles = told.select("template_id", F.coalesce("fee_style", F.lit(DEFAULT_STYLE)).alias("style"))
     mapped = main.join(told.select("template_id"), "template_id", "left_semi")
     auto = checkpointed(P.auto_fields(mapped, keys, records, styles, told.select("template_id", "intent"), taken, opts.words))
@@ -155,7 +187,7 @@ def mapped_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, mappin
     constants = constants.unionByName(auto.filter("key IS NULL").select("template_id", F.col("header_path").alias("header"), F.col("constant").alias("value"), ((1 << 21) + F.col("col_index")).alias("ord")))
 
     plan = checkpointed(P.column_plan(mapping, columns, constants, opts))
-    return P.plan_cells(P.place_records(rows.drop("keys", "made"), ["template_id"]), plan, columns)
+    return P.plan_cells(placed, plan.join(same, "template_id"), columns, by=("template_id", "like"))
 
 
 def mapping_warnings(replies: DataFrame, columns: DataFrame, forms: DataFrame, opts: FillOptions = FillOptions()) -> DataFrame:
