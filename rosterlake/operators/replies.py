@@ -168,36 +168,63 @@ def explode_records(bodies: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ mapping fields
-def column_mapping(c) -> Column:
-    """header → key map of a reply: `column_mapping` or the reply itself."""
-    members = F.from_json(F.when(json_kind(c) == "object", T.col(c)), "map<string,string>")
-    inner = F.try_element_at(members, F.lit("column_mapping"))
-    chosen = F.when(F.map_contains_key(members, "column_mapping"), F.from_json(F.when(json_kind(inner) == "object", inner), "map<string,string>")).otherwise(members)
+_MAP = "map<string,string>"
+
+
+def _members(c) -> Column:
+    """Members of a reply that is an object; each is looked up in the one parsed map."""
+    return F.from_json(F.when(json_kind(c) == "object", T.col(c)), _MAP)
+
+
+def _object(text: Column, schema: str) -> Column:
+    return T.let(text, lambda t: F.from_json(F.when(json_kind(t) == "object", t), schema))
+
+
+def _columns(members: Column) -> Column:
+    inner = _object(F.try_element_at(members, F.lit("column_mapping")), _MAP)
+    chosen = F.when(F.map_contains_key(members, "column_mapping"), inner).otherwise(members)
     plain = lambda v: F.coalesce(~F.substring(T.utrim(v), 1, 1).isin("{", "["), F.lit(False))
     kept = F.map_filter(chosen, lambda k, v: ~k.isin("column_mapping", "constant_values") & T.is_non_empty(k) & T.is_non_empty(v) & plain(v))
     return F.transform_values(F.transform_keys(kept, lambda k, v: T.utrim(k)), lambda k, v: T.utrim(v))
 
 
+def _constants(members: Column) -> Column:
+    kept = F.map_filter(_object(F.try_element_at(members, F.lit("constant_values")), _MAP), lambda k, v: T.is_non_empty(k) & v.isNotNull())
+    return F.coalesce(F.transform_keys(kept, lambda k, v: T.utrim(k)), F.create_map().cast(_MAP))
+
+
+def _filter(members: Column) -> Column:
+    def checked(s):
+        ok = T.is_non_empty(s["field"]) & (F.size(s["values"]) > 0)
+        return F.when(
+            ok,
+            F.struct(
+                T.utrim(s["field"]).alias("field"),
+                F.transform(F.filter(s["values"], lambda v: v.isNotNull()), T.utrim).alias("values"),
+                F.coalesce(s["exclude"], F.lit(False)).alias("exclude"),
+            ),
+        )
+
+    return T.let(_object(F.try_element_at(members, F.lit("record_filter")), "field string, values array<string>, exclude boolean"), checked)
+
+
+def column_mapping(c) -> Column:
+    """header → key map of a reply: `column_mapping` or the reply itself."""
+    return T.let(_members(c), _columns)
+
+
 def constant_values(c) -> Column:
-    inner = json_member(c, "constant_values")
-    m = F.from_json(F.when(json_kind(inner) == "object", inner), "map<string,string>")
-    kept = F.map_filter(m, lambda k, v: T.is_non_empty(k) & v.isNotNull())
-    return F.coalesce(F.transform_keys(kept, lambda k, v: T.utrim(k)), F.create_map().cast("map<string,string>"))
+    return T.let(_members(c), _constants)
 
 
 def record_filter(c) -> Column:
     """struct(field, values, exclude), or null when incomplete."""
-    inner = json_member(c, "record_filter")
-    s = F.from_json(F.when(json_kind(inner) == "object", inner), "field string, values array<string>, exclude boolean")
-    ok = T.is_non_empty(s["field"]) & (F.size(s["values"]) > 0)
-    return F.when(
-        ok,
-        F.struct(
-            T.utrim(s["field"]).alias("field"),
-            F.transform(F.filter(s["values"], lambda v: v.isNotNull()), T.utrim).alias("values"),
-            F.coalesce(s["exclude"], F.lit(False)).alias("exclude"),
-        ),
-    )
+    return T.let(_members(c), _filter)
+
+
+def mapping_parts(c) -> Column:
+    """struct(columns, constants, record_filter) of a reply that is parsed once."""
+    return T.let(_members(c), lambda m: F.struct(_columns(m).alias("columns"), _constants(m).alias("constants"), _filter(m).alias("record_filter")))
 
 
 YEAR_MONTH_STYLES = ("from_template_sample", "YYYYMM", "YYYY-MM", "YYYY/MM", "YYYY年MM月")

@@ -262,9 +262,9 @@ def _mappings(t):
   CASE WHEN event_id % 4 < 2 THEN concat('kind:', event_type, ',2:true') END AS record_filter FROM {events}""")
 def reply_mapping(t):
     flat = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    rf = Q.record_filter("json")
-    return _mappings(t).select(
-        "event_id", flat(Q.column_mapping("json")).alias("columns"), flat(Q.constant_values("json")).alias("constants"),
+    rf = F.col("p.record_filter")
+    return _mappings(t).select("event_id", Q.mapping_parts("json").alias("p")).select(
+        "event_id", flat(F.col("p.columns")).alias("columns"), flat(F.col("p.constants")).alias("constants"),
         F.when(rf.isNotNull(), F.concat(rf["field"], F.lit(":"), F.array_join(rf["values"], ","), F.lit(":"), rf["exclude"].cast("string"))).alias("record_filter"),
     )
 
