@@ -1,7 +1,7 @@
 """Whole jobs: files to records, records to form cells. Nothing is collected."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -61,15 +61,22 @@ def read_sheets(cells: DataFrame, sources: DataFrame | None = None, opts: SheetO
     every = C.records_from_cells(cells, layout, named, sources, opts, flag_demo=True)
     every = checkpointed(every) if keep else every
     recs, demo = every.filter("NOT is_demo").drop("is_demo"), every.filter("is_demo")
+    whole = SheetsRead(recs, cells, layout, coverage, layout.select(*SHEET), demo)
     if mode == "all":
-        return SheetsRead(recs, cells, layout, coverage, layout.select(*SHEET), demo)
-    chosen = C.choose_sheets(C.rank_sheets(cells, opts), mode, preferred)
-    chosen = checkpointed(chosen) if keep else chosen
-    picked = recs.join(chosen, SHEET, "left_semi")
-    if mode == "single":
-        return SheetsRead(picked, cells, layout, coverage, chosen, demo)
-    rest = recs.join(picked.select("source_id").distinct(), "source_id", "left_anti")
-    return SheetsRead(picked.unionByName(rest), cells, layout, coverage, chosen, demo)
+        return whole
+    ranks = C.rank_sheets(cells, opts)
+    return in_mode(whole, checkpointed(ranks) if keep else ranks, mode, preferred)
+
+
+def in_mode(whole: SheetsRead, ranks: DataFrame, mode: str = "auto", preferred: str | None = None) -> SheetsRead:
+    """What a mode takes of sheets read whole (`read_sheets` in mode "all"): several modes
+    share the reading and the ranks (`rank_sheets`)."""
+    chosen = C.choose_sheets(ranks, mode, preferred)
+    picked = whole.records.join(chosen, SHEET, "left_semi")
+    if mode != "single":
+        rest = whole.records.join(picked.select("source_id").distinct(), "source_id", "left_anti")
+        picked = picked.unionByName(rest)
+    return replace(whole, records=picked, chosen=chosen)
 
 
 def sheet_records(cells: DataFrame, sources: DataFrame | None = None, opts: SheetOptions = SheetOptions(), mode: str = "auto", preferred: str | None = None, proposed: DataFrame | None = None) -> DataFrame:

@@ -1,10 +1,10 @@
 """Queries for cells, header detection, column naming and sheet records."""
 from pyspark.sql import functions as F
 
-from ..common import SHEET
+from ..common import SHEET, checkpointed
 from ..operators import naming as N
 from ..operators import sheets as C
-from ..plans.intake import sheet_records
+from ..plans.intake import in_mode, read_sheets, sheet_records
 from ..sources import sinks as K
 from . import recipes as R
 from .derive import sheet_cells
@@ -224,8 +224,10 @@ def cells_to_records(t):
 
 @query("sheet_modes", _RANK + f", r AS ({_REC_SQL}) SELECT 'single' AS mode, count(*) AS n FROM r JOIN rk USING (source_id, sheet_idx) WHERE best_rank = 1 UNION ALL SELECT 'auto', count(*) FROM r JOIN rk USING (source_id, sheet_idx) WHERE useful")
 def sheet_modes(t):
-    cells = sheet_cells(t)
-    count = lambda m: sheet_records(cells, mode=m).agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("mode"), "n")
+    cells = checkpointed(sheet_cells(t))
+    whole = read_sheets(cells, mode="all", keep=True)
+    ranks = checkpointed(C.rank_sheets(cells))
+    count = lambda m: in_mode(whole, ranks, m).records.agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("mode"), "n")
     return count("single").unionByName(count("auto"))
 
 
