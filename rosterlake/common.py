@@ -91,6 +91,13 @@ def positions(df: DataFrame, group: list[str], levels: list[str], order: list, n
     return dealt.join(shift, [*group, "_range"]).withColumn(name, F.col("_place") + F.col("_shift")).drop("_place", "_range", "_shift")
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters find worked out, with all it is made of. A plain
+    column would be put into the filter again with everything it mentions, and that filter
+    below the columns, which are then worked out once more for the rows that pass."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`. Where that is unset, a
     session in one process (as in tests) gets a folder of its own; a cluster, whose

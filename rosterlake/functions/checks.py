@@ -80,6 +80,13 @@ def date_score(c) -> Column:
 
 SCORES = {"name": name_score, "id": id_score, "date": date_score}
 
+#: Whether a trimmed text's score is 0.5 or more, in a look or two instead of one a grade.
+LOOKS = {
+    "name": lambda v: v.rlike(rf"^{HAN}{{1,6}}$|^[A-Za-z\s]{{2,}}$") & ~is_gender(v),
+    "id": lambda v: v.rlike(r"^[0-9]{4,}$|^[0-9]{17}[0-9Xx]$"),
+    "date": lambda v: is_date_like(v) | record_date(v).isNotNull(),
+}
+
 
 def row_errors(name, id_number, declare_type, fee_month, expected) -> Column:
     """Why a form row is not acceptable; an empty array means it is."""

@@ -129,10 +129,15 @@ def _week_date(t: Column) -> Column:
     return F.when(F.contains(t, F.lit("W")), F.when(ok, F.date_add(monday, day - 1)))
 
 
+#: How every text begins that one of the layouts takes: others are left after one look.
+_DATED = r"^[0-9]{4}(?:[-/][0-9]|[0-9]{4}|-?W)"
+
+
 def record_date(text) -> Column:
     """ISO date or date-time, week date, `Y-M-D`, `Y/M/D` or `YYYYMMDD`."""
     t = utrim(text)
-    return F.coalesce(_date_by(t, _ISO_STAMP), _date_by(t, _LOOSE), _date_by(t, _COMPACT_STAMP), _week_date(t))
+    read = F.coalesce(_date_by(t, _ISO_STAMP), _date_by(t, _LOOSE), _date_by(t, _COMPACT_STAMP), _week_date(t))
+    return F.when(t.rlike(_DATED), read)
 
 
 def record_date_of_number(n) -> Column:

@@ -124,7 +124,8 @@ def fold_profile(c) -> Column:
 
 
 def fold_record_key(c) -> Column:
-    return F.translate(fold_profile(c), "_", "")
+    """`fold_profile` without underscores, in one pass over the text."""
+    return F.translate(F.lower(F.coalesce(col(c), F.lit(""))), "\u3000 /\\_", "")
 
 
 def header_variants(c) -> Column:
@@ -367,7 +368,9 @@ def _rekeyed(rec: Column, fold) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(ks) - 1), lambda i: F.array_position(ks, F.element_at(ks, i + 1)) == i + 1)
         pick = lambda arr: F.transform(first, lambda i: F.element_at(arr, i + 1))
         distinct = F.size(F.array_distinct(ks)) == F.size(ks)
-        return F.when(F.size(ks) > 0, F.when(distinct, F.map_from_arrays(ks, F.map_values(rec))).otherwise(F.map_from_arrays(pick(ks), pick(F.map_values(rec)))))
+        built = F.when(distinct, F.map_from_arrays(ks, F.map_values(rec))).otherwise(F.map_from_arrays(pick(ks), pick(F.map_values(rec))))
+        # A record whose keys are folded already is its own lookup.
+        return F.when(F.size(ks) > 0, F.when(ks == F.map_keys(rec), rec).otherwise(built))
 
     return let(F.transform(F.map_keys(rec), fold), build)
 
@@ -406,7 +409,10 @@ def found_values(keys, folded: bool = False) -> Column:
         return F.try_element_at(F.filter(F.array(*[utrim(v) for v in tried]), lambda v: v != ""), F.lit(1))
 
     present = F.filter(cands, lambda c: F.coalesce(F.map_contains_key(F.col("_folded"), c["fold"]), F.lit(False)))
-    return F.filter(F.transform(present, lambda c: F.struct(c["i"].alias("i"), value(c).alias("v"))), lambda x: x["v"].isNotNull())
+    found = F.filter(F.transform(present, lambda c: F.struct(c["i"].alias("i"), value(c).alias("v"))), lambda x: x["v"].isNotNull())
+    # Records with none of the candidates are told by one look at their keys.
+    some = F.arrays_overlap(F.map_keys("_folded"), F.array(*[fold_record_key(F.lit(k)) for k in keys]))
+    return F.when(some, found).otherwise(F.array().cast("array<struct<i:int,v:string>>"))
 
 
 def stringify_record(rec) -> Column:

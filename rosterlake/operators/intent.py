@@ -189,7 +189,7 @@ def known_by_intent(known: DataFrame, intent: str, scope: list[str] | None = Non
 def own_intent_allows(rec, intent) -> Column:
     """A record that states its intent must state the wanted one."""
     own = F.coalesce(F.try_element_at(T.col(rec), F.lit("intent")), F.lit(""))
-    return (own == "") | (own == T.col(intent)) | ~T.col(intent).isin("add", "remove")
+    return own.isin(F.lit(""), T.col(intent)) | ~T.col(intent).isin("add", "remove")
 
 
 def filter_by_field(records: DataFrame, field: str, values: list[str], exclude: bool = False) -> DataFrame:

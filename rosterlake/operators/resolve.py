@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..common import attach, best_per_group, checkpointed, first_k
 from ..functions import text as T
-from ..functions.checks import SCORES, is_national_id, is_person_name
+from ..functions.checks import LOOKS, SCORES, is_national_id, is_person_name
 from ..functions.dates import record_date
 from ..options import IntentWords
 
 RECORD_ORDER = ["sheet_idx", "row_idx"]
+#: Stands for a missing sheet or row: before all others, as null is.
+_NO_PLACE = 1 - (1 << 31)
 
 
 # ------------------------------------------------------------------ dedupe
@@ -165,61 +167,98 @@ def top_sources(scores: DataFrame, k: int | None = None) -> DataFrame:
     return first_k(pool, ["intent"], order, k)
 
 
+def listed_sources(records: DataFrame) -> DataFrame:
+    """`top_sources` of any intent where no number is given: which sources are excluded
+    depends on their file names alone, so nothing is scored."""
+    each = records.groupBy("source_id", "source_file").agg(F.max(F.size("rec") > 0).alias("has_keys"))
+    per = each.groupBy("source_id").agg(F.max("source_file").alias("source_file"), F.max("has_keys").alias("has_keys"))
+    seen = checkpointed(per.filter("source_id IS NOT NULL AND has_keys").select("source_id", is_excluded_file("source_file").alias("excluded")))
+    return seen.filter(~F.col("excluded") | seen.agg(F.min("excluded")).scalar()).select("source_id")
+
+
 # -------------------------------------------------------------- field types
-def field_type_scores(records: DataFrame) -> DataFrame:
-    """Per source, key and type: share of non-blank values that look right, over
-    all records: one hash aggregate, no window."""
-    spread = records.select("source_id", *RECORD_ORDER, F.posexplode(F.map_entries("rec")).alias("key_idx", "e"))
-    value = F.coalesce(T.utrim(F.col("e")["value"]), F.lit(""))
-    scored = spread.filter(value != "").select(
-        "source_id", F.col("e")["key"].alias("key"),
-        *[score(value).alias(kind) for kind, score in SCORES.items()],
-    )
-    good = lambda k: F.avg(F.when(F.col(k) >= 0.5, 1.0).otherwise(0.0))
-    seen = spread.groupBy("source_id", F.col("e")["key"].alias("key")).agg(F.min(F.struct(*RECORD_ORDER, "key_idx")).alias("seen"))
-    stats = scored.groupBy("source_id", "key").agg(*[good(k).alias(k) for k in SCORES])
-    return seen.join(stats, ["source_id", "key"], "left").fillna(0.0, list(SCORES))
+def folds_alike(rec) -> Column:
+    """The record has keys that are equal when folded."""
+    return F.size(F.array_distinct(F.transform(F.map_keys(T.col(rec)), T.fold_record_key))) < F.size(rec)
 
 
-def choose_date_key(records: DataFrame, intent: str) -> DataFrame:
-    """Per source the date key of an intent: for removals any key starting with
-    enddate, then terminationdate; else the first candidate with a value."""
-    cands = R.DATE_CANDIDATES[intent]
-    have = T.with_lookup(records.select("source_id", *RECORD_ORDER, "rec")).select(
-        "source_id", *RECORD_ORDER, F.map_entries("rec").alias("es"),
-        F.try_element_at(T.found_values(cands, folded=True), F.lit(1))["i"].alias("hit"),
-    )
-    starts = lambda w: F.try_element_at(
-        F.filter(F.transform("es", lambda e: e["key"]), lambda k: F.startswith(T.fold_record_key(k), F.lit(w))), F.lit(1)
+def _key_scores(records: DataFrame) -> DataFrame:
+    """`field_type_scores` with `told`: a record whose keys fold to different ones has a value
+    under the key. A source without any key has a row without one."""
+    spread = records.select(
+        "source_id", *[F.coalesce(c, F.lit(_NO_PLACE)).cast("long").alias(c) for c in RECORD_ORDER],
+        (~folds_alike("rec")).alias("plain"), F.posexplode_outer(F.map_entries("rec")).alias("key_idx", "e"),
     )
-    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.struct(*RECORD_ORDER)))
-    per = have.groupBy("source_id").agg(
-        first(starts("enddate")).alias("forced_end"), first(starts("terminationdate")).alias("forced_term"),
-        F.min("hit").alias("cand"),
+    # Sheet and row as one number: numbers are gathered by hashing, structs by sorting every
+    # value of every record.
+    texts = spread.select(
+        "source_id", "plain", F.col("e")["key"].alias("key"), "key_idx", (F.shiftleft("sheet_idx", 32) + F.col("row_idx")).alias("at"),
+        F.coalesce(T.utrim(F.col("e")["value"]), F.lit("")).alias("value"),
     )
-    names = F.array(*[F.lit(k) for k in cands])
-    found = F.try_element_at(names, F.col("cand") + 1)
-    forced = F.coalesce("forced_end", "forced_term") if intent == "remove" else F.lit(None).cast("string")
-    reason = (
-        F.when(F.lit(intent == "remove") & F.col("forced_end").isNotNull(), F.lit("forced_end_date"))
-        .when(F.lit(intent == "remove") & F.col("forced_term").isNotNull(), F.lit("forced_termination"))
-        .when(found.isNotNull(), F.lit("found"))
-        .otherwise(F.lit(f"required_field_missing:{cands[0]}"))
+    looks = texts.select("source_id", "plain", "key", "key_idx", "at", (F.col("value") != "").alias("filled"), *[look(F.col("value")).alias(kind) for kind, look in LOOKS.items()])
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    each = looks.groupBy("source_id", "key", "key_idx").agg(
+        F.min("at").alias("at"), count(F.col("filled")).alias("filled"), F.max(F.col("filled") & F.col("plain")).alias("told"), *[count(F.col(k)).alias(k) for k in LOOKS]
     )
-    return per.select("source_id", F.coalesce(forced, found).alias("date_key"), reason.alias("date_key_reason"))
+    sheet = F.shiftright(F.col("at") + (1 << 31), 32)
+    seen = F.struct(sheet.cast("int").alias("sheet_idx"), (F.col("at") - F.shiftleft(sheet, 32)).cast("int").alias("row_idx"), "key_idx")
+    share = lambda k: F.coalesce(F.try_divide(F.sum(k).cast("double"), F.sum("filled").cast("double")), F.lit(0.0))
+    return each.groupBy("source_id", "key").agg(F.min(seen).alias("seen"), *[share(k).alias(k) for k in LOOKS], F.coalesce(F.max("told"), F.lit(False)).alias("told"))
 
 
-def _first_present(keys, name: str) -> Column:
-    """Aggregate: first key of a list with a value in a group of records."""
-    hit = F.try_element_at(T.found_values(keys), F.lit(1))["i"]
-    return F.coalesce(F.try_element_at(F.array(*[F.lit(k) for k in keys]), F.min(hit) + 1), F.lit(keys[0])).alias(name)
+def field_type_scores(records: DataFrame) -> DataFrame:
+    """Per source, key and type: share of non-blank values that look right, over
+    all records: hash aggregates of numbers, no window."""
+    return _key_scores(records).filter("key IS NOT NULL").drop("told")
+
 
+def gathered_keys(records: DataFrame) -> DataFrame:
+    """Each source's keys with their scores in first-seen order, one array (`ks`) a source."""
+    one = F.when(F.col("key").isNotNull(), F.struct("seen", "key", *LOOKS, "told"))
+    return _key_scores(records).groupBy("source_id").agg(F.array_sort(F.collect_list(one)).alias("ks"))
 
-def proposed_keys(records: DataFrame, intent: str, hints: DataFrame | None = None) -> DataFrame:
+
+def key_facts(records: DataFrame, intents: list[str]) -> DataFrame:
+    """Per source its `gathered_keys`, the first usual name and id key with a value, and for
+    each intent the date key and why (`date_key_add`, `date_reason_add`).
+
+    Which candidates have values is told by the source's keys. Only where a record has keys
+    folding alike does one hide another, so candidates are looked up in those records."""
+    lists = {"_name": (R.NAME_KEYS, False), "_id": (R.ID_KEYS, False), **{f"_date_{i}": (R.DATE_CANDIDATES[i], True) for i in intents}}
+    odd = T.with_lookup(records.filter(folds_alike("rec")).select("source_id", "rec"))
+    looked = odd.select("source_id", *[F.try_element_at(T.found_values(keys, folded), F.lit(1))["i"].alias(c) for c, (keys, folded) in lists.items()])
+    looked = looked.groupBy("source_id").agg(*[F.min(c).alias(c) for c in lists])
+
+    def place(keys, folded):
+        fold = T.fold_record_key if folded else F.lower
+        at = lambda x: F.nullif(F.array_position(F.array(*[fold(F.lit(k)) for k in keys]), fold(x["key"])), F.lit(0)).cast("int") - 1
+        return F.array_min(F.transform(F.filter("ks", lambda x: x["told"]), at))
+
+    own = gathered_keys(records).select("*", *[place(*v).alias(f"{c}_own") for c, v in lists.items()]).join(looked, "source_id", "left")
+    key = lambda c: F.try_element_at(F.array(*[F.lit(k) for k in lists[c][0]]), F.least(c, f"{c}_own") + 1)
+    out = own.withColumn("name_key", F.coalesce(key("_name"), F.lit(R.NAME_KEYS[0]))).withColumn("id_key", F.coalesce(key("_id"), F.lit(R.ID_KEYS[0])))
+    for i in intents:
+        found, missing = key(f"_date_{i}"), F.lit(f"required_field_missing:{R.DATE_CANDIDATES[i][0]}")
+        # For removals the first key of a record is taken, whether it has a value or not.
+        starts = lambda w: F.try_element_at(F.filter(F.transform("ks", lambda x: x["key"]), lambda k: F.startswith(T.fold_record_key(k), F.lit(w))), F.lit(1))
+        end, term = (starts(w) if i == "remove" else F.lit(None).cast("string") for w in ("enddate", "terminationdate"))
+        reason = F.when(end.isNotNull(), F.lit("forced_end_date")).when(term.isNotNull(), F.lit("forced_termination")).when(found.isNotNull(), F.lit("found")).otherwise(missing)
+        out = out.withColumn(f"date_key_{i}", F.coalesce(end, term, found)).withColumn(f"date_reason_{i}", reason)
+    return out.select("source_id", "ks", "name_key", "id_key", *[f"date_{c}_{i}" for i in intents for c in ("key", "reason")])
+
+
+def choose_date_key(records: DataFrame, intent: str) -> DataFrame:
+    """Per source the date key of an intent: for removals any key starting with
+    enddate, then terminationdate; else the first candidate with a value."""
+    return key_facts(records, [intent]).select("source_id", F.col(f"date_key_{intent}").alias("date_key"), F.col(f"date_reason_{intent}").alias("date_key_reason"))
+
+
+def proposed_keys(records: DataFrame, intent: str, hints: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
     """name_key, id_key and date_key proposed per source; hints(source_id,
-    name_key, id_key, date_key) are used where no usual key is present."""
-    first = T.with_lookup(records).groupBy("source_id").agg(_first_present(R.NAME_KEYS, "name_key"), _first_present(R.ID_KEYS, "id_key"))
-    out = first.join(choose_date_key(records, intent), "source_id", "left")
+    name_key, id_key, date_key) are used where no usual key is present. `facts` are the
+    records' `key_facts` where a caller has them."""
+    facts = key_facts(records, [intent]) if facts is None else facts
+    out = facts.select("source_id", "name_key", "id_key", F.col(f"date_key_{intent}").alias("date_key"), F.col(f"date_reason_{intent}").alias("date_key_reason"))
     if hints is not None:
         h = hints.select("source_id", F.nullif("name_key", F.lit("")).alias("hn"), F.nullif("id_key", F.lit("")).alias("hi"), F.nullif("date_key", F.lit("")).alias("hd"))
         present = records.join(h.filter("hd IS NOT NULL").select("source_id", "hd"), "source_id").groupBy("source_id").agg(
@@ -233,15 +272,12 @@ def proposed_keys(records: DataFrame, intent: str, hints: DataFrame | None = Non
     return out
 
 
-def fix_keys(records: DataFrame, proposed: DataFrame, intent: str) -> DataFrame:
+def fix_keys(records: DataFrame, proposed: DataFrame, intent: str, per: DataFrame | None = None) -> DataFrame:
     """Check the proposed keys against the values and repair them: name first,
     then id (not the name key), then date (neither). What is gathered per source is
-    its keys, a row each."""
-    scores = field_type_scores(records)
-    per = scores.groupBy("source_id").agg(
-        F.array_sort(F.collect_list(F.struct("seen", "key", *SCORES))).alias("ks")
-    )
-    base = proposed.join(per, "source_id", "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<seen:struct<sheet_idx:int,row_idx:int,key_idx:int>,key:string,name:double,id:double,date:double>>")))
+    its keys, a row each; `per` are the records' `gathered_keys` where a caller has them."""
+    per = gathered_keys(records) if per is None else per
+    base = proposed.join(per, "source_id", "left").withColumn("ks", F.coalesce("ks", F.array().cast("array<struct<seen:struct<sheet_idx:int,row_idx:int,key_idx:int>,key:string,name:double,id:double,date:double,told:boolean>>")))
 
     def own(kind, key):
         # The proposed key is looked up exactly, else in lower case.

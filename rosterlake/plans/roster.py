@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..common import checkpointed, positions
+from ..common import checkpointed, positions, settled
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions.checks import final_guard, is_digits, is_id_number, is_person_name, row_errors
@@ -26,28 +26,48 @@ ORDER = ["parent_source_id", "source_type", "source_file", "source_id", "sheet_i
 LINEAGE = [*ORDER]
 
 
+def intent_keys(records: DataFrame, intents: list[str], hints: DataFrame | None = None) -> DataFrame:
+    """Name, id and date key per source and intent: what is read of the records for it is
+    the same for all intents and read once."""
+    facts = checkpointed(S.key_facts(records, intents))
+    per = facts.select("source_id", "ks")
+    one = lambda i: S.fix_keys(records, S.proposed_keys(records, i, hints, facts), i, per).withColumn("intent", F.lit(i))
+    return reduce(DataFrame.unionByName, [one(i).select("source_id", "intent", *KEYS) for i in intents])
+
+
+KEYS = ["name_key", "id_key", "date_key", "id_available"]
+
+
 def extract_people(records: DataFrame, intent: str, hints: DataFrame | None = None) -> DataFrame:
     """One row per record with name, id, event date and reason, or the reason
     it is skipped. Keys are chosen and repaired per source."""
-    keys = S.fix_keys(records, S.proposed_keys(records, intent, hints), intent)
-    cols = ["source_id", "name_key", "id_key", "date_key", "id_available"]
-    j = ordered(records).join(keys.select(*cols), "source_id")
+    return _people(records, intent, intent_keys(records, [intent], hints), hints)
+
+
+def _people(records: DataFrame, intent: str, keys: DataFrame, hints: DataFrame | None = None, kept: bool = False) -> DataFrame:
+    """`extract_people` with the keys of the intent's sources. With `kept`, records whose
+    sheet or source rules them out are left before anything is read of them."""
+    j = ordered(records).join(keys.select("source_id", *KEYS), "source_id")
     if hints is not None:
         j = j.join(hints.select("source_id", F.nullif("reason_key", F.lit("")).alias("reason_key")), "source_id", "left")
     else:
         j = j.withColumn("reason_key", F.lit(None).cast("string"))
     j = j.withColumn("action", I.sheet_action(F.lit(intent), "sheet_name")).filter(I.own_intent_allows("rec", F.lit(intent)))
+    if kept:
+        j = j.filter("action <> 'blocked' AND date_key IS NOT NULL")
 
     j = T.with_lookup(j)
     values = lambda keys, folded=False: F.transform(T.found_values(keys, folded), lambda x: x["v"])
     first = lambda vs, test: F.try_element_at(F.filter(vs, lambda v: v.isNotNull() & test(v)), F.lit(1))
     name = F.coalesce(T.get_ci(F.col("name_key")), first(values(R.NAME_KEYS), is_person_name))
     cands = R.DATE_CANDIDATES[intent]
-    dates = F.transform(F.concat(F.array(T.get_folded(F.col("date_key"))), values(cands, True)), D.record_date)
-    when = F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
+    # The source's own keys mostly decide; the other candidates are looked up where they don't.
+    dates = F.transform(values(cands, True), D.record_date)
+    when = F.coalesce(D.record_date("_date"), F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1)))
     good_id = lambda v: is_id_number(v) & ~is_person_name(v) & ~D.is_date_like(v)
-    idn = first(F.concat(F.array(T.get_ci(F.col("id_key"))), values(R.ID_KEYS)), good_id)
+    idn = F.coalesce(F.when(F.col("_id").isNotNull() & good_id(F.col("_id")), F.col("_id")), first(values(R.ID_KEYS), good_id))
     reason = F.coalesce(T.get_folded(F.col("reason_key")), F.try_element_at(values(R.REASON_CANDIDATES, True), F.lit(1))) if intent == "remove" else F.lit(None).cast("string")
+    j = j.withColumn("_date", T.get_folded(F.col("date_key"))).withColumn("_id", T.get_ci(F.col("id_key")))
     out = j.select(
         *LINEAGE, "sheet_name", "action", "date_key", name.alias("name"),
         F.coalesce(F.when(F.col("id_available"), idn), F.lit("")).alias("id_number"), when.alias("event_date"), F.coalesce(reason, F.lit("")).alias("reason"),
@@ -59,18 +79,31 @@ def extract_people(records: DataFrame, intent: str, hints: DataFrame | None = No
         .when(~is_person_name("name"), F.lit("name_invalid"))
         .when(F.col("event_date").isNull(), F.lit("no_date"))
     )
-    return out.withColumn("skipped", skip)
+    return settled(out, "skipped", skip)
 
 
 def roster_people(records: DataFrame, intent: str, opts: FillOptions = FillOptions(), hints: DataFrame | None = None) -> DataFrame:
     """People of the intent's sources (all that are not excluded, or the best few if
     the options say so), one row each."""
-    # A handful of source ids: kept as a table, so everything after it reads
-    # only their records.
-    top = checkpointed(S.top_sources(S.score_sources(records, (intent,)), opts.max_sources).select("source_id"))
-    chosen = records.join(top, "source_id", "left_semi")
-    people = extract_people(chosen, intent, hints).filter("skipped IS NULL")
-    return S.dedupe_people(people.drop("skipped", "action", "date_key", "sheet_name"), ORDER, opts.name_only_dedupe)
+    return roster_people_of(records, [intent], opts, hints)[intent]
+
+
+def roster_people_of(records: DataFrame, intents: list[str], opts: FillOptions = FillOptions(), hints: DataFrame | None = None) -> dict[str, DataFrame]:
+    """`roster_people` of each intent. Sources and keys, a row a source, are written once, so
+    that each intent then reads only the records of its sources that have a date key."""
+    if opts.max_sources is None:
+        top = S.listed_sources(records)
+        keys = checkpointed(intent_keys(records.join(top, "source_id", "left_semi"), intents, hints))
+    else:
+        best = checkpointed(S.top_sources(S.score_sources(records, intents), opts.max_sources).select("intent", "source_id"))
+        keys = checkpointed(intent_keys(records.join(best.select("source_id").distinct(), "source_id", "left_semi"), intents, hints).join(best, ["intent", "source_id"], "left_semi"))
+
+    def one(intent):
+        own = keys.filter((F.col("intent") == intent) & F.col("date_key").isNotNull())
+        people = _people(records, intent, own, hints, kept=True).filter("skipped IS NULL")
+        return S.dedupe_people(people.drop("skipped", "action", "date_key", "sheet_name"), ORDER, opts.name_only_dedupe)
+
+    return {i: one(i) for i in intents}
 
 
 def check_rows(people: DataFrame, intent: str, fmt: str = "YYYYMM") -> DataFrame:
@@ -78,12 +111,9 @@ def check_rows(people: DataFrame, intent: str, fmt: str = "YYYYMM") -> DataFrame
     is empty for rows that may be written."""
     declare = "增" if intent == "add" else "减"
     rows = people.withColumn("declare_type", F.lit(declare)).withColumn("fee_month", D.next_month("event_date", fmt)).withColumn("_g", final_guard("name", "id_number"))
-    errors = row_errors("name", F.col("_g")["id_number"], "declare_type", "fee_month", declare)
-    return (
-        rows.withColumn("id_number", F.col("_g")["id_number"])
-        .withColumn("errors", F.when(F.col("_g")["rejected"], F.array_prepend(errors, F.col("_g")["warning"])).otherwise(errors))
-        .withColumn("warning", F.col("_g")["warning"]).drop("_g")
-    )
+    rows = rows.withColumn("id_number", F.col("_g")["id_number"]).withColumn("warning", F.col("_g")["warning"]).withColumn("_rejected", F.col("_g")["rejected"])
+    both = F.concat(F.when(F.col("_rejected"), F.array("warning")).otherwise(F.array().cast("array<string>")), row_errors("name", "id_number", "declare_type", "fee_month", declare))
+    return settled(rows.drop("_g"), "errors", both).drop("_rejected")
 
 
 def skip_counts(people: DataFrame) -> DataFrame:
@@ -132,9 +162,10 @@ def _cells(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def roster_plan(records: DataFrame, columns: DataFrame, forms: DataFrame, samples: DataFrame | None = None, opts: FillOptions = FillOptions(), hints: DataFrame | None = None) -> DataFrame:
     """cell_writes of forms with a detected profile. forms(template_id, intent)."""
     found = checkpointed(detect_profiles(columns, samples).filter("detected").join(forms.select("template_id", "intent"), "template_id"))
-    parts = []
-    for intent in _wanted(found):
-        rows = check_rows(roster_people(records, intent, opts, hints), intent).filter(F.size("errors") == 0)
+    parts, wanted = [], _wanted(found)
+    people = roster_people_of(records, wanted, opts, hints) if wanted else {}
+    for intent in wanted:
+        rows = check_rows(people[intent], intent).filter(F.size("errors") == 0)
         placed = checkpointed(positions(checkpointed(rows.withColumn("intent", F.lit(intent))), ["intent"], ORDER, ["row_idx"]))
         has_id = placed.agg(F.coalesce(F.max(F.col("id_number") != ""), F.lit(False))).scalar()
         roles = profile_columns(columns).filter((F.col("role_idx") == 0) | F.col("role").isin("declare", "fee_month", "reason"))
@@ -258,12 +289,17 @@ def route_forms(forms: DataFrame, columns: DataFrame, registry: DataFrame) -> Da
 Strategy = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
-def plan_fill(records: DataFrame, columns: DataFrame, routed: DataFrame, strategies: dict[str, Strategy] | None = None, postprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def plan_fill(records: DataFrame, columns: DataFrame, routed: DataFrame, strategies: dict[str, Strategy] | None = None, postprocess: Callable[[DataFrame], DataFrame] | None = None, written: bool = False) -> DataFrame:
     """cell_writes of all forms by their strategy. A strategy maps (records,
-    columns, forms) to cell_writes; own ones may be added or replace these."""
+    columns, forms) to cell_writes; own ones may be added or replace these.
+
+    Strategies read the records several times: they are written once, unless the caller
+    says that his are (`written`)."""
     table = {"roster": roster_plan, "insurance": insurance_plan, **(strategies or {})}
     routed, parts = checkpointed(routed), []
     used = {r.strategy for r in routed.filter(F.col("strategy").isin(*table)).select("strategy").distinct().collect()}
+    if used and not written:
+        records = checkpointed(records)
     for name, strategy in sorted((n, s) for n, s in table.items() if n in used):
         forms = routed.filter(F.col("strategy") == name)
         own = columns.join(forms.select("template_id"), "template_id", "left_semi")

@@ -327,7 +327,8 @@ q AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY source_type, sou
 @query("roster_people", _ROSTER + "SELECT intent, name, id_number, strftime(event_date, '%Y-%m-%d') AS event_date, source_id, row_idx FROM u")
 def roster_people(t):
     r = records(t).select(*RECORD_COLS)
-    one = lambda i: RO.roster_people(r, i).select(F.lit(i).alias("intent"), "name", "id_number", D.iso("event_date").alias("event_date"), "source_id", "row_idx")
+    people = RO.roster_people_of(r, ["add", "remove"])
+    one = lambda i: people[i].select(F.lit(i).alias("intent"), "name", "id_number", D.iso("event_date").alias("event_date"), "source_id", "row_idx")
     return one("add").unionByName(one("remove"))
 
 
@@ -348,10 +349,10 @@ def roster_plan(t):
 def row_checks(t):
     from ..common import positions
 
-    r = records(t).select(*RECORD_COLS)
+    people = RO.roster_people_of(records(t).select(*RECORD_COLS), ["add", "remove"])
 
     def one(i):
-        x = positions(RO.check_rows(RO.roster_people(r, i), i).withColumn("intent", F.lit(i)), ["intent"], RO.ORDER, ["row_idx"])
+        x = positions(RO.check_rows(people[i], i).withColumn("intent", F.lit(i)), ["intent"], RO.ORDER, ["row_idx"])
         return x.select("intent", "pos", "declare_type", "fee_month", F.size("errors").alias("n_errors"))
 
     return one("add").unionByName(one("remove"))
