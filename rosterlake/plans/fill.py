@@ -166,7 +166,9 @@ def plan_cells(placed: DataFrame, plan: DataFrame, columns: DataFrame, skip_null
     template_id go to every form."""
     region = main_region(columns).groupBy("template_id").agg(F.max("sheet").alias("sheet"), F.max("data_row").alias("data_row"))
     wide = plan.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("col_index", "col_letter", "key", "constant"))).alias("plan"))
-    out = placed.join(wide.join(region, "template_id"), [c for c in by if c in placed.columns]).select(
+    # Written, so its size is known before the records are read: they stay where they are.
+    wide = checkpointed(wide.join(region, "template_id"))
+    out = placed.join(wide, [c for c in by if c in placed.columns]).select(
         "template_id", "sheet", (F.col("data_row") + F.col("pos") - 1).cast("int").alias("row"), "rec", F.explode("plan").alias("p")
     )
     value = F.coalesce(F.col("p")["constant"], row_value("rec", F.col("p")["key"]))
@@ -246,4 +248,6 @@ def fallback_cells(records: DataFrame, columns: DataFrame, planned: DataFrame, o
     by_place = rest.withColumn("key_idx", F.col("col_index") - F.col("first_col")).join(keys, ["template_id", "key_idx"])
     pick = lambda d: d.select(F.col("template_id.template_id").alias("like"), "template_id.shape", "col_index", "col_letter", "key", F.lit(None).cast("string").alias("constant"))
     plan = pick(by_name).unionByName(pick(by_place)).join(alike, "like").drop("like")
-    return plan_cells(place_records(recs, []), plan, columns, skip_null=True, by=("template_id", "shape"))
+    # The list of keys is in the record: it isn't dealt out and written beside it.
+    placed = place_records(recs, []) if one_source else place_records(recs.drop("shape"), []).withColumn("shape", F.map_keys("rec"))
+    return plan_cells(placed, plan, columns, skip_null=True, by=("template_id", "shape"))

@@ -193,13 +193,14 @@ def run_fill(records: DataFrame, form_cells: DataFrame, forms: DataFrame, regist
     strategies first, the synonym fallback for forms left empty. Forms that no other
     strategy takes, or whose strategy is `mapped`, are filled from `mappings` (as
     `mapped.read_mappings` gives them) where they have one."""
-    columns = checkpointed(FO.parse_forms(form_cells, tables))
+    # Strategies and fallback read the records time and again: written once.
+    records, columns = checkpointed(records), checkpointed(FO.parse_forms(form_cells, tables))
     routed, strategies = RO.route_forms(forms, columns, registry), {}
     if mappings is not None:
         known = mappings.select("template_id").distinct().withColumn("_mapped", F.lit(True))
         routed = routed.join(known, "template_id", "left").withColumn("strategy", F.when(F.col("_mapped") & (F.col("strategy") == "none"), F.lit("mapped")).otherwise(F.col("strategy"))).drop("_mapped")
         strategies["mapped"] = MP.mapped_strategy(mappings, opts)
-    planned = checkpointed(RO.plan_fill(records, columns, routed, strategies))
+    planned = checkpointed(RO.plan_fill(records, columns, routed, strategies, written=True))
     backup = P.fallback_cells(records, columns, planned, opts.fallback_one_source).withColumn("strategy", F.lit("fallback"))
     writes = planned.unionByName(backup)
     if opts.allowed_columns:
