@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import first_rule
+from ..common import checkpointed, first_rule
 from ..functions import dates as D
 from ..functions import text as T
 from ..rules import PROFILE_HEADERS
@@ -32,7 +32,7 @@ def sheet_frames(cells: DataFrame) -> DataFrame:
     data. Rows become counts; the running maximum is a window over a sheet's rows."""
     zero = F.coalesce((F.col("raw_type") == "number") & (F.col("raw").try_cast("double") == 0.0), F.lit(False))
     filled = T.is_non_empty("raw") & ~zero
-    rows = cells.groupBy(*FORM, "row").agg(
+    rows = cells.filter("template_id IS NOT NULL AND sheet_idx IS NOT NULL").groupBy(*FORM, "row").agg(
         F.sum(F.when(filled, 1).otherwise(0)).cast("int").alias("n"), F.max("col").alias("max_col"), F.max("sheet").alias("sheet"), F.max("filename").alias("filename")
     )
     by_row = Window.partitionBy(*FORM).orderBy("row")
@@ -42,9 +42,8 @@ def sheet_frames(cells: DataFrame) -> DataFrame:
     # A row may be empty in the table of cells: a stop there is the same as none.
     stop = F.when((F.col("most") >= 3) & (F.col("after") > 0), F.col("row"))
     gap = F.when((F.col("most") >= 3) & (F.lead("n").over(by_row) > 0) & (F.lead("row").over(by_row) > F.col("row") + 1), F.lead("row").over(by_row) - 1)
-    seen = seen.withColumn("stop", F.coalesce(stop, gap))
-    ends = seen.groupBy(*FORM).agg(F.min("stop").alias("stop"))
-    seen = seen.drop("stop").join(ends, FORM)
+    # A sheet's rows lie together for the windows above: its stop is found there too.
+    seen = seen.withColumn("stop", F.coalesce(stop, gap)).withColumn("stop", F.min("stop").over(Window.partitionBy(*FORM)))
     candidate = (F.col("row") >= 1) & (F.col("n") > 0) & (F.col("stop").isNull() | (F.col("row") <= F.col("stop")))
     per = seen.groupBy(*FORM).agg(
         F.max("sheet").alias("sheet"), F.max("filename").alias("filename"), F.max("row").alias("max_row"), F.max("max_col").alias("max_col"),
@@ -88,7 +87,9 @@ def is_formula() -> Column:
 def parse_forms(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """template_columns: one row per column of every region, with the joined
     header path, sample values and number format."""
-    regs = regions(cells, tables)
+    # A row a region, written: the sorts that find regions are done with their memory before
+    # those that describe columns begin, and regions are found once for both joins below.
+    regs = checkpointed(regions(cells, tables))
     r = regs.withColumn("data_row", F.col("first_row") + F.col("header_lines"))
     grid = r.select("*", F.explode(F.sequence("first_col", "last_col")).alias("col"))
     near = cells.filter(F.col("raw").isNotNull() | (F.col("number_format") != "General")).join(

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import checkpointed
 from ..functions import text as T
 from ..rules import SYNONYMS
 
@@ -161,7 +162,8 @@ def synonym_match(columns: DataFrame, keys: DataFrame) -> DataFrame:
     form and a list of keys). Only pairs with a tier (`synonym_pairs`) reach the join by
     form."""
     heads = columns.filter("header_path != ''").select("template_id", "header_path", "col_index", "col_letter")
-    pairs = heads.join(synonym_pairs(heads, keys), "header_path").join(keys, ["template_id", "key"])
+    # Pairs and choices are written, so that no task holds the sorts of two steps at once.
+    pairs = checkpointed(heads.join(synonym_pairs(heads, keys), "header_path").join(keys, ["template_id", "key"]))
     best = pairs.groupBy("template_id", "header_path", "col_index", "col_letter").agg(F.min_by("key", F.struct("tier", "key_idx")).alias("key"))
     w = Window.partitionBy("template_id", "key").orderBy("col_index")
-    return best.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return checkpointed(best).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
