@@ -169,7 +169,7 @@ def mail_blocks(t):
 
     decoded = checkpointed(M.decode_mail(_mail_files(t)))
     # Quoted threads do not occur here, so the body is the whole text.
-    b = K.blocks(L.body_text(M.messages(decoded)), M.exported_parts(decoded, content=False))
+    b = K.blocks(L.body_text(M.messages(decoded)), M.exported_parts(decoded, content=False), empty=True)
     return b.select("source_id", "ord", "type", F.when(F.col("type").isin("email_text", "email_body_text"), F.sha2("content", 256)).alias("digest"))
 
 

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def blocks(mails: DataFrame, exported: DataFrame | None = None) -> DataFrame:
-    """Ordered fragments of each mail as (source_id, ord, type, content, meta).
+def blocks(mails: DataFrame, exported: DataFrame | None = None, empty: bool = False) -> DataFrame:
+    """Ordered fragments of each mail as (source_id, ord, type, content, meta); with `empty`
+    also texts of nothing or blanks.
 
     mails has the header columns, text, html, body, cut_rule and used_body."""
+    given = (lambda c: F.col(c).isNotNull()) if empty else T.is_non_empty
     headers = F.to_json(F.struct("from", "to", "cc", "bcc", "subject", "date", "message_id"))
     none = F.create_map().cast("map<string,string>")
     meta = F.create_map(F.lit("used_body"), F.col("used_body"), F.lit("cut_rule"), F.col("cut_rule"))
     items = F.filter(
         F.array(
             F.struct(F.lit("email_headers").alias("type"), headers.alias("content"), none.alias("meta")),
-            F.when(T.is_non_empty("text"), F.struct(F.lit("email_text").alias("type"), F.col("text").alias("content"), none.alias("meta"))),
-            F.when(T.is_non_empty("html"), F.struct(F.lit("email_html").alias("type"), F.col("html").alias("content"), none.alias("meta"))),
+            F.when(given("text"), F.struct(F.lit("email_text").alias("type"), F.col("text").alias("content"), none.alias("meta"))),
+            F.when(given("html"), F.struct(F.lit("email_html").alias("type"), F.col("html").alias("content"), none.alias("meta"))),
             F.struct(F.lit("email_body_text").alias("type"), F.col("body").alias("content"), meta.alias("meta")),
         ),
         lambda b: b.isNotNull(),
